@@ -57,6 +57,26 @@ def _aggregate(rows: DataFrame, keys: list[str], approximate: bool) -> DataFrame
     folded = rows.groupBy(*keys, "latency", "level").agg(
         F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")
     )
+    traces = (
+        rows.select(*keys, present(F.col("trace_id")).alias("trace"))
+        .where(F.col("trace").isNotNull())
+        .groupBy(*keys)
+        .agg(F.count_distinct("trace").alias("unique_traces"))
+    )
+    return _combine(folded, traces, keys)
+
+
+def features_from_folds(folded: DataFrame, traces: DataFrame, window_seconds: int, rounded: bool = True) -> DataFrame:
+    """Window features from logs already folded by a stream.
+
+    ``folded(service_name, slot_start, slot_end, latency, level, n, first_ts, last_ts)``;
+    ``traces(service_name, slot_start, slot_end, unique_traces)``.
+    """
+    features = _combine(folded, traces, ["service_name", "slot_start", "slot_end"])
+    return _finish(features, F.col("slot_start"), F.col("slot_end"), window_seconds, rounded)
+
+
+def _combine(folded: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
     totals = folded.groupBy(*keys).agg(
         *_counts(F.col("n"), F.col("level"), F.col("first_ts"), F.col("last_ts")),
         (F.sum(F.col("latency") * F.col("n")) / F.sum(F.when(F.col("latency").isNotNull(), F.col("n")))).alias(
@@ -64,12 +84,6 @@ def _aggregate(rows: DataFrame, keys: list[str], approximate: bool) -> DataFrame
         ),
     )
     percentiles = percentiles_from_counts(folded, keys, "latency", "n", _PERCENTILES)
-    traces = (
-        rows.select(*keys, present(F.col("trace_id")).alias("trace"))
-        .where(F.col("trace").isNotNull())
-        .groupBy(*keys)
-        .agg(F.count_distinct("trace").alias("unique_traces"))
-    )
     return totals.join(percentiles, keys, "left").join(traces, keys, "left")
 
 

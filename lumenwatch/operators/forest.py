@@ -141,12 +141,19 @@ def drivers(scheduled: DataFrame, columns: list[str] = list(VECTOR)) -> DataFram
 # ---- fitting (W10) -----------------------------------------------------------------------------
 
 
-def fit_forest(scheduled: DataFrame, trees: int = TREES, seed: int = SEED) -> DataFrame:
-    """One row per (service, segment, epoch, tree)."""
-    vectors = scheduled.select(*_KEY, "rn", F.array(*[F.col(c).cast("double") for c in VECTOR]).alias("vector"))
-    sizes = scheduled.groupBy(*_KEY).agg(F.max("epoch").alias("last_epoch")).where(F.col("last_epoch").isNotNull())
+def due_epochs(scheduled: DataFrame) -> DataFrame:
+    """Every fit a history has come to: (service, segment, epoch)."""
+    last = scheduled.groupBy(*_KEY).agg(F.max("epoch").alias("last_epoch")).where(F.col("last_epoch").isNotNull())
+    return last.select(*_KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_epoch"))).alias("epoch"))
+
+
+def fit_forest(
+    scheduled: DataFrame, epochs: DataFrame | None = None, trees: int = TREES, seed: int = SEED
+) -> DataFrame:
+    """One row per (service, segment, epoch, tree), for all due epochs or the given ones."""
+    vectors = scheduled.select(*_KEY, "rn", _vector())
     plan = (
-        sizes.select(*_KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_epoch"))).alias("epoch"))
+        (due_epochs(scheduled) if epochs is None else epochs)
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("tree_seed", F.xxhash64(*_KEY, "epoch", "tree", F.lit(seed)))
         .withColumn("rows", FIRST_FIT + REFIT_EVERY * F.col("epoch"))
@@ -158,6 +165,10 @@ def fit_forest(scheduled: DataFrame, trees: int = TREES, seed: int = SEED) -> Da
     return sampled.groupBy(*_KEY, "epoch", "tree_block").applyInPandas(_grow_block, MODEL_SCHEMA)
 
 
+def _vector():
+    return F.array(*[F.col(c).cast("double") for c in VECTOR]).alias("vector")
+
+
 @F.pandas_udf("array<bigint>")
 def _draw_rows(rows: pd.Series, seeds: pd.Series) -> pd.Series:
     """Distinct row numbers 1..rows, at most 256 of them."""
@@ -219,21 +230,38 @@ def _average_path(n: int) -> float:
 # ---- scoring (W11) -----------------------------------------------------------------------------
 
 
-def forest_scores(scheduled: DataFrame, model: DataFrame | None = None) -> DataFrame:
+def forest_scores(scheduled: DataFrame) -> DataFrame:
     """Adds ``forest_warming``, ``forest_score`` and ``forest_triggered`` to a scheduled history.
 
-    A score is twice the distance above the 95 % quantile of the training scores of its epoch, clipped to
-    0..1. The quantile is over the whole training set, as the schedule defines it.
+    Fits all due epochs, then scores each window under its own. Lands the model (one job).
     """
-    model = settle(fit_forest(scheduled) if model is None else model, "forest-model")
-    isolation = settle(isolation_scores(scheduled, model), "forest-isolation")
-    offsets = exact_percentiles(
-        isolation.where("is_training"), [*_KEY, "epoch"], "isolation", {"train_quantile": 1.0 - CONTAMINATION}
-    )
-    scored = isolation.where("is_scored").join(offsets, [*_KEY, "epoch"])
+    model = settle(fit_forest(scheduled), "forest-model")
+    return score_windows(scheduled, model, train_quantiles(scheduled, model))
+
+
+def train_quantiles(scheduled: DataFrame, model: DataFrame, epochs: DataFrame | None = None) -> DataFrame:
+    """The 95 % quantile of the training scores of each epoch: the zero of its scores.
+
+    It is taken over the whole training set, as the schedule defines it, so the work grows with windows
+    times epochs; ``epochs`` restricts it to new fits.
+    """
+    rows = scheduled.select(*_KEY, "rn", "block", _vector())
+    if epochs is None:
+        last = scheduled.groupBy(*_KEY).agg(F.max("epoch").alias("last_epoch"))
+        pairs = rows.join(last, _KEY).where(F.col("block") <= F.col("last_epoch"))
+        pairs = pairs.withColumn("epoch", F.explode(F.sequence("block", "last_epoch")))
+    else:
+        pairs = rows.join(epochs, _KEY).where(F.col("block") <= F.col("epoch"))
+    scored = isolation_scores(pairs, model)
+    return exact_percentiles(scored, [*_KEY, "epoch"], "isolation", {"train_quantile": 1.0 - CONTAMINATION})
+
+
+def score_windows(scheduled: DataFrame, model: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """A score is twice the distance above the training quantile, clipped to 0..1."""
+    own = scheduled.where(F.col("epoch").isNotNull()).select(*_KEY, "epoch", "rn", _vector())
+    scored = isolation_scores(own, model).join(quantiles, [*_KEY, "epoch"])
     raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * (F.col("isolation") - F.col("train_quantile"))))
-    scored = scored.select(*_KEY, "rn", raw.alias("__raw"))
-    joined = drivers(scheduled).join(scored, [*_KEY, "rn"], "left")
+    joined = drivers(scheduled).join(scored.select(*_KEY, "rn", raw.alias("__raw")), [*_KEY, "rn"], "left")
     none = F.array().cast("array<string>")
     return joined.select(
         *scheduled.columns,
@@ -243,40 +271,23 @@ def forest_scores(scheduled: DataFrame, model: DataFrame | None = None) -> DataF
     )
 
 
-def isolation_scores(scheduled: DataFrame, model: DataFrame) -> DataFrame:
-    """Isolation score of each window under its own epoch and under every epoch it helped to train.
-
-    Scoring each training set in full is what sets the offset, so this grows with windows times epochs.
-    """
-    last = scheduled.groupBy(*_KEY).agg(F.max("epoch").alias("last_epoch"))
-    first = F.greatest(F.col("block") - 1, F.lit(0))
-    rows = (
-        scheduled.select(*_KEY, "rn", "block", F.col("epoch").alias("own"), F.array(*[F.col(c).cast("double") for c in VECTOR]).alias("vector"))
-        .join(last, _KEY)
-        .where(F.col("last_epoch").isNotNull() & (first <= F.col("last_epoch")))
-        .withColumn("epoch", F.explode(F.sequence(first, F.col("last_epoch"))))
-        .withColumn("chunk", F.floor((F.col("rn") - 1) / CHUNK_ROWS))
-    )
-    rows = rows.select(
-        *_KEY, "epoch", "chunk", "rn", "vector",
-        F.coalesce(F.col("own") == F.col("epoch"), F.lit(False)).alias("is_scored"),
-        (F.col("epoch") >= F.col("block")).alias("is_training"),
-    )
+def isolation_scores(pairs: DataFrame, model: DataFrame) -> DataFrame:
+    """Isolation score of each (window, epoch) pair: (service, segment, epoch, rn, vector)."""
+    rows = pairs.select(*_KEY, "epoch", F.floor((F.col("rn") - 1) / CHUNK_ROWS).alias("chunk"), "rn", "vector")
+    # A forest goes to every chunk that may hold rows it trained on or scores.
     last_row = FIRST_FIT + REFIT_EVERY * (F.col("epoch") + 1)
     per_chunk = model.withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((last_row - 1) / CHUNK_ROWS)))
     )
     key = [*_KEY, "epoch", "chunk"]
     return rows.groupBy(*key).cogroup(per_chunk.groupBy(*key)).applyInPandas(
-        _isolate,
-        "service_name STRING, segment BIGINT, epoch BIGINT, rn BIGINT, is_scored BOOLEAN, is_training BOOLEAN, isolation DOUBLE",
+        _isolate, "service_name STRING, segment BIGINT, epoch BIGINT, rn BIGINT, isolation DOUBLE"
     )
 
 
 def _isolate(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-    out = rows[["service_name", "segment", "epoch", "rn", "is_scored", "is_training"]].copy()
+    out = rows[["service_name", "segment", "epoch", "rn"]].assign(isolation=np.nan)
     if rows.empty or trees.empty:
-        out["isolation"] = np.nan
         return out.iloc[:0]
     x = np.array(rows["vector"].tolist())
     every = np.arange(len(x))
