@@ -75,7 +75,7 @@ def log_line(ts: Column, level: Column, message: Column) -> Column:
 
 
 def iso8601(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
 
 
 def epoch_seconds(ts: Column) -> Column:

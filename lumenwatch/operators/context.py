@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenwatch.functions.columns import is_error, log_line
-from lumenwatch.operators.metrics import RATE_SECONDS
+from lumenwatch.operators.metrics import RATE_SECONDS, last_instant
 
 LOOKBACK_SECONDS = 600
 RECENT_LOGS = 50
@@ -147,9 +147,7 @@ def assemble_context(
     if metrics is None:
         joined = joined.withColumn("metrics", no_metrics)
     else:
-        step = metrics_seconds * 1_000_000
-        instant = F.timestamp_micros((F.floor(F.unix_micros("detected_at") / step) * step).cast("bigint"))
-        joined = joined.withColumn("eval_at", instant).join(
+        joined = joined.withColumn("eval_at", last_instant(F.col("detected_at"), metrics_seconds)).join(
             metrics.select("service_name", "eval_at", "metrics"), ["service_name", "eval_at"], "left"
         )
     return joined.select(

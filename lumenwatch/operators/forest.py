@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenwatch.operators.percentiles import exact_percentiles
 from lumenwatch.session import settle
@@ -169,7 +170,7 @@ def _vector():
     return F.array(*[F.col(c).cast("double") for c in VECTOR]).alias("vector")
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _draw_rows(rows: pd.Series, seeds: pd.Series) -> pd.Series:
     """Distinct row numbers 1..rows, at most 256 of them."""
     return pd.Series(
@@ -256,12 +257,21 @@ def train_quantiles(scheduled: DataFrame, model: DataFrame, epochs: DataFrame |
     return exact_percentiles(scored, [*_KEY, "epoch"], "isolation", {"train_quantile": 1.0 - CONTAMINATION})
 
 
-def score_windows(scheduled: DataFrame, model: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """A score is twice the distance above the training quantile, clipped to 0..1."""
-    own = scheduled.where(F.col("epoch").isNotNull()).select(*_KEY, "epoch", "rn", _vector())
+def score_windows(
+    scheduled: DataFrame, model: DataFrame, quantiles: DataFrame, only: DataFrame | None = None
+) -> DataFrame:
+    """A score is twice the distance above the training quantile, clipped to 0..1.
+
+    ``only(window_id)`` restricts the result to some windows of the history.
+    """
+    wanted = scheduled if only is None else scheduled.join(only, "window_id", "left_semi")
+    own = wanted.where(F.col("epoch").isNotNull()).select(*_KEY, "epoch", "rn", _vector())
     scored = isolation_scores(own, model).join(quantiles, [*_KEY, "epoch"])
     raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * (F.col("isolation") - F.col("train_quantile"))))
-    joined = drivers(scheduled).join(scored.select(*_KEY, "rn", raw.alias("__raw")), [*_KEY, "rn"], "left")
+    explained = drivers(scheduled)
+    if only is not None:
+        explained = explained.join(only, "window_id", "left_semi")
+    joined = explained.join(scored.select(*_KEY, "rn", raw.alias("__raw")), [*_KEY, "rn"], "left")
     none = F.array().cast("array<string>")
     return joined.select(
         *scheduled.columns,
@@ -286,7 +296,7 @@ def isolation_scores(pairs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _isolate(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-    out = rows[["service_name", "segment", "epoch", "rn"]].assign(isolation=np.nan)
+    out = rows[["service_name", "segment", "epoch", "rn"]].astype({"service_name": object}).assign(isolation=np.nan)
     if rows.empty or trees.empty:
         return out.iloc[:0]
     x = np.array(rows["vector"].tolist())

@@ -26,8 +26,14 @@ UNAVAILABLE = -1.0
 
 def evaluation_instant(ts: Column, window_seconds: int) -> Column:
     """End of the window (start, end] that holds a sample."""
-    step = window_seconds * 1_000_000
-    return F.timestamp_micros((F.ceil(F.unix_micros(ts.cast("timestamp")) / step) * step).cast("bigint"))
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return F.timestamp_micros(micros + F.pmod(-micros, F.lit(window_seconds * 1_000_000)))
+
+
+def last_instant(ts: Column, window_seconds: int) -> Column:
+    """The newest evaluation instant at or before a time."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(window_seconds * 1_000_000)))
 
 
 def counter_rate(samples: DataFrame, series: list[str], window_seconds: int = RATE_SECONDS) -> DataFrame:

@@ -44,7 +44,7 @@ def mark_accepted(
         events.select(*keys, at.alias("at"), ttl.alias("ttl"), F.col(event_id).alias("eid"))
         .groupBy(*keys, "at")
         .agg(F.min("eid").alias("eid"), F.min("ttl").alias("ttl"))
-        .withColumn("span", F.floor(F.floor(F.col("at") / F.col("ttl")) / CELLS_PER_SPAN)),
+        .withColumn("span", _whole(F.col("at"), F.col("ttl") * CELLS_PER_SPAN)),
         "suppression-instants",
     )
     key_fields = ", ".join(f"{instants.schema[k].name} {instants.schema[k].dataType.simpleString()}" for k in keys)
@@ -62,6 +62,11 @@ def mark_accepted(
     return matched.select(*[events[c] for c in events.columns], kept["__kept"].isNotNull().alias(out))
 
 
+def _whole(number: Column, step: Column) -> Column:
+    """Floor division on whole numbers."""
+    return ((number - F.pmod(number, step)) / step).cast("bigint")
+
+
 def _cells(span: pd.DataFrame):
     """Sorted offsets per cell, for the cells of one span."""
     at, ttl = np.sort(span["at"].to_numpy()), int(span["ttl"].iloc[0])
@@ -135,13 +140,16 @@ def _keep(keys: list[str]):
 
 
 def _with_keys(group: pd.DataFrame, keys: list[str], columns: dict) -> pd.DataFrame:
-    out = pd.DataFrame({k: np.atleast_1d(v) for k, v in columns.items() if not np.isscalar(v)})
+    """Result rows of one group with its key. Plain objects, because an empty Arrow-backed string column
+    cannot be sent back."""
+    n = max(len(v) for v in columns.values() if not np.isscalar(v))
+    out = {k: pd.Series([group[k].iloc[0]] * n, dtype=object) for k in keys}
     for name, v in columns.items():
         if np.isscalar(v):
-            out[name] = v
-    for k in keys:
-        out[k] = group[k].iloc[0]
-    return out[[*keys, *columns]]
+            out[name] = np.full(n, v)
+        else:
+            out[name] = v if isinstance(v, np.ndarray) else pd.Series(v, dtype=object)
+    return pd.DataFrame(out)
 
 
 def suppress_anomalies(anomalies: DataFrame, ttl_seconds: int = SUPPRESS_SECONDS) -> DataFrame:

@@ -22,7 +22,7 @@ from lumenwatch.operators.statistical import (
 )
 from lumenwatch.operators.suppression import MAX_PENDING, admit
 from lumenwatch.schemas import FEATURES, LOGS
-from lumenwatch.session import ROCKSDB_PROVIDER
+from lumenwatch.session import ROCKSDB_PROVIDER, settle
 from lumenwatch.sources.records import decode_records, split_decoded
 from lumenwatch.sources.tables import append_new, path_exists
 
@@ -133,7 +133,7 @@ def feature_stream(spark: SparkSession, path: str, files_per_trigger: int = 64)
 
 # ---- statistical scoring (ST2) -------------------------------------------------------------------
 
-_SCORES = "service_name STRING, window_id STRING, window_start TIMESTAMP, stat_warming BOOLEAN, stat_score DOUBLE, stat_triggered STRING"
+SCORES = "service_name STRING, window_id STRING, window_start TIMESTAMP, stat_warming BOOLEAN, stat_score DOUBLE, stat_triggered STRING"
 
 
 class RollingScorer(StatefulProcessor):
@@ -184,7 +184,7 @@ class RollingScorer(StatefulProcessor):
             seen += 1
             out.append((row.service_name, row.window_id, row.window_start, warming, score, triggered))
         self.state.update((seen, history.tolist(), above.tolist(), below.tolist(), target.tolist()))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in _SCORES.split(", ")])
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in SCORES.split(", ")])
 
     def close(self) -> None:
         pass
@@ -197,7 +197,7 @@ def stream_scores(
     features.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     # Windows are few beside logs, and a service has one per window length, so a key stays small.
     scored = features.groupBy("service_name").transformWithStateInPandas(
-        statefulProcessor=RollingScorer(config), outputStructType=_SCORES, outputMode="append", timeMode="None"
+        statefulProcessor=RollingScorer(config), outputStructType=SCORES, outputMode="append", timeMode="None"
     )
     return _start(scored.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, every)
 
@@ -219,22 +219,20 @@ def stream_forest_scores(features: DataFrame, path: str, checkpoint: str, every:
         mine = spark.read.schema(FEATURE_TABLE).parquet(f"{path}/features/{here}")
         services = mine.select("service_name").distinct()
         history = _up_to(spark, f"{path}/features", FEATURE_TABLE, batch_id).join(services, "service_name", "left_semi")
-        scheduled = forest.with_schedule(numbered(history))
-        fresh = scheduled.join(mine.select("window_id"), "window_id", "left_semi")
-
+        scheduled = settle(forest.with_schedule(numbered(history)), "scheduled")
         epochs = forest.due_epochs(scheduled)
         known = _before(spark, f"{path}/quantiles", _QUANTILES, batch_id)
         if known is not None:
             epochs = epochs.join(known, ["service_name", "segment", "epoch"], "left_anti")
         forest.fit_forest(scheduled, epochs).write.mode("overwrite").parquet(f"{path}/model/{here}")
-        new_model = spark.read.schema(forest.MODEL_SCHEMA).parquet(f"{path}/model/{here}")
-        new_epochs = new_model.select("service_name", "segment", "epoch").distinct()
+        # Two reads, so that the two sides of the join below are distinct relations.
+        new_model, fits = [spark.read.schema(forest.MODEL_SCHEMA).parquet(f"{path}/model/{here}") for _ in range(2)]
+        new_epochs = fits.select("service_name", "segment", "epoch").distinct()
         forest.train_quantiles(scheduled, new_model, new_epochs).write.mode("overwrite").parquet(f"{path}/quantiles/{here}")
 
-        own = fresh.select("service_name", "segment", "epoch").distinct()
-        model = _up_to(spark, f"{path}/model", forest.MODEL_SCHEMA, batch_id).join(own, ["service_name", "segment", "epoch"], "left_semi")
+        model = _up_to(spark, f"{path}/model", forest.MODEL_SCHEMA, batch_id)
         quantiles = _up_to(spark, f"{path}/quantiles", _QUANTILES, batch_id)
-        scored = forest.score_windows(scheduled, model, quantiles).join(mine.select("window_id"), "window_id", "left_semi")
+        scored = forest.score_windows(scheduled, model, quantiles, mine.select("window_id"))
         scored.select(
             "service_name", "window_id", "window_start", "rn", "forest_warming", "forest_score", "forest_triggered"
         ).write.mode("overwrite").parquet(f"{path}/scores/{here}")
@@ -276,7 +274,7 @@ class LastKept(StatefulProcessor):
             kept.append(keep)
         if last is not None:
             self.last.update((int(last),))
-        yield part[self.columns].assign(accepted=kept)
+        yield part[self.columns].astype({c: object for c in ("id", "service_name", "severity")}).assign(accepted=kept)
 
     def close(self) -> None:
         pass
