@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenwatch.functions.columns import latency_ms, present
-from lumenwatch.operators.percentiles import percentiles_from_counts
+from lumenwatch.operators.percentiles import group_percentiles
 
 WINDOW_SECONDS = 60
 _PERCENTILES = {"latency_p50": 0.50, "latency_p95": 0.95, "latency_p99": 0.99}
@@ -24,9 +24,7 @@ def window_features(
     slot = F.window("timestamp", f"{window_seconds} seconds")
     keyed = _measured(logs).withColumn("slot_start", slot.start).withColumn("slot_end", slot.end)
     features = _aggregate(keyed, ["service_name", "slot_start", "slot_end"], approximate)
-    return _finish(
-        features, F.col("slot_start"), F.col("slot_end"), window_seconds, rounded
-    )
+    return _finish(features, "slot_start", "slot_end", window_seconds, rounded)
 
 
 def batch_features(
@@ -34,7 +32,7 @@ def batch_features(
 ) -> DataFrame:
     """One row per service over the whole input; the window bounds are the first and last log."""
     features = _aggregate(_measured(logs), ["service_name"], approximate)
-    return _finish(features, F.col("first_log"), F.col("last_log"), window_seconds, rounded)
+    return _finish(features, "first_log", "last_log", window_seconds, rounded)
 
 
 def _measured(logs: DataFrame) -> DataFrame:
@@ -46,24 +44,23 @@ def _aggregate(rows: DataFrame, keys: list[str], approximate: bool) -> DataFrame
     if approximate:
         fractions = list(_PERCENTILES.values())
         return rows.groupBy(*keys).agg(
-            *_counts(F.lit(1), F.col("level"), F.col("timestamp"), F.col("timestamp")),
+            *_counts(),
             F.percentile_approx("latency", fractions, 10_000).alias("__p"),
             F.avg("latency").alias("latency_mean"),
             F.approx_count_distinct(present(F.col("trace_id"))).alias("unique_traces"),
         ).select("*", *[F.col("__p")[i].alias(n) for i, n in enumerate(_PERCENTILES)]).drop("__p")
 
-    # One fold to (group, latency, level) feeds both the totals and the percentiles, so raw rows are
-    # shuffled once and a busy service spreads over its latencies.
-    folded = rows.groupBy(*keys, "latency", "level").agg(
-        F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")
-    )
     traces = (
         rows.select(*keys, present(F.col("trace_id")).alias("trace"))
         .where(F.col("trace").isNotNull())
         .groupBy(*keys)
         .agg(F.count_distinct("trace").alias("unique_traces"))
     )
-    return _combine(folded, traces, keys)
+    weighted = rows.select(
+        *keys, "latency", "level", F.lit(1).cast("bigint").alias("n"),
+        F.col("timestamp").alias("first_ts"), F.col("timestamp").alias("last_ts"),
+    )
+    return _combine(weighted, traces, keys)
 
 
 def features_from_folds(folded: DataFrame, traces: DataFrame, window_seconds: int, rounded: bool = True) -> DataFrame:
@@ -73,50 +70,59 @@ def features_from_folds(folded: DataFrame, traces: DataFrame, window_seconds: in
     ``traces(service_name, slot_start, slot_end, unique_traces)``.
     """
     features = _combine(folded, traces, ["service_name", "slot_start", "slot_end"])
-    return _finish(features, F.col("slot_start"), F.col("slot_end"), window_seconds, rounded)
-
-
-def _combine(folded: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
-    totals = folded.groupBy(*keys).agg(
-        *_counts(F.col("n"), F.col("level"), F.col("first_ts"), F.col("last_ts")),
-        (F.sum(F.col("latency") * F.col("n")) / F.sum(F.when(F.col("latency").isNotNull(), F.col("n")))).alias(
-            "latency_mean"
-        ),
+    return _finish(features, "slot_start", "slot_end", window_seconds, rounded)
+
+
+def _combine(weighted: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals and percentiles come from one histogram pass; trace counts need their own."""
+    features = group_percentiles(
+        weighted,
+        keys,
+        "latency",
+        _PERCENTILES,
+        weight="n",
+        totals={
+            "first_log": ("min", "first_ts"),
+            "last_log": ("max", "last_ts"),
+            "total_logs": ("sum", "n"),
+            "error_count": ("sum", "if(level = 'ERROR', n, 0L)"),
+            "critical_count": ("sum", "if(level = 'CRITICAL', n, 0L)"),
+            "latency_sum": ("sum", "latency * n"),
+            "latency_logs": ("sum", "if(latency IS NULL, 0L, n)"),
+        },
     )
-    percentiles = percentiles_from_counts(folded, keys, "latency", "n", _PERCENTILES)
-    return totals.join(percentiles, keys, "left").join(traces, keys, "left")
+    return features.withColumn("latency_mean", F.try_divide("latency_sum", "latency_logs")).join(traces, keys, "left")
 
 
-def _counts(weight: Column, level: Column, first: Column, last: Column) -> list[Column]:
+def _counts() -> list[Column]:
+    level = F.col("level")
     return [
-        F.min(first).alias("first_log"),
-        F.max(last).alias("last_log"),
-        F.sum(weight).cast("bigint").alias("total_logs"),
-        F.sum(F.when(level == "ERROR", weight).otherwise(0)).cast("bigint").alias("error_count"),
-        F.sum(F.when(level == "CRITICAL", weight).otherwise(0)).cast("bigint").alias("critical_count"),
+        F.min("timestamp").alias("first_log"),
+        F.max("timestamp").alias("last_log"),
+        F.count("*").alias("total_logs"),
+        F.count_if(level == "ERROR").alias("error_count"),
+        F.count_if(level == "CRITICAL").alias("critical_count"),
     ]
 
 
-def _finish(features: DataFrame, start: Column, end: Column, window_seconds: int, rounded: bool) -> DataFrame:
-    def digits(value: Column, n: int) -> Column:
-        return F.round(value, n) if rounded else value
+def _finish(features: DataFrame, start: str, end: str, window_seconds: int, rounded: bool) -> DataFrame:
+    def digits(value: str, n: int) -> str:
+        return f"round({value}, {n})" if rounded else value
 
-    elapsed = (F.unix_micros("last_log") - F.unix_micros("first_log")) / 1_000_000.0
-    rate = F.col("total_logs") / F.greatest(elapsed, F.lit(1.0))
-    share = (F.col("error_count") + F.col("critical_count")) / F.col("total_logs")
-    return features.select(
-        F.concat_ws("@", "service_name", F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("window_id"),
+    elapsed = "greatest((unix_micros(last_log) - unix_micros(first_log)) / 1000000D, 1D)"
+    return features.selectExpr(
+        f"concat_ws('@', service_name, date_format({start}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")) AS window_id",
         "service_name",
-        start.alias("window_start"),
-        end.alias("window_end"),
-        F.lit(window_seconds).alias("window_seconds"),
+        f"{start} AS window_start",
+        f"{end} AS window_end",
+        f"{window_seconds} AS window_seconds",
         "total_logs",
-        digits(rate, 2).alias("logs_per_second"),
+        f"{digits(f'total_logs / {elapsed}', 2)} AS logs_per_second",
         "error_count",
         "critical_count",
-        digits(share, 4).alias("error_rate"),
-        *[digits(F.coalesce(n, F.lit(0.0)), 2).alias(n) for n in [*_PERCENTILES, "latency_mean"]],
-        F.coalesce("unique_traces", F.lit(0)).alias("unique_traces"),
+        f"{digits('(error_count + critical_count) / total_logs', 4)} AS error_rate",
+        *[f"{digits(f'coalesce({n}, 0D)', 2)} AS {n}" for n in [*_PERCENTILES, "latency_mean"]],
+        "coalesce(unique_traces, 0L) AS unique_traces",
         "first_log",
         "last_log",
     )

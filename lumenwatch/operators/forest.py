@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenwatch.operators.percentiles import exact_percentiles
+from lumenwatch.operators.percentiles import group_percentiles
 from lumenwatch.session import settle
 
 # The feature vector, in order, and the schedule.
@@ -254,7 +254,7 @@ def train_quantiles(scheduled: DataFrame, model: DataFrame, epochs: DataFrame |
     else:
         pairs = rows.join(epochs, _KEY).where(F.col("block") <= F.col("epoch"))
     scored = isolation_scores(pairs, model)
-    return exact_percentiles(scored, [*_KEY, "epoch"], "isolation", {"train_quantile": 1.0 - CONTAMINATION})
+    return group_percentiles(scored, [*_KEY, "epoch"], "isolation", {"train_quantile": 1.0 - CONTAMINATION})
 
 
 def score_windows(

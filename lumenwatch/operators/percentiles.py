@@ -1,92 +1,89 @@
 """Exact linear-interpolated percentiles per group without collecting a group.
 
-``percentile()`` keeps every distinct value of a group in one buffer of one task. This operator keeps
-rows spread out instead: values are first folded to (group, value, count), then to a bounded histogram
-per group that tells which bucket holds each wanted rank, and only those buckets are ordered.
+``percentile()`` keeps every distinct value of a group in one buffer of one task. Here a bounded histogram
+per group, folded on the map side, tells which bucket holds each wanted rank; only the values in those
+buckets are then read again, folded and ordered. Rows of a group are never gathered, and apart from the
+wanted buckets nothing but histogram partials is shuffled when the bucket list fits a broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS_PER_OCTAVE = 32
+_NO_VALUE = -(2**31)
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """An integer that never decreases with the value: sign times position on a log2 scale.
+def magnitude_bucket(value: str) -> str:
+    """SQL for an integer that never decreases with the value: sign times position on a log2 scale.
 
     Doubles span about 2,100 octaves, so a group has a bounded number of buckets whatever its size.
     """
-    unbounded = F.isnan(value) | (F.abs(value) == float("inf"))
-    octave = F.when(unbounded, F.lit(1100.0)).otherwise(F.log2(F.abs(value)))
-    size = F.floor((octave + 1100) * BUCKETS_PER_OCTAVE).cast("int")
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
-
-
-def percentiles_from_counts(
-    counts: DataFrame, keys: list[str], value: str, count: str, probabilities: dict[str, float]
+    octave = f"if(isnan({value}) OR abs({value}) = double('infinity'), 1100, log2(abs({value})))"
+    size = f"CAST(floor(({octave} + 1100) * {BUCKETS_PER_OCTAVE}) AS INT)"
+    return f"CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} WHEN {value} = 0 THEN 0 ELSE {_NO_VALUE} END"
+
+
+def group_percentiles(
+    rows: DataFrame,
+    keys: list[str],
+    value: str,
+    probabilities: dict[str, float],
+    weight: str = "1L",
+    totals: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """One row per group with a column per entry of ``probabilities`` (name to fraction).
+    """One row per group: a column per entry of ``probabilities`` (name to fraction), then ``totals``.
 
-    ``counts`` has one row per (group, value) with the number of occurrences; null values are ignored.
+    ``weight`` is how often a row counts (default once). ``totals`` maps a name to "sum", "min" or "max" and
+    the expression to fold; they ride on the histogram pass and cost no pass of their own. Null values have
+    no rank; a group of nulls keeps its totals and gets null percentiles. Expressions are SQL text.
     """
-    freq = counts.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("__v"), F.col(count).alias("__n"), magnitude_bucket(F.col(value)).alias("__b")
+    totals = totals or {}
+    by = ", ".join(keys)
+    bucketed = rows.selectExpr(
+        "*", f"{magnitude_bucket(value)} AS __b", f"if({value} IS NULL, 0L, {weight}) AS __w"
+    )
+    histogram = bucketed.groupBy(*keys, "__b").agg(
+        F.expr("sum(__w) AS __bn"), *[F.expr(f"{kind}({e}) AS {n}") for n, (kind, e) in totals.items()]
     )
-    by_bucket = freq.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
-    whole = Window.partitionBy(*keys)
-    ranked = by_bucket.select(
+    ranked = histogram.selectExpr(
         *keys,
         "__b",
         "__bn",
-        F.sum("__bn").over(whole).alias("__total"),
-        F.coalesce(
-            F.sum("__bn").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__below"),
+        f"coalesce(sum(__bn) OVER (PARTITION BY {by} ORDER BY __b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __below",
+        f"sum(__bn) OVER (PARTITION BY {by}) AS __total",
+        *[f"{kind}({n}) OVER (PARTITION BY {by}) AS {n}" for n, (kind, _) in totals.items()],
     )
 
-    def rank(fraction: float) -> Column:
-        return (F.col("__total") - 1) * F.lit(float(fraction))
+    def rank(fraction: float) -> str:
+        return f"((__total - 1) * double({float(fraction)}))"
 
-    wanted = _distinct_ranks(rank, probabilities.values())
-    hits = [
-        (F.floor(r) < F.col("__below") + F.col("__bn")) & (F.ceil(r) >= F.col("__below")) for r in wanted
+    holds = [
+        f"(floor({rank(p)}) < __below + __bn AND ceil({rank(p)}) >= __below)" for p in dict.fromkeys(probabilities.values())
     ]
-    any_hit = hits[0]
-    for hit in hits[1:]:
-        any_hit = any_hit | hit
-    buckets = ranked.where(any_hit).drop("__bn")
-
-    inside = freq.join(buckets, [*keys, "__b"])
-    within = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = inside.withColumn("__upto", F.col("__below") + F.sum("__n").over(within))
+    buckets = ranked.where(
+        f"(__bn > 0 AND ({' OR '.join(holds)})) OR (__total = 0 AND __b = {_NO_VALUE})"
+    ).drop("__bn")
+
+    carried = ["__below", "__total", *totals]
+    candidates = bucketed.selectExpr(*keys, "__b", f"{value} AS __v", "__w").join(buckets, [*keys, "__b"])
+    distinct = candidates.groupBy(*keys, "__b", "__v").agg(
+        F.expr("sum(__w) AS __n"), *[F.expr(f"max({c}) AS {c}") for c in carried]
+    )
+    placed = distinct.selectExpr(
+        "*",
+        f"__below + sum(__n) OVER (PARTITION BY {by}, __b ORDER BY __v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __upto",
+    )
 
-    def at(position: Column) -> Column:
-        holds = (position < F.col("__upto")) & (position >= F.col("__upto") - F.col("__n"))
-        return F.max(F.when(holds, F.col("__v")))
+    def at(position: str, name: str):
+        return F.expr(f"max(CASE WHEN {position} < __upto AND {position} >= __upto - __n THEN __v END) AS {name}")
 
     picks = []
     for name, p in probabilities.items():
-        picks += [at(F.floor(rank(p))).alias(f"__lo_{name}"), at(F.ceil(rank(p))).alias(f"__hi_{name}")]
-    picked = placed.groupBy(*keys).agg(*picks, F.max("__total").alias("__total"))
-    return picked.select(*keys, *[_interpolate(n, rank(p)).alias(n) for n, p in probabilities.items()])
-
-
-def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
-) -> DataFrame:
-    """``percentiles_from_counts`` from raw rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__count"))
-    return percentiles_from_counts(counts, keys, value, "__count", probabilities)
-
-
-def _distinct_ranks(rank, fractions: Sequence[float]) -> list[Column]:
-    return [rank(p) for p in dict.fromkeys(fractions)]
-
-
-def _interpolate(name: str, position: Column) -> Column:
-    low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-    return low + (high - low) * (position - F.floor(position))
+        picks += [at(f"floor({rank(p)})", f"__lo_{name}"), at(f"ceil({rank(p)})", f"__hi_{name}")]
+    picked = placed.groupBy(*keys).agg(*picks, *[F.expr(f"max({c}) AS {c}") for c in ["__total", *totals]])
+    interpolated = [
+        f"__lo_{n} + (__hi_{n} - __lo_{n}) * ({rank(p)} - floor({rank(p)})) AS {n}" for n, p in probabilities.items()
+    ]
+    return picked.selectExpr(*keys, *interpolated, *totals)

@@ -21,7 +21,7 @@ from lumenwatch.session import settle
 
 SUPPRESS_SECONDS = 300
 MAX_PENDING = 1000
-CELLS_PER_SPAN = 16
+CELLS_PER_SPAN = 256
 _NEVER = np.iinfo(np.int64).max
 
 
