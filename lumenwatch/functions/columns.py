@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenwatch.schemas import ALERT_SEVERITIES, ERROR_LEVELS, LEVELS
@@ -35,6 +35,15 @@ def present(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once per row however often it is used.
+
+    Projections are merged and filters pushed below them, which repeats a parse for every field read from
+    it. They do not pass the one-element explode.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of white space, line ends included."""
     return F.regexp_replace(value, r"^\s+|\s+$", "")

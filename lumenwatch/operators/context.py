@@ -11,7 +11,7 @@ from lumenwatch.operators.metrics import RATE_SECONDS, last_instant
 LOOKBACK_SECONDS = 600
 RECENT_LOGS = 50
 ERROR_LOGS = 30
-CELLS_PER_LOOKBACK = 120
+CELLS_PER_LOOKBACK = 60
 
 
 def nearby_logs(

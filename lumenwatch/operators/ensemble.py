@@ -9,6 +9,7 @@ from lumenwatch.functions.columns import SEVERITY_ACTION, anomaly_severity, look
 from lumenwatch.operators.forest import forest_scores, with_schedule
 from lumenwatch.operators.statistical import StatisticalConfig, statistical_scores
 from lumenwatch.schemas import DETECTOR_RESULT
+from lumenwatch.session import settle
 
 STATISTICAL_SHARE = 0.60
 FOREST_SHARE = 0.40
@@ -46,7 +47,8 @@ def detect_anomalies(
     """
     scored = statistical_scores(features, config, resets)
     if use_forest:
-        scored = forest_scores(with_schedule(scored))
+        # Fitting, offsets, drivers and scoring all read the history.
+        scored = forest_scores(with_schedule(settle(scored, "statistical-scores")))
     else:
         scored = scored.withColumns(
             {"forest_warming": F.lit(True), "forest_score": F.lit(0.0),

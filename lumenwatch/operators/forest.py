@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,43 +68,45 @@ def growing_moments(scheduled: DataFrame, columns: list[str]) -> DataFrame:
     Moments run inside blocks of 200 windows and are merged with those of the earlier blocks. Adds
     ``c__mean`` and ``c__std`` per column.
     """
+    prefix = "OVER (PARTITION BY service_name, segment ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND"
     blocks = scheduled.groupBy(*_KEY, "block").agg(
-        F.count("*").alias("__n"),
-        *[F.avg(c).alias(f"__a_{c}") for c in columns],
-        *[(F.var_pop(c) * F.count(c)).alias(f"__m_{c}") for c in columns],
+        F.expr("count(*) AS __n"),
+        *[F.expr(f"avg({c}) AS __a_{c}") for c in columns],
+        *[F.expr(f"var_pop({c}) * count({c}) AS __m_{c}") for c in columns],
     )
-    order = Window.partitionBy(*_KEY).orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     # Deviations from the first block's mean keep the merged sums of squares small.
-    blocks = blocks.select(
-        "*", *[F.first(f"__a_{c}").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__r_{c}") for c in columns]
-    )
-    earlier = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0")]
+    blocks = blocks.selectExpr("*", *[f"first(__a_{c}) {prefix} CURRENT ROW) AS __r_{c}" for c in columns])
+    before = f"{prefix} 1 PRECEDING)"
+    earlier = [f"coalesce(sum(__n) {before}, 0L) AS __n0"]
     for c in columns:
-        shift = F.col(f"__a_{c}") - F.col(f"__r_{c}")
+        shift = f"(__a_{c} - __r_{c})"
         earlier += [
-            F.col(f"__r_{c}"),
-            F.coalesce(F.sum(F.col("__n") * shift).over(before), F.lit(0.0)).alias(f"__s0_{c}"),
-            F.coalesce(F.sum(F.col(f"__m_{c}") + F.col("__n") * shift * shift).over(before), F.lit(0.0)).alias(f"__q0_{c}"),
+            f"__r_{c}",
+            f"coalesce(sum(__n * {shift}) {before}, 0D) AS __s0_{c}",
+            f"coalesce(sum(__m_{c} + __n * {shift} * {shift}) {before}, 0D) AS __q0_{c}",
         ]
-    prior = blocks.select(*_KEY, "block", *earlier)
+    prior = blocks.selectExpr(*_KEY, "block", *earlier)
 
-    inside = Window.partitionBy(*_KEY, "block").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    local = scheduled.select(
+    inside = "OVER (PARTITION BY service_name, segment, block ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    local = scheduled.selectExpr(
         "*",
-        F.count("*").over(inside).alias("__n1"),
-        *[F.avg(c).over(inside).alias(f"__a1_{c}") for c in columns],
-        *[F.var_pop(c).over(inside).alias(f"__v1_{c}") for c in columns],
+        f"count(*) {inside} AS __n1",
+        *[f"avg({c}) {inside} AS __a1_{c}" for c in columns],
+        *[f"var_pop({c}) {inside} AS __v1_{c}" for c in columns],
     )
-    total = F.col("__n0") + F.col("__n1")
-    out = []
+    merged, out = [], []
     for c in columns:
-        shift = F.col(f"__a1_{c}") - F.col(f"__r_{c}")
-        sums = F.col(f"__s0_{c}") + F.col("__n1") * shift
-        squares = F.col(f"__q0_{c}") + F.col("__n1") * (F.col(f"__v1_{c}") + shift * shift)
-        spread = F.greatest(squares / total - (sums / total) * (sums / total), F.lit(0.0))
-        out += [(F.col(f"__r_{c}") + sums / total).alias(f"{c}__mean"), F.sqrt(spread).alias(f"{c}__std")]
-    return local.join(prior, [*_KEY, "block"]).select(*scheduled.columns, *out)
+        shift = f"(__a1_{c} - __r_{c})"
+        merged += [
+            f"(__s0_{c} + __n1 * {shift}) / (__n0 + __n1) AS __mean_{c}",
+            f"(__q0_{c} + __n1 * (__v1_{c} + {shift} * {shift})) / (__n0 + __n1) AS __square_{c}",
+        ]
+        out += [
+            f"__r_{c} + __mean_{c} AS {c}__mean",
+            f"sqrt(greatest(__square_{c} - __mean_{c} * __mean_{c}, 0D)) AS {c}__std",
+        ]
+    joined = local.join(prior, [*_KEY, "block"])
+    return joined.selectExpr("*", *merged).selectExpr(*scheduled.columns, *out)
 
 
 def standardised(scheduled: DataFrame, columns: list[str] = list(VECTOR)) -> DataFrame:
@@ -120,23 +122,15 @@ def standardised(scheduled: DataFrame, columns: list[str] = list(VECTOR)) -> Dat
     joined = scheduled.where(F.col("epoch").isNotNull()).join(scaler, [*_KEY, "epoch"])
     return joined.select(
         *scheduled.columns,
-        *[
-            (
-                (F.col(c) - F.col(f"{c}__mean"))
-                / F.when(F.col(f"{c}__std") < 1e-12, 1.0).otherwise(F.col(f"{c}__std"))
-            ).alias(f"{c}_scaled")
-            for c in columns
-        ],
+        *[F.expr(f"({c} - {c}__mean) / if({c}__std < 1e-12D, 1D, {c}__std) AS {c}_scaled") for c in columns],
     )
 
 
 def drivers(scheduled: DataFrame, columns: list[str] = list(VECTOR)) -> DataFrame:
     """Adds ``driver_candidates``: features more than 2 std from the history's mean."""
+    far = ", ".join(f"if(abs(({c} - {c}__mean) / ({c}__std + 1e-9D)) > {DRIVER_Z}D, '{c}', NULL)" for c in columns)
     moments = growing_moments(scheduled, columns)
-    far = [
-        F.when(F.abs((F.col(c) - F.col(f"{c}__mean")) / (F.col(f"{c}__std") + 1e-9)) > DRIVER_Z, c) for c in columns
-    ]
-    return moments.select(*scheduled.columns, F.array_compact(F.array(*far)).alias("driver_candidates"))
+    return moments.selectExpr(*scheduled.columns, f"array_compact(array({far})) AS driver_candidates")
 
 
 # ---- fitting (W10) -----------------------------------------------------------------------------

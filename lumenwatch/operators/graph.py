@@ -16,7 +16,7 @@ def hops_from(edges: DataFrame, root: str = ROOT, max_hops: int = 32) -> DataFra
     Level by level: the newest frontier is joined with the edges and reached services are dropped. Each
     level is landed, so lineage stays flat, and the loop ends with the first empty frontier.
     """
-    calls = edges.select("caller", "callee").distinct()
+    calls = settle(edges.select("caller", "callee").distinct(), "calls")
     frontier = edges.sparkSession.createDataFrame([(root,)], "service_name STRING").withColumn("hops", F.lit(0))
     reached = frontier
     for hop in range(1, max_hops + 1):

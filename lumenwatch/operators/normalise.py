@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenwatch.functions.columns import canonical_level, parse_timestamp, present, strip
+from lumenwatch.functions.columns import canonical_level, once, parse_timestamp, present, strip
 
 # Top-level names that do not become attributes, and the plain-text line format.
 RESERVED = (
@@ -16,6 +16,7 @@ LINE = (
     r"(?is)^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)"
     r"\s+(DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|FATAL)\s+(\S+)\s+(.+)$"
 )
+_LINE_PARTS = ("ts", "level", "service", "message")
 _TEXT_MAP = "map<string,string>"
 _NO_ATTRIBUTES = "CAST(map() AS MAP<STRING,STRING>)"
 
@@ -62,21 +63,28 @@ def parse_records(
         *[F.col(p).alias(f"pos_{p}") for p in position],
         ingested_at.alias("ingested_at"),
         text.alias("text"),
-        F.when(text.startswith("{"), F.from_json(text, _TEXT_MAP)).alias("m"),
+    )
+    framed = once(framed, "m", F.when(F.col("text").startswith("{"), F.from_json("text", _TEXT_MAP)))
+    line = F.when(F.col("m").isNull(), F.col("text"))
+    framed = once(
+        framed,
+        "p",
+        F.struct(
+            F.from_json(F.col("m")["attributes"], _TEXT_MAP).alias("nested"),
+            *[present(F.regexp_extract(line, LINE, g)).alias(n) for g, n in enumerate(_LINE_PARTS, 1)],
+        ),
     )
     is_object = F.col("text").startswith("{")
     fields = {
-        "ts_raw": F.when(is_object, first_field("timestamp", "time", "ts")).otherwise(_line(1)),
+        "ts_raw": F.when(is_object, first_field("timestamp", "time", "ts")).otherwise(F.col("p.ts")),
         "service": F.when(is_object, service_field(default_service)).otherwise(
-            F.coalesce(_line(3), F.lit(default_service))
-        ),
-        "level": canonical_level(F.when(is_object, first_field("level", "severity")).otherwise(_line(2))),
-        "message": F.when(is_object, first_field("message", "msg", "body")).otherwise(
-            F.coalesce(_line(4), F.col("text"))
+            F.coalesce("p.service", F.lit(default_service))
         ),
+        "level": canonical_level(F.when(is_object, first_field("level", "severity")).otherwise(F.col("p.level"))),
+        "message": F.when(is_object, first_field("message", "msg", "body")).otherwise(F.coalesce("p.message", "text")),
         "environment": F.when(is_object, F.coalesce(first_field("environment", "env"), F.lit(default_environment)))
         .otherwise(default_environment),
-        "attributes": F.when(is_object, merged_attributes()).otherwise(F.expr(_NO_ATTRIBUTES)),
+        "attributes": F.when(is_object, merged_attributes(F.coalesce("p.nested", F.expr(_NO_ATTRIBUTES)))),
         "given_id": F.when(is_object, first_field("id")),
         "given_trace": F.when(is_object, first_field("trace_id")),
         "given_span": F.when(is_object, first_field("span_id")),
@@ -115,9 +123,8 @@ def service_field(default_service: str) -> Column:
     )
 
 
-def merged_attributes() -> Column:
+def merged_attributes(nested: Column) -> Column:
     """Top-level fields without a meaning of their own, overlaid by the ``attributes`` object."""
-    nested = F.coalesce(F.from_json(F.col("m")["attributes"], _TEXT_MAP), F.expr(_NO_ATTRIBUTES))
     extra = F.map_filter(
         F.col("m"), lambda k, _: ~k.isin(*RESERVED, "attributes", "id") & ~F.map_contains_key(nested, k)
     )
@@ -130,11 +137,6 @@ def default_id(given: Column, seed: Column | None, kind: str, length: int) -> Co
     return F.coalesce(given, F.substring(made, 1, length))
 
 
-def _line(group: int) -> Column:
-    """A part of a plain-text line; null when the line has another form."""
-    return present(F.regexp_extract(F.col("text"), LINE, group))
-
-
 def _reject_reason(is_object: Column) -> Column:
     def not_object(name: str) -> Column:
         value = F.col("m")[name]

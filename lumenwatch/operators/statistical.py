@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenwatch.operators.running import day_cell, number_rows, with_halo
@@ -73,32 +73,29 @@ def rolling_history(
     Adds ``history_size`` and, per column c, ``c__mean``, ``c__std``, ``c__q1``, ``c__q3``.
     """
     haloed = with_halo(numbered_features, "rn", max(config.chunk_rows, config.history), config.history)
-    ordered = Window.partitionBy("service_name", "segment", "chunk").orderBy("rn")
-    frame = ordered.rowsBetween(-config.history, -1)
-    stats = [F.least(F.col("rn") - 1, F.lit(config.history)).cast("bigint").alias("history_size")]
+    over = f"OVER (PARTITION BY service_name, segment, chunk ORDER BY rn ROWS BETWEEN {config.history} PRECEDING AND 1 PRECEDING)"
+    stats = [f"CAST(least(rn - 1, {config.history}) AS BIGINT) AS history_size"]
     for c in columns:
         stats += [
-            F.avg(c).over(frame).alias(f"{c}__mean"),
-            F.stddev_pop(c).over(frame).alias(f"{c}__std"),
-            F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).over(frame).alias(f"{c}__quartiles"),
+            f"avg({c}) {over} AS {c}__mean",
+            f"stddev_pop({c}) {over} AS {c}__std",
+            f"percentile({c}, array(0.25, 0.75)) {over} AS {c}__quartiles",
         ]
-    rolled = haloed.select("*", *stats).where(~F.col("is_halo")).drop("is_halo")
-    for c in columns:
-        rolled = rolled.withColumns(
-            {f"{c}__q1": F.col(f"{c}__quartiles")[0], f"{c}__q3": F.col(f"{c}__quartiles")[1]}
-        ).drop(f"{c}__quartiles")
-    return rolled
+    rolled = haloed.selectExpr("*", *stats).where("NOT is_halo")
+    quartiles = [f"{c}__quartiles[{i}] AS {c}__q{q}" for c in columns for i, q in ((0, 1), (1, 3))]
+    return rolled.selectExpr("*", *quartiles).drop("is_halo", *[f"{c}__quartiles" for c in columns])
 
 
-def z_score(value: Column, mean: Column, std: Column, threshold: float) -> Column:
-    return F.when(std < FLAT, 0.0).otherwise(F.least(F.abs((value - mean) / std) / threshold, F.lit(1.0)))
+def z_score(c: str, threshold: float = 3.0) -> str:
+    """SQL for the z-score of a column against its rolling mean and std."""
+    return f"if({c}__std < {FLAT}D, 0D, least(abs(({c} - {c}__mean) / {c}__std) / {threshold}D, 1D))"
 
 
-def iqr_score(value: Column, q1: Column, q3: Column) -> Column:
-    """Distance outside the 1.5 IQR fences, in IQR units, at most 1."""
-    iqr = q3 - q1
-    outside = F.greatest(value - (q3 + 1.5 * iqr), (q1 - 1.5 * iqr) - value, F.lit(0.0))
-    return F.when(iqr < FLAT, 0.0).otherwise(F.least(outside / (iqr + FLAT), F.lit(1.0)))
+def iqr_score(c: str) -> str:
+    """SQL for the distance of a column outside its 1.5 IQR fences, in IQR units, at most 1."""
+    iqr = f"({c}__q3 - {c}__q1)"
+    outside = f"greatest({c} - ({c}__q3 + 1.5D * {iqr}), ({c}__q1 - 1.5D * {iqr}) - {c}, 0D)"
+    return f"if({iqr} < {FLAT}D, 0D, least({outside} / ({iqr} + {FLAT}D), 1D))"
 
 
 def add_cusum(
@@ -110,57 +107,43 @@ def add_cusum(
     total of x. C and its minimum are taken inside chunks and shifted by what the earlier chunks add.
     """
     keys = ["service_name", "segment"]
-    scored = F.col("rn") > config.min_samples
-    targets = rolled.where(F.col("rn") <= config.min_samples).groupBy(*keys).agg(
-        *[F.avg(c).alias(f"{c}__target") for c in columns]
+    scored = f"rn > {config.min_samples}"
+    targets = rolled.where(f"rn <= {config.min_samples}").groupBy(*keys).agg(
+        *[F.expr(f"avg({c}) AS {c}__target") for c in columns]
     )
-    steps, sides = rolled.join(targets, keys), []
+    flat = 1.0 if config.flat_std == "one" else 0.0
+    scales = [f"if({c}__std < {FLAT}D, {flat}D, {c}__std) AS {c}__scale" for c in columns]
+    steps, sides = [], []
     for c in columns:
-        std = F.col(f"{c}__std")
-        steps = steps.withColumn(
-            f"{c}__scale", F.when(std < FLAT, 1.0 if config.flat_std == "one" else 0.0).otherwise(std)
-        )
-        slack = config.cusum_k * F.col(f"{c}__scale")
-        drift = F.col(c) - F.col(f"{c}__target")
-        for side, step in (("pos", drift - slack), ("neg", -drift - slack)):
+        slack = f"{config.cusum_k}D * {c}__scale"
+        for side, drift in (("pos", f"({c} - {c}__target)"), ("neg", f"({c}__target - {c})")):
             sides.append(f"{c}__{side}")
-            steps = steps.withColumn(f"{c}__{side}", F.when(scored, step).otherwise(0.0))
+            steps.append(f"if({scored}, {drift} - {slack}, 0D) AS {c}__{side}")
+    moved = rolled.join(targets, keys).selectExpr("*", *scales).selectExpr("*", *steps)
 
-    inside = Window.partitionBy(*keys, "chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    running = steps.select("*", *[F.sum(s).over(inside).alias(f"{s}__c") for s in sides])
-    running = running.select("*", *[F.min(f"{s}__c").over(inside).alias(f"{s}__low") for s in sides])
+    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    inside = f"OVER (PARTITION BY service_name, segment, chunk ORDER BY rn {upto}"
+    running = moved.selectExpr("*", *[f"sum({s}) {inside} AS {s}__c" for s in sides])
+    running = running.selectExpr("*", *[f"min({s}__c) {inside} AS {s}__low" for s in sides])
 
     # One row per chunk: its total, its lowest point, and where both stand relative to the whole history.
+    before = "OVER (PARTITION BY service_name, segment ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     chunks = running.groupBy(*keys, "chunk").agg(
-        *[F.sum(s).alias(f"{s}__sum") for s in sides], *[F.min(f"{s}__c").alias(f"{s}__min") for s in sides]
-    )
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(
-        *keys,
-        "chunk",
-        *[F.col(f"{s}__min") for s in sides],
-        *[F.coalesce(F.sum(f"{s}__sum").over(before), F.lit(0.0)).alias(f"{s}__off") for s in sides],
+        *[F.expr(f"sum({s}) AS {s}__sum") for s in sides], *[F.expr(f"min({s}__c) AS {s}__min") for s in sides]
     )
-    offsets = chunks.select(
+    chunks = chunks.selectExpr("*", *[f"coalesce(sum({s}__sum) {before}, 0D) AS {s}__off" for s in sides])
+    offsets = chunks.selectExpr(
         *keys,
         "chunk",
         *[f"{s}__off" for s in sides],
-        *[
-            F.coalesce(F.min(F.col(f"{s}__off") + F.col(f"{s}__min")).over(before), F.lit(0.0)).alias(f"{s}__floor")
-            for s in sides
-        ],
+        *[f"coalesce(min({s}__off + {s}__min) {before}, 0D) AS {s}__floor" for s in sides],
     )
-    joined = running.join(offsets, [*keys, "chunk"])
-    out = {}
+    scores = []
     for c in columns:
-        peaks = []
-        for s in (f"{c}__pos", f"{c}__neg"):
-            total = F.col(f"{s}__off") + F.col(f"{s}__c")
-            lowest = F.least(F.lit(0.0), F.col(f"{s}__floor"), F.col(f"{s}__off") + F.col(f"{s}__low"))
-            peaks.append(total - lowest)
-        limit = config.cusum_h * F.col(f"{c}__scale") + FLAT
-        out[f"{c}__cusum"] = F.when(scored, F.least(F.greatest(*peaks) / limit, F.lit(1.0)))
-    return joined.select(*rolled.columns, *[expr.alias(name) for name, expr in out.items()])
+        peaks = [f"{s}__off + {s}__c - least(0D, {s}__floor, {s}__off + {s}__low)" for s in (f"{c}__pos", f"{c}__neg")]
+        limit = f"({config.cusum_h}D * {c}__scale + {FLAT}D)"
+        scores.append(f"if({scored}, least(greatest({', '.join(peaks)}) / {limit}, 1D), NULL) AS {c}__cusum")
+    return running.join(offsets, [*keys, "chunk"]).selectExpr(*rolled.columns, *scores)
 
 
 def statistical_scores(
@@ -174,32 +157,21 @@ def statistical_scores(
     columns = list(WEIGHTS)
     rolled = settle(rolling_history(numbered(features, resets), columns, config), "rolling-history")
     scored = add_cusum(rolled, columns, config)
-    warm = F.col("rn") > config.min_samples
-    weighted = {
-        c: F.greatest(
-            z_score(F.col(c), F.col(f"{c}__mean"), F.col(f"{c}__std"), config.z_threshold),
-            iqr_score(F.col(c), F.col(f"{c}__q1"), F.col(f"{c}__q3")),
-            F.col(f"{c}__cusum"),
-        )
-        * weight
+    warm = f"rn > {config.min_samples}"
+    weighted = [
+        f"if({warm}, greatest({z_score(c, config.z_threshold)}, {iqr_score(c)}, {c}__cusum) * {weight}D, NULL) AS {c}__weighted"
         for c, weight in WEIGHTS.items()
-    }
-    scored = scored.select("*", *[F.when(warm, w).alias(f"{c}__weighted") for c, w in weighted.items()])
-    parts = [F.col(f"{c}__weighted") for c in columns]
-    total = F.least(sum(parts[1:], parts[0]), F.lit(1.0))
-    named = F.array(*[F.when(p > TRIGGER_ABOVE, c) for c, p in zip(columns, parts)])
-    return scored.select(
+    ]
+    parts = {c: f"{c}__weighted" for c in columns}
+    triggered = ", ".join(f"if({p} > {TRIGGER_ABOVE}D, '{c}', NULL)" for c, p in parts.items())
+    named = ", ".join(f"'{c}', round({p}, 4)" for c, p in parts.items())
+    return scored.selectExpr("*", *weighted).selectExpr(
         *features.columns,
         "segment",
         "rn",
-        F.least(F.col("history_size") + 1, F.lit(config.history)).alias("history_size"),
-        (~warm).alias("stat_warming"),
-        F.when(warm, F.round(total, 4)).otherwise(0.0).alias("stat_score"),
-        F.when(warm, F.array_compact(named)).otherwise(F.array().cast("array<string>")).alias("stat_triggered"),
-        F.when(
-            warm,
-            F.map_from_arrays(
-                F.array(*[F.lit(c) for c in columns]), F.array(*[F.round(p, 4) for p in parts])
-            ),
-        ).alias("stat_feature_scores"),
+        f"least(history_size + 1, {config.history}L) AS history_size",
+        f"NOT ({warm}) AS stat_warming",
+        f"if({warm}, round(least({' + '.join(parts.values())}, 1D), 4), 0D) AS stat_score",
+        f"if({warm}, array_compact(array({triggered})), CAST(array() AS ARRAY<STRING>)) AS stat_triggered",
+        f"if({warm}, map({named}), NULL) AS stat_feature_scores",
     )

@@ -777,13 +777,13 @@ def _(t):
 @query("w3_z_scores", f"{_NUM}, {_roll('num')} SELECT service_name, rn, " + ", ".join(f"{hu(f'CAST({_z(c)} AS DOUBLE)', 6)} AS {c}" for c in _W) + " FROM roll WHERE rn > 15")
 def _(t):
     rolled = stat.rolling_history(stat.numbered(feature_table(t)), list(_W)).where("rn > 15")
-    return rolled.select("service_name", "rn", *[F.round(stat.z_score(F.col(c), F.col(f"{c}__mean"), F.col(f"{c}__std"), 3.0), 6).alias(c) for c in _W])
+    return rolled.select("service_name", "rn", *[F.expr(f"round({stat.z_score(c)}, 6) AS {c}") for c in _W])
 
 
 @query("w4_iqr_scores", f"{_NUM}, {_roll('num')} SELECT service_name, rn, " + ", ".join(f"{hu(f'CAST({_iqr(c)} AS DOUBLE)', 6)} AS {c}" for c in _W) + " FROM roll WHERE rn > 15")
 def _(t):
     rolled = stat.rolling_history(stat.numbered(feature_table(t)), list(_W)).where("rn > 15")
-    return rolled.select("service_name", "rn", *[F.round(stat.iqr_score(F.col(c), F.col(f"{c}__q1"), F.col(f"{c}__q3")), 6).alias(c) for c in _W])
+    return rolled.select("service_name", "rn", *[F.expr(f"round({stat.iqr_score(c)}, 6) AS {c}") for c in _W])
 
 
 @query("w5_cusum_scores", f"{_NUM}, {_roll('num')}, {_cusum()} SELECT service_name, rn, " + ", ".join(f"{hu(f'{c}__cusum', 6)} AS {c}" for c in _W) + " FROM cusum WHERE rn > 15")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenwatch.functions.columns import parse_timestamp, present, strip
+from lumenwatch.functions.columns import once, parse_timestamp, present, strip
 from lumenwatch.schemas import LEVELS, LOG_WIRE, LOGS
 
 _COLUMNS = [field.split()[0] for field in LOGS.split(", ")]
@@ -14,8 +14,7 @@ _COLUMNS = [field.split()[0] for field in LOGS.split(", ")]
 def decode_records(messages: DataFrame, value: str = "value") -> DataFrame:
     """Decode JSON log records; adds ``raw`` and ``decode_error`` (null for good records)."""
     text = F.col(value).cast("string")
-    record = F.from_json(text, LOG_WIRE)
-    rows = messages.select(text.alias("raw"), record.alias("r"))
+    rows = once(messages.select(text.alias("raw")), "r", F.from_json("raw", LOG_WIRE))
     service, message = strip(F.col("r.service_name")), strip(F.col("r.message"))
     at = parse_timestamp(F.col("r.timestamp"))
     error = (
