@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenwatch.schemas import ALERT_SEVERITIES, ERROR_LEVELS, LEVELS
 
 # ---- fixed values ---------------------------------------------------------------------------
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LATENCY_KEYS = ("latency_ms", "duration_ms", "response_time_ms", "elapsed_ms")
 SEVERITY_ACTION = {
     "normal": "No action required.",
@@ -46,7 +47,7 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def strip(value: Column) -> Column:
     """Trim every kind of white space, line ends included."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def is_error(level: Column) -> Column:

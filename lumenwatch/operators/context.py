@@ -34,7 +34,7 @@ def nearby_logs(
     width = max(lookback_seconds // CELLS_PER_LOOKBACK, 1)
     if errors_only:
         logs = logs.where(is_error(F.col("level")))
-    celled = logs.select(
+    celled = _logs_around(anomalies, logs, lookback_seconds).select(
         "id", "service_name", "timestamp", "level", "message", _cell(F.col("timestamp"), width).alias("cell")
     )
     wanted = anomalies.select("anomaly_id", "service_name", "detected_at").select(
@@ -64,6 +64,19 @@ def nearby_logs(
     )
 
 
+def _logs_around(anomalies: DataFrame, logs: DataFrame, lookback_seconds: int) -> DataFrame:
+    """Logs in the time range of all anomalies; two scalar bounds that reach the scan, and its day partitions."""
+    ends = anomalies.agg(
+        (F.min("detected_at") - F.expr(f"INTERVAL {lookback_seconds} SECONDS")).alias("low"), F.max("detected_at").alias("high")
+    )
+    low, high = ends.select("low"), ends.select("high")
+    logs = logs.where((F.col("timestamp") >= low.scalar()) & (F.col("timestamp") <= high.scalar()))
+    if "event_date" in logs.columns:
+        days = [end.select(F.to_date(end.columns[0])).scalar() for end in (low, high)]
+        logs = logs.where((F.col("event_date") >= days[0]) & (F.col("event_date") <= days[1]))
+    return logs
+
+
 def _cell(ts: Column, width: int) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / width)
 

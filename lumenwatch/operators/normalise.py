@@ -71,13 +71,14 @@ def parse_records(
         "p",
         F.struct(
             F.from_json(F.col("m")["attributes"], _TEXT_MAP).alias("nested"),
+            F.from_json(F.col("m")["resource"], _TEXT_MAP).alias("resource"),
             *[present(F.regexp_extract(line, LINE, g)).alias(n) for g, n in enumerate(_LINE_PARTS, 1)],
         ),
     )
     is_object = F.col("text").startswith("{")
     fields = {
         "ts_raw": F.when(is_object, first_field("timestamp", "time", "ts")).otherwise(F.col("p.ts")),
-        "service": F.when(is_object, service_field(default_service)).otherwise(
+        "service": F.when(is_object, service_field(F.col("p.resource"), default_service)).otherwise(
             F.coalesce("p.service", F.lit(default_service))
         ),
         "level": canonical_level(F.when(is_object, first_field("level", "severity")).otherwise(F.col("p.level"))),
@@ -115,9 +116,8 @@ def first_field(*names: str) -> Column:
     return F.coalesce(*[present(F.col("m")[name]) for name in names])
 
 
-def service_field(default_service: str) -> Column:
+def service_field(resource: Column, default_service: str) -> Column:
     """Service by its two names, then by the resource's ``service.name``."""
-    resource = F.from_json(F.col("m")["resource"], _TEXT_MAP)
     return F.coalesce(
         first_field("service_name", "service"), present(resource["service.name"]), F.lit(default_service)
     )

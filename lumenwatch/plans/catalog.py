@@ -16,7 +16,7 @@ from lumenwatch.operators import context, ensemble, features, forest, graph, met
 from lumenwatch.operators import statistical as stat
 from lumenwatch.operators import suppression
 from lumenwatch.plans import dashboards, incidents
-from lumenwatch.plans.bindings import ANALYSES, ANALYSES_WHERE, AS_OF, LOGS, TTL_SECONDS, WINDOW_SECONDS, Tables, sql_views
+from lumenwatch.plans.bindings import ANALYSES, ANALYSES_WHERE, AS_OF, EVENTS, LOGS, TTL_SECONDS, WINDOW_SECONDS, Tables, sql_views
 from lumenwatch.schemas import ALERTS
 from lumenwatch.schemas import LOGS as TABLE_LOGS
 from lumenwatch.session import scratch_path, settle
@@ -334,7 +334,7 @@ def _(t):
 )
 def _(t):
     objects = t.raw_records.select(F.from_json("raw", "map<string,string>").alias("m"), "raw").where("raw LIKE '{%' AND m IS NOT NULL")
-    return objects.select(normalise.service_field("unknown").alias("service")).groupBy("service").agg(F.count("*").alias("n"))
+    return objects.select(normalise.service_field(F.from_json(F.col("m")["resource"], "map<string,string>"), "unknown").alias("service")).groupBy("service").agg(F.count("*").alias("n"))
 
 
 @query("p3_attributes", f"{_NORMAL} SELECT message, attributes FROM normal")
@@ -1508,8 +1508,7 @@ def _(t):
 
 def event_stream(t: Tables) -> DataFrame:
     """The events file as a stream of logs."""
-    schema = t.read("events").schema
-    return streams.file_log_stream(t.spark, f"{t.folder}/events*.parquet", schema).selectExpr(*LOGS)
+    return streams.file_log_stream(t.spark, f"{t.folder}/events*.parquet", EVENTS).selectExpr(*LOGS)
 
 
 @query(

@@ -47,15 +47,28 @@ def new_rows(batch: DataFrame, target: DataFrame | None, order: Iterable[str]) -
 
 
 def append_new(
-    batch: DataFrame, path: str, schema: str, order: Iterable[str], time_column: str, batch_id: int = 0
+    batch: DataFrame,
+    path: str,
+    schema: str,
+    order: Iterable[str],
+    time_column: str,
+    batch_id: int = 0,
+    within_days: int | None = None,
 ) -> DataFrame:
     """Append new rows below ``path`` and return what this batch has there.
 
     Each batch owns ``batch_id=N`` and overwrites only that, so a replayed batch replaces itself. Only the
-    id column of earlier batches is read.
+    id column of earlier batches is read. On a long-lived table that is still much for a small batch: where
+    a record that is sent again keeps its time to within some days, ``within_days`` reads only the day
+    partitions around the batch, with the same result.
     """
     spark = batch.sparkSession
     target = _earlier(spark, path, schema, batch_id)
+    if target is not None and within_days is not None:
+        day = F.to_date(time_column)
+        first = batch.agg(F.date_sub(F.min(day), within_days)).scalar()
+        last = batch.agg(F.date_add(F.max(day), within_days)).scalar()
+        target = target.where((F.col("event_date") >= first) & (F.col("event_date") <= last))
     fresh = new_rows(batch, target, order).withColumn("event_date", F.to_date(time_column))
     mine = f"{path}/batch_id={batch_id}"
     fresh.write.mode("overwrite").partitionBy("event_date").parquet(mine)

@@ -45,6 +45,7 @@ def land_logs(
     checkpoint: str,
     quarantine: str | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
+    within_days: int | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
     """Decode records and append new logs, then call ``on_batch(logs, batch_id)``.
@@ -57,7 +58,7 @@ def land_logs(
         decoded = decode_records(batch).persist()
         try:
             good, bad = split_decoded(decoded)
-            landed = append_new(good, path, LOGS, ["timestamp", "message"], "timestamp", batch_id)
+            landed = append_new(good, path, LOGS, ["timestamp", "message"], "timestamp", batch_id, within_days)
             if quarantine:
                 bad.write.mode("overwrite").json(f"{quarantine}/batch_id={batch_id}")
             if on_batch:

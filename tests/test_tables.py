@@ -30,6 +30,14 @@ def test_first_write_wins_and_replays_do_not_repeat(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in days._jdf.queryExecution().executedPlan().toString()
 
 
+def test_day_bound_reads_only_days_around_the_batch(spark, tmp_path):
+    path, order = str(tmp_path / "logs"), ["timestamp", "message"]
+    tables.append_new(log_rows(spark, ("1", 0, "a"), ("2", 900_000, "b")), path, LOGS, order, "timestamp", 0)
+    batch = log_rows(spark, ("1", 10, "again"), ("3", 5, "new"))
+    assert tables.append_new(batch, path, LOGS, order, "timestamp", 1, within_days=1).count() == 1
+    assert stored(spark, path) == {"1": "a", "2": "b", "3": "new"}
+
+
 def alert(i, status, day=0, title="old", channels=()):
     return (i, at(day * 86_400), at(9) if status == "sent" else None, "an", "a", "s", "high", status, title, "c", 0.5, "act", [], [], "", ["slack"], list(channels), [])
 
