@@ -48,15 +48,17 @@ def mark_accepted(
         "suppression-instants",
     )
     key_fields = ", ".join(f"{instants.schema[k].name} {instants.schema[k].dataType.simpleString()}" for k in keys)
-    steps = instants.groupBy(*keys, "span").applyInPandas(
+    timeline = instants.drop("eid")
+    steps = timeline.groupBy(*keys, "span").applyInPandas(
         _span_steps(keys), f"{key_fields}, span BIGINT, upto BIGINT, exit BIGINT"
     )
     entries = steps.groupBy(*keys).applyInPandas(_fold_spans(keys), f"{key_fields}, span BIGINT, entry BIGINT")
-    kept = (
-        instants.join(entries, [*keys, "span"])
+    kept_times = (
+        timeline.join(entries, [*keys, "span"])
         .groupBy(*keys, "span")
-        .applyInPandas(_keep(keys), f"{key_fields}, __kept {instants.schema['eid'].dataType.simpleString()}")
+        .applyInPandas(_keep(keys), f"{key_fields}, at BIGINT")
     )
+    kept = instants.join(kept_times, [*keys, "at"], "left_semi").select(*keys, F.col("eid").alias("__kept"))
     same = [events[k].eqNullSafe(kept[k]) for k in keys]
     matched = events.join(kept, [*same, events[event_id] == kept["__kept"]], "left")
     return matched.select(*[events[c] for c in events.columns], kept["__kept"].isNotNull().alias(out))
@@ -122,7 +124,6 @@ def _fold_spans(keys: list[str]):
 def _keep(keys: list[str]):
     def keep(span: pd.DataFrame) -> pd.DataFrame:
         first_cell = int(span["span"].iloc[0]) * CELLS_PER_SPAN
-        ids = dict(zip(span["at"], span["eid"]))
         cells, ttl = _cells(span)
         kept, previous, state = [], first_cell - 1, int(span["entry"].iloc[0])
         for cell, offsets in cells:
@@ -130,11 +131,11 @@ def _keep(keys: list[str]):
             place = np.searchsorted(offsets, entry)
             if place < len(offsets):
                 state = int(offsets[place])
-                kept.append(ids[cell * ttl + state])
+                kept.append(cell * ttl + state)
             else:
                 state = 0
             previous = cell
-        return _with_keys(span, keys, {"__kept": kept})
+        return _with_keys(span, keys, {"at": np.array(kept, dtype=np.int64)})
 
     return keep
 
