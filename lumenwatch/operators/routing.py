@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenwatch.functions.columns import clamp01, coerce_severity
 from lumenwatch.operators.suppression import mark_accepted
-from lumenwatch.schemas import CHANNELS, RULES
+from lumenwatch.schemas import ALERT_SEVERITIES, CHANNELS, RULES
 
 # Severity, channels, least confidence, cooldown in seconds.
 DEFAULT_RULES = (
@@ -54,8 +54,8 @@ def build_alerts(analyses: DataFrame) -> DataFrame:
 
 
 def with_rules(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rule columns by severity (J6); null where no rule exists. At most four rules, one per severity."""
-    one_per_severity = rules.dropDuplicates(["severity"])
+    """Rule columns by severity (J6); null where no rule exists. Four rules at most are broadcast."""
+    one_per_severity = rules.where(F.col("severity").isin(*ALERT_SEVERITIES)).dropDuplicates(["severity"])
     return alerts.join(F.broadcast(one_per_severity), "severity", "left")
 
 

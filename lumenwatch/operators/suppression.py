@@ -33,7 +33,7 @@ def eligible(anomalies: DataFrame) -> DataFrame:
 def mark_accepted(
     events: DataFrame, keys: list[str], ts: str, event_id: str, ttl_seconds: Column | int, out: str = "accepted"
 ) -> DataFrame:
-    """Adds a boolean: kept or suppressed. Ties on time go to the smallest id.
+    """Adds a boolean: kept or suppressed. Ties on time go to the smallest id. Lands the instants (one job).
 
     ``ttl_seconds`` may be a column but must be the same for all events of a key, whole and positive.
     """

@@ -1182,7 +1182,7 @@ def _(t):
     concat('*Root cause:* ', root_cause, chr(10), '*Confidence:* ', k, '%    *Escalate:* ', CASE WHEN escalate_to = '' THEN '_no escalation_' ELSE concat('→ *', escalate_to, '*') END) AS cause,
     concat('*Affected*', chr(10), '`', service_name, '`, `api-gateway`') AS affected, 'divider' AS fourth,
     concat('*Remediation steps:*', chr(10), array_to_string({_STEPS}, chr(10))) AS steps,
-    concat('Observability Agent  •  ', strftime(created_at, '%Y-%m-%d %H:%M:%S'), ' UTC  •  anomaly `', substr(anomaly_id, 1, 8), '`') AS footer FROM coerced""",
+    concat('{payloads.SENDER}  •  ', strftime(created_at, '%Y-%m-%d %H:%M:%S'), ' UTC  •  anomaly `', substr(anomaly_id, 1, 8), '`') AS footer FROM coerced""",
 )
 def _(t):
     message = payloads.with_chat_message(alerts_built(t))
@@ -1375,14 +1375,14 @@ def _(t):
     wide AS (SELECT service_name, eval_at, coalesce(error_rate, -1) AS error_rate_5m, coalesce(request_rate, -1) AS request_rate_5m, coalesce(p95, -1) AS latency_p95_5m, coalesce(p99, -1) AS latency_p99_5m,
                     -1 AS cpu_usage_pct, coalesce(memory_usage_mb, -1) AS memory_usage_mb, -1 AS active_connections
              FROM shares FULL JOIN p95 USING (service_name, eval_at) FULL JOIN p99 USING (service_name, eval_at) FULL JOIN gauge USING (service_name, eval_at))
-    SELECT service_name, {sql_at('eval_at')}, {', '.join(f"{hu(f'CAST({n} AS DOUBLE)', 4)} AS {n}" for n in metrics.METRIC_NAMES)},
+    SELECT service_name, {sql_at('eval_at')}, {', '.join(f"{hun(f'CAST({n} AS DOUBLE)', 4)} AS {n}" for n in metrics.METRIC_NAMES)},
            CAST({' + '.join(f'CASE WHEN {n} >= 0 THEN 1 ELSE 0 END' for n in metrics.METRIC_NAMES)} AS INT) AS available FROM wide""",
 )
 def _(t):
     memory = metrics.pods_of_services(t.gauge_samples, t.logs)
     values = metrics.metric_values(t.request_samples, t.bucket_samples, memory=memory, window_seconds=LOOKBACK)
     wide = metrics.service_metrics(values)
-    return wide.select("service_name", at("eval_at"), *[F.round(F.col("metrics")[n], 4).alias(n) for n in metrics.METRIC_NAMES], "available")
+    return wide.select("service_name", at("eval_at"), *[F.round(F.col("metrics")[n] + NUDGE, 4).alias(n) for n in metrics.METRIC_NAMES], "available")
 
 
 # ---- root cause ----------------------------------------------------------------------------------------
