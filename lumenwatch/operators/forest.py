@@ -176,50 +176,79 @@ def _draw_rows(rows: pd.Series, seeds: pd.Series) -> pd.Series:
 
 
 def _grow_block(sample: pd.DataFrame) -> pd.DataFrame:
+    """Grow the trees of a block together, level by level."""
+    sample = sample.sort_values(["tree", "rn"])
     head = sample.iloc[0]
-    grown = []
-    for tree, part in sample.groupby("tree", sort=True):
-        part = part.sort_values("rn")
-        nodes = _grow_tree(np.array(part["vector"].tolist()), np.random.default_rng(int(part["tree_seed"].iloc[0]) & (2**62 - 1)))
-        grown.append((head.service_name, head.segment, head.epoch, tree, len(part), *nodes))
-    names = [field.split()[0] for field in MODEL_SCHEMA.split(", ")]
-    return pd.DataFrame(grown, columns=names)
-
-
-def _grow_tree(rows: np.ndarray, rng: np.random.Generator):
-    """Random splits until a row stands alone or the height limit is met; leaves carry a path length."""
-    limit = int(np.ceil(np.log2(max(len(rows), 2))))
-    feature, threshold, low, high, path = [], [], [], [], []
-
-    def add() -> int:
-        for column, empty in ((feature, -1), (threshold, 0.0), (low, 0), (high, 0), (path, 0.0)):
-            column.append(empty)
-        return len(feature) - 1
-
-    todo = [(add(), rows, 0)]
-    while todo:
-        node, part, depth = todo.pop()
-        lows, highs = part.min(axis=0), part.max(axis=0)
-        varying = np.flatnonzero(highs > lows)
-        if depth >= limit or len(part) <= 1 or len(varying) == 0:
-            path[node] = depth + float(_average_path(len(part)))
-            continue
-        f = int(rng.choice(varying))
-        cut = float(rng.uniform(lows[f], highs[f]))
-        goes_low = part[:, f] <= cut
-        feature[node], threshold[node] = f, cut
-        low[node], high[node] = add(), add()
-        todo += [(low[node], part[goes_low], depth + 1), (high[node], part[~goes_low], depth + 1)]
-    return feature, threshold, low, high, path
-
-
-def _average_path(n: int) -> float:
+    trees, root, sizes = np.unique(sample["tree"].to_numpy(), return_inverse=True, return_counts=True)
+    rng = np.random.default_rng(int(head["tree_seed"]) & (2**62 - 1))
+    nodes = _grow_nodes(np.array(sample["vector"].tolist()), root, len(trees), int(sizes.max()), rng)
+
+    # Nodes were numbered over all trees; number them within their tree, roots first.
+    place = np.zeros(len(nodes["tree"]), dtype=int)
+    members = [np.flatnonzero(nodes["tree"] == t) for t in range(len(trees))]
+    for member in members:
+        place[member] = np.arange(len(member))
+    grown = [
+        (
+            head.service_name, head.segment, head.epoch, tree, size, nodes["feature"][member], nodes["threshold"][member],
+            place[nodes["low"][member]], place[nodes["high"][member]], nodes["path"][member],
+        )
+        for tree, size, member in zip(trees, sizes, members)
+    ]
+    return pd.DataFrame(grown, columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
+
+
+def _grow_nodes(rows: np.ndarray, node: np.ndarray, roots: int, sample_size: int, rng: np.random.Generator) -> dict:
+    """Random splits until a row stands alone or the height limit is met; leaves carry a path length.
+
+    A split is uniform between the extremes of one feature, drawn among those that vary in the node.
+    """
+    limit = int(np.ceil(np.log2(max(sample_size, 2))))
+    parts = {"tree": [np.arange(roots)], "feature": [], "threshold": [], "low": [], "high": [], "path": []}
+    made = roots
+    for depth in range(limit + 1):
+        first = made - len(parts["tree"][-1])
+        order = np.argsort(node, kind="stable")
+        rows, node = rows[order], node[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(node) > 0])
+        here, counts = node[starts] - first, np.diff(np.r_[starts, len(node)])
+        lows, highs = np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts)
+        varying = highs > lows
+        splits = varying.any(axis=1) & (depth < limit)
+
+        pick = np.where(varying, rng.random(varying.shape), -1.0).argmax(axis=1)
+        each = np.arange(len(here))
+        low, high = lows[each, pick], highs[each, pick]
+        cut = low + rng.random(len(here)) * (high - low)
+        cut = np.where(cut < high, cut, low)
+        child = made + 2 * (np.cumsum(splits) - 1)
+
+        level = len(parts["tree"][-1])
+        columns = {"feature": np.full(level, -1), "threshold": np.zeros(level), "low": np.zeros(level, int), "high": np.zeros(level, int), "path": np.zeros(level)}
+        split_here = here[splits]
+        columns["feature"][split_here], columns["threshold"][split_here] = pick[splits], cut[splits]
+        columns["low"][split_here], columns["high"][split_here] = child[splits], child[splits] + 1
+        columns["path"][here[~splits]] = depth + _average_path(counts[~splits])
+        for name, column in columns.items():
+            parts[name].append(column)
+        if not splits.any():
+            break
+
+        group = np.repeat(each, counts)
+        goes_on = splits[group]
+        rows, group = rows[goes_on], group[goes_on]
+        goes_high = rows[np.arange(len(rows)), pick[group]] > cut[group]
+        node = child[group] + goes_high
+        parts["tree"].append(np.repeat(parts["tree"][-1][split_here], 2))
+        made += 2 * len(split_here)
+    return {name: np.concatenate(column) for name, column in parts.items()}
+
+
+def _average_path(n) -> np.ndarray:
     """Mean depth of an unsuccessful search in a binary tree of n rows."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (np.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
+    n = np.asarray(n, dtype=float)
+    many = 2.0 * (np.log(np.maximum(n, 2) - 1.0) + _EULER) - 2.0 * (n - 1.0) / np.maximum(n, 1)
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, many))
 
 
 # ---- scoring (W11) -----------------------------------------------------------------------------
