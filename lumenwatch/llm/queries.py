@@ -1,7 +1,7 @@
 """The queries of this subpackage and their checking SQL."""
 
-from lumenwatch.llm import decontaminate, quality, token_files
+from lumenwatch.llm import decontaminate, packing, quality, token_files
 
-MODULES = (quality, decontaminate, token_files)
+MODULES = (quality, packing, decontaminate, token_files)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
