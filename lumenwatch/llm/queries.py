@@ -1,7 +1,7 @@
 """The queries of this subpackage and their checking SQL."""
 
-from lumenwatch.llm import decontaminate, jaccard, packing, quality, token_files
+from lumenwatch.llm import decontaminate, jaccard, packing, quality, token_files, warc
 
-MODULES = (quality, jaccard, packing, decontaminate, token_files)
+MODULES = (quality, jaccard, packing, decontaminate, token_files, warc)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
