@@ -74,18 +74,3 @@ def totals_before(lengths: Column) -> Column:
 
 def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
-
-
-def span_list(spans: Column, kinds: list[str], by_kind: bool) -> Column:
-    """``kind:start:end`` of (kind, start, end) structs, comma-joined, by kind then start or the other way round."""
-    def order(s: Column) -> Column:
-        kind = F.array_position(F.array(*map(F.lit, kinds)), s["kind"])
-        start = s["start"].cast("long")
-        keys = (kind, start) if by_kind else (start, kind)
-        return F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), s["end"].alias("k2"), s["kind"].alias("kind"), s["start"].alias("start"))
-
-    said = F.transform(
-        F.array_sort(F.transform(spans, order)),
-        lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["k2"].cast("string")),
-    )
-    return F.array_join(said, ",")
