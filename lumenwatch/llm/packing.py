@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenwatch.llm.common import table
-from lumenwatch.llm.tokens import Encoder
+from lumenwatch.llm.tokens import encoder
 
 END_ID = 1
 POOL = 2048
@@ -142,12 +142,12 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, base = Encoder(vocabulary), TaskContext.get().partitionId() << 40
+        encode, base = encoder(vocabulary).encode, TaskContext.get().partitionId() << 40
 
         def documents() -> Iterator[Piece]:
             for batch in batches:
                 keys, texts, bears = (batch.column(i).to_pylist() for i in range(3))
-                for key, raw, n in zip(keys, encoder.encode(texts), bears, strict=True):
+                for key, raw, n in zip(keys, encode(texts), bears, strict=True):
                     ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
                     yield Piece(key, 0, ids, len(ids), 0 if n is None else max(0, len(ids) - n))
 

@@ -1,7 +1,7 @@
 """The queries of this subpackage and their checking SQL."""
 
-from lumenwatch.llm import decontaminate, jaccard, packing, pii, quality, secrets, token_files, warc
+from lumenwatch.llm import decontaminate, jaccard, packing, pii, quality, secrets, token_files, toxicity, warc
 
-MODULES = (quality, jaccard, packing, decontaminate, pii, token_files, warc, secrets)
+MODULES = (quality, toxicity, jaccard, packing, decontaminate, pii, token_files, warc, secrets)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

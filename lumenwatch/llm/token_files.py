@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenwatch.llm.common import table
-from lumenwatch.llm.tokens import Encoder
+from lumenwatch.llm.tokens import encoder
 from lumenwatch.session import scratch_path, settle
 
 END_ID = 0
@@ -61,7 +61,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder(vocabulary), np.asarray([end_id], dtype).tobytes()
+        encode, end = encoder(vocabulary).encode, np.asarray([end_id], dtype).tobytes()
         where, inner = _open(folder)
         where.create_dir(inner, recursive=True)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -72,7 +72,7 @@ def write_token_files(
             for batch in batches:
                 ids, texts = (batch.column(c) for c in (0, 1))
                 lengths = []
-                for raw in encoder.encode(texts.to_pylist()):
+                for raw in encode(texts.to_pylist()):
                     files["bin"].write(np.frombuffer(raw, "<u4").astype(dtype).tobytes() + end)
                     lengths.append(len(raw) // 4 + 1)
                 ends = n_tokens + np.cumsum(lengths, dtype="<u8")

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Pieces whose ids a task remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+_STORE = "_lumenwatch_encoders"
 _LONE_BLANK = re.compile(r"(?<=\S)(?= )")
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
 
 
+def encoder(vocabulary: str | None = None) -> Encoder:
+    """The encoder of this worker process, which later tasks of the process find again with what it remembers."""
+    held = sys.modules.setdefault(_STORE, types.ModuleType(_STORE)).__dict__
+    if ("encoder", vocabulary) not in held:
+        held["encoder", vocabulary] = Encoder(vocabulary)
+    return held["encoder", vocabulary]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
