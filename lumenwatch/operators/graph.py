@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lumenwatch.session import settle
 ROOT = "api-gateway"
 
 
-def hops_from(edges: DataFrame, root: str = ROOT, max_hops: int = 32) -> DataFrame:
+def hops_from(edges: DataFrame, root: str = ROOT) -> DataFrame:
     """Least number of calls from ``root`` to each service; unreachable services have null hops.
 
     Level by level: the newest frontier is joined with the edges and reached services are dropped. Each
@@ -19,7 +21,7 @@ def hops_from(edges: DataFrame, root: str = ROOT, max_hops: int = 32) -> DataFra
     calls = settle(edges.select("caller", "callee").distinct(), "calls")
     frontier = edges.sparkSession.createDataFrame([(root,)], "service_name STRING").withColumn("hops", F.lit(0))
     reached = frontier
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1):
         step = (
             calls.join(frontier, calls["caller"] == frontier["service_name"], "left_semi")
             .select(F.col("callee").alias("service_name"))

@@ -54,9 +54,12 @@ def build_alerts(analyses: DataFrame) -> DataFrame:
 
 
 def with_rules(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rule columns by severity (J6); null where no rule exists. Four rules at most are broadcast."""
-    one_per_severity = rules.where(F.col("severity").isin(*ALERT_SEVERITIES)).dropDuplicates(["severity"])
-    return alerts.join(F.broadcast(one_per_severity), "severity", "left")
+    """Rule columns by severity (J6); null where no rule exists. Four rules at most are broadcast. Two rules of one
+    severity are an error: a table has no last one."""
+    others = [c for c in rules.columns if c != "severity"]
+    single = F.when(F.count("*") > 1, F.raise_error("more than one rule for a severity")).otherwise(F.first(F.struct(*others)))
+    one_per_severity = rules.where(F.col("severity").isin(*ALERT_SEVERITIES)).groupBy("severity").agg(single.alias("rule"))
+    return alerts.join(F.broadcast(one_per_severity.select("severity", "rule.*")), "severity", "left")
 
 
 def gate(alerts_with_rules: DataFrame) -> DataFrame:

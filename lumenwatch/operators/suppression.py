@@ -71,6 +71,8 @@ def _whole(number: Column, step: Column) -> Column:
 
 def _cells(span: pd.DataFrame):
     """Sorted offsets per cell, for the cells of one span."""
+    if span["ttl"].nunique() > 1:
+        raise ValueError("the events of a key must share one ttl")
     at, ttl = np.sort(span["at"].to_numpy()), int(span["ttl"].iloc[0])
     cell = at // ttl
     bounds = np.flatnonzero(np.diff(cell)) + 1
@@ -167,7 +169,7 @@ def admit(pending: DataFrame, capacity: int = MAX_PENDING, ts: str = "detected_a
     last_admitted = (
         pending.select(ts, "id").orderBy(*order).limit(capacity).agg(F.max(F.struct(ts, "id")).alias("__last"))
     )
-    return pending.withColumn("admitted", F.struct(ts, "id") <= last_admitted.scalar())
+    return pending.withColumn("admitted", F.coalesce(F.struct(ts, "id") <= last_admitted.scalar(), F.lit(False)))
 
 
 def active_locks(accepted: DataFrame, as_of: Column, ttl_seconds: int = SUPPRESS_SECONDS) -> DataFrame:

@@ -1268,7 +1268,7 @@ def _(t):
 @query(
     "g1_hops_from_gateway",
     f"""{sql_views('table_graph')}, walk AS (SELECT 'api-gateway' AS service_name, 0 AS hops
-        UNION SELECT g.callee, w.hops + 1 FROM walk w JOIN table_graph g ON g.caller = w.service_name WHERE w.hops < 32),
+        UNION SELECT g.callee, w.hops + 1 FROM walk w JOIN table_graph g ON g.caller = w.service_name),
     named AS (SELECT caller AS service_name FROM table_graph UNION SELECT callee FROM table_graph)
     SELECT n.service_name, min(w.hops) AS hops FROM named n LEFT JOIN walk w USING (service_name) GROUP BY 1""",
 )
@@ -1507,31 +1507,41 @@ def _(t):
 
 
 def event_stream(t: Tables) -> DataFrame:
-    """The events file as a stream of logs."""
-    return streams.file_log_stream(t.spark, f"{t.folder}/events*.parquet", EVENTS).selectExpr(*LOGS)
+    """The events as a stream of logs that takes one of several unordered files per trigger.
 
+    Events are dealt to four files by a hash of their ids, so every file has logs that are late against those before it, and
+    every tenth event comes again in a file of its own.
+    """
+    folder = scratch_path(t.spark, "events")
+    events = t.spark.read.schema(EVENTS).parquet(f"{t.folder}/events.parquet")
+    for part in range(4):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.parquet(f"{folder}/part={part}")
+    events.where("event_id % 10 = 3").coalesce(1).write.parquet(f"{folder}/part=4")
+    stream = streams.file_log_stream(t.spark, f"{folder}/part=*", EVENTS, files_per_trigger=1).selectExpr(*LOGS)
+    return stream.withColumn("attributes", F.create_map(F.lit("latency_ms"), F.col("latency_ms").cast("string")))
 
-@query(
-    "st1_stream_features",
-    f"""{_FEAT} SELECT service_name, {sql_at('window_start')}, {_FEATURES_SHOWN_SQL} FROM feat
-    WHERE window_start + INTERVAL '{WINDOW_SECONDS} seconds' <= (SELECT max(timestamp) - INTERVAL '2 minutes' FROM logs)""",
-)
+
+@query("st1_stream_features", f"{_FEAT} SELECT service_name, {sql_at('window_start')}, {_FEATURES_SHOWN_SQL} FROM feat")
 def _(t):
     out = scratch_path(t.spark, "st1")
-    jobs.stream_features(event_stream(t), f"{out}/rows", f"{out}/progress", WINDOW_SECONDS, rounded=False).awaitTermination()
-    return jobs.read_features(t.spark, f"{out}/rows").select("service_name", at("window_start"), *features_shown())
+    jobs.stream_features(event_stream(t), out, f"{out}/progress", WINDOW_SECONDS, rounded=False).awaitTermination()
+    return jobs.read_features(t.spark, f"{out}/windows").select("service_name", at("window_start"), *features_shown())
 
 
 def landed_features(t: Tables, out: str) -> DataFrame:
     """The feature table as a stream job leaves it, read as a stream."""
     feature_table(t).write.parquet(f"{out}/features/batch_id=0")
-    return jobs.feature_stream(t.spark, f"{out}/features", files_per_trigger=100_000)
+    return jobs.feature_stream(t.spark, f"{out}/features")
 
 
 @query("st2_stream_scores", f"{_STAT} SELECT service_name, {sql_at('window_start')}, stat_warming, stat_score, replace(stat_triggered, '|', ',') AS stat_triggered FROM scored")
 def _(t):
+    """Logs to windows to scores; windows are closed, and scored, in three steps."""
     out = scratch_path(t.spark, "st2")
-    jobs.stream_scores(landed_features(t, out), f"{out}/rows", f"{out}/progress").awaitTermination()
+    jobs.stream_features(event_stream(t), f"{out}/features", f"{out}/progress-f", WINDOW_SECONDS, rounded=False).awaitTermination()
+    for step, upto in enumerate(("TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-19 06:00:00'", None)):
+        jobs.close_windows(t.spark, f"{out}/features/windows", f"{out}/closed", step, None if upto is None else F.expr(upto))
+        jobs.stream_scores(jobs.feature_stream(t.spark, f"{out}/closed"), f"{out}/rows", f"{out}/progress").awaitTermination()
     rows = t.spark.read.schema(jobs.SCORES).parquet(f"{out}/rows")
     return rows.select("service_name", at("window_start"), "stat_warming", "stat_score", "stat_triggered")
 
@@ -1548,7 +1558,7 @@ def _(t):
     out = scratch_path(t.spark, "st4")
     events = event_stream(t).where(ANALYSES_WHERE).selectExpr(*ANALYSES).select("id", "service_name", "severity", F.col("analyzed_at").alias("detected_at"))
     jobs.stream_suppression(events, f"{out}/rows", f"{out}/progress", ttl_seconds=3600).awaitTermination()
-    return t.spark.read.parquet(f"{out}/rows").select("id", "service_name", "severity", "accepted")
+    return jobs.read_decisions(t.spark, f"{out}/rows").select("id", "service_name", "severity", "accepted")
 
 
 @query("st7_landing", f"{sql_views('logs')} SELECT id, {sql_at('timestamp')}, service_name, level, message FROM logs")
@@ -1558,16 +1568,12 @@ def _(t):
     return tables.read_batches(t.spark, f"{out}/logs", TABLE_LOGS).select("id", at("timestamp"), "service_name", "level", "message")
 
 
-@query(
-    "st8_land_then_detect",
-    f"{_FEAT} SELECT service_name, {sql_at('window_start')}, {_FEATURES_SHOWN_SQL} FROM (SELECT * REPLACE (0.0 AS latency_p50, 0.0 AS latency_p95, 0.0 AS latency_p99, 0.0 AS latency_mean) FROM feat)",
-)
+@query("st8_land_then_detect", f"{_FEAT} SELECT service_name, {sql_at('window_start')}, {_FEATURES_SHOWN_SQL} FROM feat")
 def _(t):
     out = scratch_path(t.spark, "st8")
 
     def on_batch(logs: DataFrame, batch_id: int) -> None:
-        rows = features.window_features(logs, WINDOW_SECONDS, rounded=False)
-        rows.write.mode("overwrite").parquet(f"{out}/features/batch_id={batch_id}")
+        jobs.refresh_features(logs, f"{out}/logs", f"{out}/features", batch_id, WINDOW_SECONDS, rounded=False)
 
     jobs.land_logs(records.as_messages(event_stream(t)), f"{out}/logs", f"{out}/progress", on_batch=on_batch).awaitTermination()
     return jobs.read_features(t.spark, f"{out}/features").select("service_name", at("window_start"), *features_shown())
@@ -1580,3 +1586,20 @@ def _(t):
     writer = jobs.without_repeats(repeated).select("id", "service_name").writeStream.format("parquet")
     writer.option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return t.spark.read.schema("id STRING, service_name STRING").parquet(f"{out}/rows")
+
+
+@query(
+    "st10_landing_counts",
+    f"{sql_views('logs')} SELECT CAST(count(*) + count(*) FILTER (CAST(id AS BIGINT) % 10 = 3) AS BIGINT) AS processed, CAST(count(*) FILTER (CAST(id AS BIGINT) % 7 = 2) AS BIGINT) AS errors, "
+    "CAST(count(*) FILTER (CAST(id AS BIGINT) % 7 = 2) AS BIGINT) AS kept_aside FROM logs",
+)
+def _(t):
+    """A job that is stopped after each trigger and started again from its checkpoint, with records that cannot be decoded."""
+    out = scratch_path(t.spark, "st10")
+    good = records.as_messages(event_stream(t)).select("value")
+    bad = streams.file_log_stream(t.spark, f"{t.folder}/events*.parquet", EVENTS).where("event_id % 7 = 2").select(F.concat(F.lit("broken "), F.col("event_id").cast("string")).alias("value"))
+    for _ in range(2):
+        jobs.land_logs(good.unionByName(bad), f"{out}/logs", f"{out}/progress", f"{out}/rejected").awaitTermination()
+    totals = t.spark.read.schema("processed BIGINT, errors BIGINT").json(f"{out}/rejected/counts/*").agg(F.sum("processed").alias("processed"), F.sum("errors").alias("errors"))
+    aside = t.spark.read.schema("raw STRING, reason STRING").json(f"{out}/rejected/rows/*").agg(F.count("*").alias("kept_aside"))
+    return totals.crossJoin(aside)

@@ -6,15 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenwatch.functions.columns import once, parse_timestamp, present, strip
+from lumenwatch.operators.normalise import default_id
 from lumenwatch.schemas import LEVELS, LOG_WIRE, LOGS
 
 _COLUMNS = [field.split()[0] for field in LOGS.split(", ")]
 
 
-def decode_records(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Decode JSON log records; adds ``raw`` and ``decode_error`` (null for good records)."""
-    text = F.col(value).cast("string")
-    rows = once(messages.select(text.alias("raw")), "r", F.from_json("raw", LOG_WIRE))
+def decode_records(messages: DataFrame, value: str = "value", position: Column | None = None) -> DataFrame:
+    """Decode JSON log records; adds ``raw`` and ``decode_error`` (null for good records).
+
+    Missing log and trace ids follow from the record's position: ``position``, or topic, partition and offset where the messages have
+    them. Without a position they are random, so equal records without ids stay apart.
+    """
+    if position is None and {"topic", "partition", "offset"} <= set(messages.columns):
+        position = F.concat_ws(":", "topic", "partition", "offset")
+    seed = F.lit(None).cast("string") if position is None else position.cast("string")
+    rows = once(messages.select(F.col(value).cast("string").alias("raw"), seed.alias("seed")), "r", F.from_json("raw", LOG_WIRE))
+
+    def own(given: Column, kind: str) -> Column:
+        return default_id(given, None if position is None else F.col("seed"), kind, 36)
+
     service, message = strip(F.col("r.service_name")), strip(F.col("r.message"))
     at = parse_timestamp(F.col("r.timestamp"))
     error = (
@@ -25,19 +36,19 @@ def decode_records(messages: DataFrame, value: str = "value") -> DataFrame:
         .when(at.isNull(), "bad_timestamp")
     )
     return rows.select(
-        present(F.col("r.id")).alias("id"),
+        own(present(F.col("r.id")), "log").alias("id"),
         at.alias("timestamp"),
         F.lower(service).alias("service_name"),
         F.col("r.level").alias("level"),
         message.alias("message"),
-        F.coalesce("r.trace_id", F.lit("")).alias("trace_id"),
+        own(F.col("r.trace_id"), "trace").alias("trace_id"),
         F.coalesce("r.span_id", F.lit("")).alias("span_id"),
         F.coalesce("r.host", F.lit("")).alias("host"),
         F.coalesce("r.environment", F.lit("production")).alias("environment"),
         F.coalesce(F.col("r.attributes"), F.expr("CAST(map() AS MAP<STRING,STRING>)")).alias("attributes"),
         "raw",
         error.alias("decode_error"),
-    ).withColumn("id", F.coalesce("id", F.sha2("raw", 256).substr(1, 36)))
+    )
 
 
 def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,6 +93,10 @@ def as_messages(logs: DataFrame) -> DataFrame:
     )
 
 
+def _shown(header: Column) -> Column:
+    return F.struct(header["key"].alias("key"), F.decode(header["value"], "UTF-8").alias("value"))
+
+
 def publish(logs: DataFrame, target: str, kafka_servers: str | None = None) -> None:
     """Write messages to a topic when broker addresses are given, else as JSON files below ``target``."""
     messages = as_messages(logs)
@@ -89,7 +104,7 @@ def publish(logs: DataFrame, target: str, kafka_servers: str | None = None) -> N
         writer = messages.write.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
         writer.option("topic", target).option("includeHeaders", "true").save()
     else:
-        messages.select("key", "value").write.mode("append").json(target)
+        messages.select("key", "value", F.transform("headers", _shown).alias("headers")).write.mode("append").json(target)
 
 
 def write_dead_letters(rejects: DataFrame, path: str) -> None:

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from lumenwatch.schemas import LOGS
 
-# Micro-batch bounds of the source.
-BATCH_RECORDS = 50
-BATCH_SECONDS = 2.0
 
 
-def file_log_stream(spark: SparkSession, path: str, schema: str = LOGS, files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
-    """New files below a folder, oldest first, a bounded number per trigger."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.format(fmt).load(path)
+def file_log_stream(spark: SparkSession, path: str, schema: str = LOGS, files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """New files below a folder, oldest first; all there are per trigger unless bounded."""
+    return _bounded(spark.readStream.schema(schema), files_per_trigger).format(fmt).load(path)
 
 
-def text_record_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+def text_record_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Raw records, one per line, as ``value``."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).format("text").load(path)
+    return _bounded(spark.readStream, files_per_trigger).format("text").load(path)
+
+
+def _bounded(reader, files_per_trigger: int | None):
+    return reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
 
 
 def topic_record_stream(
@@ -29,7 +29,7 @@ def topic_record_stream(
     """Records of a topic from the earliest offset, as ``value`` with their position.
 
     Needs the Kafka connector on the class path. ``records_per_trigger`` defaults to no bound, because a
-    micro-batch on a cluster should be large; ``BATCH_RECORDS`` is the bound of a single small consumer.
+    micro-batch on a cluster should be large.
     """
     reader = (
         spark.readStream.format("kafka")

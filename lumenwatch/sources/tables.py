@@ -53,22 +53,14 @@ def append_new(
     order: Iterable[str],
     time_column: str,
     batch_id: int = 0,
-    within_days: int | None = None,
 ) -> DataFrame:
     """Append new rows below ``path`` and return what this batch has there.
 
     Each batch owns ``batch_id=N`` and overwrites only that, so a replayed batch replaces itself. Only the
-    id column of earlier batches is read. On a long-lived table that is still much for a small batch: where
-    a record that is sent again keeps its time to within some days, ``within_days`` reads only the day
-    partitions around the batch, with the same result.
+    id column of earlier batches is read.
     """
     spark = batch.sparkSession
     target = _earlier(spark, path, schema, batch_id)
-    if target is not None and within_days is not None:
-        day = F.to_date(time_column)
-        first = batch.agg(F.date_sub(F.min(day), within_days)).scalar()
-        last = batch.agg(F.date_add(F.max(day), within_days)).scalar()
-        target = target.where((F.col("event_date") >= first) & (F.col("event_date") <= last))
     fresh = new_rows(batch, target, order).withColumn("event_date", F.to_date(time_column))
     mine = f"{path}/batch_id={batch_id}"
     fresh.write.mode("overwrite").partitionBy("event_date").parquet(mine)
@@ -117,14 +109,22 @@ def merge_alerts(current: DataFrame, batch: DataFrame) -> DataFrame:
 def upsert_alerts(batch: DataFrame, path: str) -> None:
     """Merge a batch into the alert table at ``path``, rewriting only the days in the batch.
 
-    The merged days are staged in the shared folder first, because a table cannot be overwritten while it
+    Of several states of an alert in a batch the last sent one counts. The merged days are staged in the shared folder first, because a table cannot be overwritten while it
     is read; then their partitions are replaced. An alert keeps its ``created_at``, hence its day.
     """
     spark = batch.sparkSession
-    dated = batch.withColumn("created_date", F.to_date("created_at"))
+    state = F.struct(*batch.columns)
+    last = batch.groupBy("id").agg(F.max_by(state, F.struct("sent_at", "status", "created_at")).alias("s")).select("s.*")
+    dated = settle(last.withColumn("created_date", F.to_date("created_at")), "alerts-batch")
     if path_exists(spark, path):
+        stored = read_alerts(spark, path)
+        known = stored.select("id", F.col("created_date").alias("stored_date")).join(dated.select("id"), "id", "left_semi")
+        # A stored alert keeps its day, whatever time the batch names.
+        dated = settle(
+            dated.join(known, "id", "left").withColumn("created_date", F.coalesce("stored_date", "created_date")).drop("stored_date"), "alerts-dated"
+        )
         days = dated.select("created_date").distinct()
-        current = read_alerts(spark, path).join(days, "created_date", "left_semi")
+        current = stored.join(days, "created_date", "left_semi")
     else:
         current = spark.createDataFrame([], f"{ALERTS}, created_date DATE")
     columns = [*current.columns]

@@ -1,7 +1,9 @@
 """Streaming jobs (ST1-ST10). Each returns a started query; state and progress live in its checkpoint.
 
 Stages hand over through landed tables: logs -> features -> scores -> kept anomalies. A stage that fails
-restarts from its checkpoint and rewrites the same ``batch_id=N`` folder.
+restarts from its checkpoint and rewrites the same ``batch_id=N`` folder. Results do not depend on how the input is cut
+into files and micro-batches, nor on its order: a late log or event changes what it touches, and readers take the
+latest version.
 """
 
 from __future__ import annotations
@@ -14,19 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lumenwatch.functions.columns import latency_ms, present
 from lumenwatch.operators import forest
-from lumenwatch.operators.features import WINDOW_SECONDS, features_from_folds
+from lumenwatch.operators.features import WINDOW_SECONDS, window_features
 from lumenwatch.operators.statistical import (
     FLAT, TRIGGER_ABOVE, WEIGHTS, StatisticalConfig, numbered,
 )
-from lumenwatch.operators.suppression import MAX_PENDING, admit
+from lumenwatch.operators.suppression import MAX_PENDING, admit, mark_accepted
 from lumenwatch.schemas import FEATURES, LOGS
 from lumenwatch.session import ROCKSDB_PROVIDER, settle
-from lumenwatch.sources.records import decode_records, split_decoded
-from lumenwatch.sources.tables import append_new, path_exists
+from lumenwatch.sources.records import decode_counts, decode_records, split_decoded
+from lumenwatch.sources.tables import append_new, path_exists, read_batches
 
-LATENESS = "2 minutes"
 FEATURE_TABLE = FEATURES + ", first_log TIMESTAMP, last_log TIMESTAMP"
 
 
@@ -45,91 +45,103 @@ def land_logs(
     checkpoint: str,
     quarantine: str | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
-    within_days: int | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
     """Decode records and append new logs, then call ``on_batch(logs, batch_id)``.
 
     Progress is committed after both have finished. A batch that is run again overwrites its own folder, and
-    ids of earlier batches are skipped, so each log lands once. ``on_batch`` may see a batch twice.
+    ids of earlier batches are skipped, so each log lands once. ``on_batch`` may see a batch twice. Records that cannot
+    be decoded go to ``quarantine`` (beside ``path`` by default) with their reason, and each batch's totals of processed
+    records and errors to ``counts`` below it.
     """
+    rejected = quarantine or f"{path.rstrip('/')}-rejected"
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_records(batch).persist()
-        try:
-            good, bad = split_decoded(decoded)
-            landed = append_new(good, path, LOGS, ["timestamp", "message"], "timestamp", batch_id, within_days)
-            if quarantine:
-                bad.write.mode("overwrite").json(f"{quarantine}/batch_id={batch_id}")
-            if on_batch:
-                on_batch(landed.drop("event_date"), batch_id)
-        finally:
-            decoded.unpersist()
+        decoded = settle(decode_records(batch), "decoded")
+        good, bad = split_decoded(decoded)
+        landed = append_new(good, path, LOGS, ["timestamp", "message"], "timestamp", batch_id)
+        bad.write.mode("overwrite").json(f"{rejected}/rows/batch_id={batch_id}")
+        decode_counts(decoded).write.mode("overwrite").json(f"{rejected}/counts/batch_id={batch_id}")
+        if on_batch:
+            on_batch(landed.drop("event_date"), batch_id)
 
     return _start(messages.writeStream.foreachBatch(process), checkpoint, every)
 
 
-def without_repeats(logs: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Drop ids seen within the watermark (ST9); older repeats are caught when the log is landed."""
-    return logs.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["id"])
+def without_repeats(logs: DataFrame) -> DataFrame:
+    """The first log of each id (ST9), however late. The state holds every id; landing does the same from its table."""
+    return logs.dropDuplicates(["id"])
 
 
-# ---- feature windows (ST1, ST10) -----------------------------------------------------------------
+# ---- feature windows (ST1, ST8, ST10) ------------------------------------------------------------
 
 
-def stream_features(
-    logs: DataFrame,
-    path: str,
-    checkpoint: str,
-    window_seconds: int = WINDOW_SECONDS,
-    lateness: str = LATENESS,
-    rounded: bool = True,
-    every: str | None = None,
-) -> StreamingQuery:
-    """Feature rows of closed windows. Logs later than ``lateness`` do not change a window.
+def refresh_features(
+    logs: DataFrame, table: str, path: str, batch_id: int, window_seconds: int = WINDOW_SECONDS, rounded: bool = True
+) -> None:
+    """Work out anew, from the landed logs at ``table``, every window that the new logs fall into.
 
-    State is one row per (service, window, latency, level) and per (service, window, trace), so a busy
-    service spreads over the state partitions. All rows of a window close in the same micro-batch, and there
-    the batch operator turns them into exact percentiles and distinct counts.
+    Only the days and the (service, window) pairs of the new logs are read. A window gets a new version; a batch that is run
+    again writes the same ones.
     """
-    latency = F.col("latency_ms") if "latency_ms" in logs.columns else latency_ms(F.col("attributes"))
-    slot = F.window("timestamp", f"{window_seconds} seconds").alias("slot")
-    measure = F.struct(
-        F.lit(True).alias("is_log"), latency.cast("double").alias("latency"), F.col("level").alias("level"),
-        F.lit(None).cast("string").alias("trace"),
-    )
-    trace = F.struct(
-        F.lit(False).alias("is_log"), F.lit(None).cast("double").alias("latency"),
-        F.lit(None).cast("string").alias("level"), present(F.col("trace_id")).alias("trace"),
-    )
-    parts = logs.withWatermark("timestamp", lateness).select("service_name", "timestamp", F.explode(F.array(measure, trace)).alias("p"))
-    folds = (
-        parts.where("p.is_log OR p.trace IS NOT NULL")
-        .groupBy(slot, "service_name", "p.is_log", "p.latency", "p.level", "p.trace")
-        .agg(F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+    spark = logs.sparkSession
+    slot = F.window("timestamp", f"{window_seconds} seconds")["start"].alias("slot_start")
+    touched = settle(logs.select("service_name", slot).distinct(), "touched-windows")
+    first, last = touched.agg(F.min("slot_start"), F.max("slot_start") + F.expr(f"INTERVAL {window_seconds} SECONDS")).first()
+    if first is None:
+        return
+    rows = read_batches(spark, table, LOGS).where(
+        (F.col("batch_id") <= batch_id)
+        & F.col("event_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
+        & (F.col("timestamp") >= F.lit(first)) & (F.col("timestamp") < F.lit(last))
     )
+    rows = rows.select("*", slot).join(touched, ["service_name", "slot_start"], "left_semi").drop("slot_start", "event_date", "batch_id")
+    window_features(rows, window_seconds, rounded).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        keys = ["service_name", "slot_start", "slot_end"]
-        closed = batch.withColumns({"slot_start": F.col("slot.start"), "slot_end": F.col("slot.end")}).persist()
-        try:
-            traces = closed.where(~F.col("is_log")).groupBy(*keys).agg(F.count("*").alias("unique_traces"))
-            features = features_from_folds(closed.where("is_log"), traces, window_seconds, rounded)
-            features.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        finally:
-            closed.unpersist()
 
-    return _start(folds.writeStream.outputMode("append").foreachBatch(write), checkpoint, every)
+def stream_features(
+    logs: DataFrame, path: str, checkpoint: str, window_seconds: int = WINDOW_SECONDS, rounded: bool = True, every: str | None = None
+) -> StreamingQuery:
+    """Feature rows of a stream of logs: ``path``/logs has each log once, ``path``/windows the versions of windows."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        landed = append_new(batch.select(*_LOG_COLUMNS), f"{path}/logs", LOGS, ["timestamp", "message"], "timestamp", batch_id)
+        refresh_features(landed, f"{path}/logs", f"{path}/windows", batch_id, window_seconds, rounded)
+
+    return _start(logs.writeStream.foreachBatch(process), checkpoint, every)
+
+
+_LOG_COLUMNS = [field.split()[0] for field in LOGS.split(", ")]
+
+
+def latest(rows: DataFrame, key: str) -> DataFrame:
+    """The version of each row from the last batch that wrote it."""
+    columns = [c for c in rows.columns if c != "batch_id"]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch_id").alias("row")).select("row.*")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FEATURE_TABLE).parquet(f"{path}/batch_id=*")
+    """The windows as they now stand."""
+    return latest(spark.read.schema(f"{FEATURE_TABLE}, batch_id BIGINT").parquet(path), "window_id")
 
 
-def feature_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """A landed feature table as a stream."""
-    reader = spark.readStream.schema(FEATURE_TABLE).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{path}/batch_id=*")
+def close_windows(spark: SparkSession, path: str, closed: str, batch_id: int, upto=None) -> None:
+    """Land at ``closed`` the windows of ``path`` that end by ``upto`` (all without it) and are not there yet.
+
+    Scoring takes windows in order and once, so it reads closed ones; a later version of a closed window stays out.
+    """
+    rows = read_features(spark, path)
+    if upto is not None:
+        rows = rows.where(F.col("window_end") <= upto)
+    before = _before(spark, closed, FEATURE_TABLE, batch_id)
+    if before is not None:
+        rows = rows.join(before.select("window_id"), "window_id", "left_anti")
+    rows.select([f.split()[0] for f in FEATURE_TABLE.split(", ")]).write.mode("overwrite").parquet(f"{closed}/batch_id={batch_id}")
+
+
+def feature_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A landed table of closed windows as a stream. A trigger takes all files there are, so it never splits a landed batch."""
+    return spark.readStream.schema(FEATURE_TABLE).parquet(f"{path}/batch_id=*")
 
 
 # ---- statistical scoring (ST2) -------------------------------------------------------------------
@@ -195,12 +207,17 @@ def stream_scores(
     features: DataFrame, path: str, checkpoint: str, config: StatisticalConfig = StatisticalConfig(), every: str | None = None
 ) -> StreamingQuery:
     """Statistical scores of closed windows with state per service."""
-    features.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     # Windows are few beside logs, and a service has one per window length, so a key stays small.
     scored = features.groupBy("service_name").transformWithStateInPandas(
         statefulProcessor=RollingScorer(config), outputStructType=SCORES, outputMode="append", timeMode="None"
     )
-    return _start(scored.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, every)
+    spark, name = features.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB_PROVIDER)  # the query keeps the setting it starts with
+    try:
+        return _start(scored.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, every)
+    finally:
+        spark.conf.set(name, was)
 
 
 # ---- forest scoring (ST3) ------------------------------------------------------------------------
@@ -256,58 +273,52 @@ def _before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataF
 # ---- suppression, cooldown, admission (ST4, ST5, ST6) ---------------------------------------------
 
 
-class LastKept(StatefulProcessor):
-    """Per key: the time of the last kept event, in microseconds."""
-
-    def __init__(self, ts: str, event_id: str, columns: list[str]):
-        self.ts, self.event_id, self.columns = ts, event_id, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_kept", "at BIGINT")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values([self.ts, self.event_id])
-        last = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for at, ttl in zip(part[self.ts].astype("datetime64[us]").astype("int64"), part["ttl_seconds"]):
-            keep = last is None or at - last >= ttl * 1_000_000
-            last = at if keep else last
-            kept.append(keep)
-        if last is not None:
-            self.last.update((int(last),))
-        yield part[self.columns].astype({c: object for c in ("id", "service_name", "severity")}).assign(accepted=kept)
-
-    def close(self) -> None:
-        pass
-
-
 def stream_suppression(
     events: DataFrame, path: str, checkpoint: str, ts: str = "detected_at", ttl_seconds=300, every: str | None = None
 ) -> StreamingQuery:
     """Mark events kept or suppressed per (service, severity). ``ttl_seconds`` is a number (ST4) or a column
-    of ``events`` such as the cooldown of its rule (ST5)."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    columns = ["id", "service_name", "severity", ts]
+    of ``events`` such as the cooldown of its rule (ST5).
+
+    A batch decides its keys anew from its earliest event on, after the last event kept before that, so the decisions
+    are those of the batch operator over all events so far, in whatever order they come. ``read_decisions`` gives
+    the latest.
+    """
+    keys, columns = ["service_name", "severity"], ["id", "service_name", "severity", ts]
     ttl = F.col(ttl_seconds) if isinstance(ttl_seconds, str) else F.lit(ttl_seconds)
-    marked = (
-        events.select(*columns, ttl.cast("bigint").alias("ttl_seconds"))
-        .groupBy("service_name", "severity")
-        .transformWithStateInPandas(
-            statefulProcessor=LastKept(ts, "id", columns),
-            outputStructType=f"id STRING, service_name STRING, severity STRING, {ts} TIMESTAMP, accepted BOOLEAN",
-            outputMode="append",
-            timeMode="None",
-        )
-    )
-    return _start(marked.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, every)
+    schema = f"id STRING, service_name STRING, severity STRING, {ts} TIMESTAMP, ttl_seconds BIGINT"
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark, here = batch.sparkSession, f"batch_id={batch_id}"
+        batch.select(*columns, ttl.cast("bigint").alias("ttl_seconds")).write.mode("overwrite").parquet(f"{path}/events/{here}")
+        new = spark.read.schema(schema).parquet(f"{path}/events/{here}")
+        since = settle(new.groupBy(*keys).agg(F.min(ts).alias("since")), "since")
+        again = _up_to(spark, f"{path}/events", schema, batch_id).join(since, keys).where(F.col(ts) >= F.col("since"))
+        again = again.dropDuplicates(["id"]).select(*columns, "ttl_seconds", F.lit(False).alias("known"))
+        if path_exists(spark, f"{path}/decisions"):
+            known = spark.read.schema(f"{schema}, accepted BOOLEAN, batch_id BIGINT").parquet(f"{path}/decisions").where(F.col("batch_id") < batch_id)
+            kept = latest(known.join(since, keys).where(F.col(ts) < F.col("since")), "id").where("accepted")
+            last = kept.groupBy(*keys).agg(F.max_by(F.struct(*columns, "ttl_seconds"), F.struct(ts, "id")).alias("row")).select("row.*")
+            again = again.unionByName(last.withColumn("known", F.lit(True)))
+        marked = mark_accepted(settle(again, "to-decide"), keys, ts, "id", F.col("ttl_seconds"))
+        marked.where("NOT known").drop("known").write.mode("overwrite").parquet(f"{path}/decisions/{here}")
+
+    return _start(events.writeStream.foreachBatch(process), checkpoint, every)
+
+
+def read_decisions(spark: SparkSession, path: str, ts: str = "detected_at") -> DataFrame:
+    schema = f"id STRING, service_name STRING, severity STRING, {ts} TIMESTAMP, accepted BOOLEAN, batch_id BIGINT"
+    return latest(spark.read.schema(schema).parquet(f"{path}/decisions"), "id")
 
 
 def stream_admission(
-    events: DataFrame, path: str, checkpoint: str, capacity: int = MAX_PENDING, every: str | None = None
+    events: DataFrame, path: str, checkpoint: str, pending: Callable[[int], int], capacity: int = MAX_PENDING, every: str | None = None
 ) -> StreamingQuery:
-    """At most ``capacity`` rows of a micro-batch are admitted; the others are kept with ``admitted`` false."""
+    """Admit the oldest rows while at most ``capacity`` are pending; the others are kept with ``admitted`` false.
+
+    ``pending(batch_id)`` says how many admitted rows still wait when a batch begins.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        admit(batch, capacity).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        admit(batch, max(0, capacity - pending(batch_id))).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return _start(events.writeStream.foreachBatch(process), checkpoint, every)

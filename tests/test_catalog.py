@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check_oracles
+from lumenwatch.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,10 +14,14 @@ def db():
     return check_oracles.database(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+#: Queries that have no rows on the smallest data, where no window is past its warm-up.
+MAY_BE_EMPTY: set[str] = set()
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_matches_sql(spark, db, name):
-    problem = check_oracles.compare(spark, db, entry.queries()[name], entry.oracle_sql().get(name), FOLDER)
-    assert problem in (None, "both empty", "no rows")
+    problem = check_oracles.compare(spark, db, catalog.QUERIES[name], catalog.ORACLES.get(name), FOLDER)
+    assert problem is None or (name in MAY_BE_EMPTY and problem in ("both empty", "no rows"))
 
 
 def test_entry_has_scored_windows(spark):

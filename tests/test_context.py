@@ -75,6 +75,12 @@ def test_hops(spark, edges):
     assert hops["island"] is None and hops["shore"] is None
 
 
+def test_hops_over_a_long_chain(spark):
+    chain = spark.createDataFrame([(f"s{i}" if i else "api-gateway", f"s{i + 1}") for i in range(36)], "caller STRING, callee STRING")
+    hops = {r.service_name: r.hops for r in hops_from(chain).collect()}
+    assert hops == {"api-gateway": 0} | {f"s{i}": i for i in range(1, 37)}
+
+
 def test_missing_context_is_empty(anomalies, logs, edges):
     row = assemble_context(anomalies, logs, edges).where("service_name = 'absent'").first()
     assert (row.recent_logs, row.error_logs, row.dependencies, row.dependents, row.metrics) == ([], [], [], [], {})

@@ -39,22 +39,29 @@ def by_window(df):
     return {(r.service_name, r.window_start): (r.total_logs, r.error_count, r.latency_p50, r.latency_p95, r.latency_p99, r.unique_traces, r.logs_per_second) for r in df.collect()}
 
 
-def test_feature_stream_equals_batch_and_drops_late_logs(spark, tmp_path):
+@pytest.mark.parametrize("files_per_trigger", [1, None])
+def test_feature_stream_equals_batch_in_any_order(spark, tmp_path, files_per_trigger):
     source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
-    parts = [random_logs(300, 0, 300, 1), random_logs(300, 300, 620, 2), random_logs(50, 900, 960, 3)]
+    parts = [random_logs(300, 300, 620, 2), random_logs(50, 900, 960, 3), random_logs(300, 0, 300, 1)]
+    parts.append([("late", 10, "a", "ERROR", "t", 5), *parts[0][:20]])
     for i, part in enumerate(parts):
         put(log_frame(spark, part), source, f"b{i}")
-        jobs.stream_features(log_source(spark, source), out, progress).awaitTermination()
-    expected = by_window(window_features(log_frame(spark, sum(parts, []))).where(F.col("window_end") <= F.lit(at(960 - 120 - 60))))
-    got = by_window(jobs.read_features(spark, out))
-    assert expected and {k: got[k] for k in expected} == expected
-    # Far too late: the window is closed and stays as it is.
-    put(log_frame(spark, [("late", 10, "a", "ERROR", "t", 5)]), source, "late")
-    put(log_frame(spark, random_logs(20, 2000, 2050, 4)), source, "next")
-    jobs.stream_features(log_source(spark, source), out, progress).awaitTermination()
-    after = by_window(jobs.read_features(spark, out))
-    assert {k: after[k] for k in expected} == expected
-    assert jobs.read_features(spark, out).count() == len(after)
+        if i % 2:  # two files wait, so the source cuts them as it likes
+            stream = streams.file_log_stream(spark, str(source / "*"), files_per_trigger=files_per_trigger)
+            jobs.stream_features(stream, out, progress).awaitTermination()
+    expected = by_window(window_features(log_frame(spark, sum(parts, [])).dropDuplicates(["id"])))
+    assert expected and by_window(jobs.read_features(spark, f"{out}/windows")) == expected
+
+
+def test_closed_windows_land_once_and_in_order(spark, tmp_path):
+    out, closed = str(tmp_path / "out"), str(tmp_path / "closed")
+    put(log_frame(spark, random_logs(200, 0, 600, 6)), tmp_path / "in", "a")
+    jobs.stream_features(log_source(spark, tmp_path / "in"), out, str(tmp_path / "progress")).awaitTermination()
+    jobs.close_windows(spark, f"{out}/windows", closed, 0, F.lit(at(300)))
+    jobs.close_windows(spark, f"{out}/windows", closed, 1)
+    rows = spark.read.parquet(closed).collect()
+    assert len(rows) == len({r.window_id for r in rows}) == jobs.read_features(spark, f"{out}/windows").count()
+    assert max(r.window_end for r in rows if r.batch_id == 0) <= min(r.window_start for r in rows if r.batch_id == 1)
 
 
 def feature_batches(spark, windows, sizes, folder):
@@ -100,13 +107,13 @@ def test_suppression_stream_equals_batch(spark, tmp_path):
     schema = "id STRING, service_name STRING, severity STRING, detected_at TIMESTAMP, cooldown INT"
     frame = spark.createDataFrame([(i, s, sev, at(t), 300 if sev == "high" else 900) for t, i, s, sev in events], schema)
     out = str(tmp_path / "out")
-    for n, (low, high) in enumerate([(0, 4000), (4000, 9000), (9000, 20_000)]):
-        part = frame.where((F.col("detected_at") >= F.lit(at(low))) & (F.col("detected_at") < F.lit(at(high))))
-        put(part, tmp_path / "in", f"b{n}")
-        source = streams.file_log_stream(spark, str(tmp_path / "in" / "*"), schema)
-        jobs.stream_suppression(source, out, str(tmp_path / "progress"), ttl_seconds="cooldown").awaitTermination()
+    for n in range(4):  # unordered files, and one that comes again
+        put(frame.where((F.pmod(F.xxhash64("id"), F.lit(4)) == n) | (F.lit(n == 3) & F.col("id").endswith("7"))), tmp_path / "in", f"b{n}")
+        if n != 1:
+            source = streams.file_log_stream(spark, str(tmp_path / "in" / "*"), schema, files_per_trigger=1)
+            jobs.stream_suppression(source, out, str(tmp_path / "progress"), ttl_seconds="cooldown").awaitTermination()
     batch = mark_accepted(frame, ["service_name", "severity"], "detected_at", "id", F.col("cooldown"))
-    assert {r.id: r.accepted for r in spark.read.parquet(out).collect()} == {r.id: r.accepted for r in batch.collect()}
+    assert {r.id: r.accepted for r in jobs.read_decisions(spark, out).collect()} == {r.id: r.accepted for r in batch.collect()}
 
 
 def record(i, **changes):
@@ -141,21 +148,33 @@ def test_landing_restarts_without_loss_or_repeats(spark, tmp_path):
     rows = tables.read_batches(spark, out, LOGS).collect()
     assert sorted((r.id, r.message) for r in rows) == [("1", "m1"), ("2", "m2"), ("3", "m3")]
     assert [n for _, n in seen] == [2, 1]
-    assert spark.read.json(f"{quarantine}/*").count() == 1
+    assert spark.read.json(f"{quarantine}/rows/*").count() == 1
+    assert spark.read.json(f"{quarantine}/counts/*").agg(F.sum("processed"), F.sum("errors")).first()[:] == (5, 1)
+
+
+def test_equal_records_without_ids_stay_apart(spark, tmp_path):
+    line = json.dumps({"timestamp": "2024-01-15T00:00:00Z", "service_name": "s", "level": "INFO", "message": "m"})
+    write_lines(tmp_path / "in", "1.txt", [line, line, line])
+    source, out = streams.text_record_stream(spark, str(tmp_path / "in")), str(tmp_path / "logs")
+    jobs.land_logs(source, out, str(tmp_path / "progress")).awaitTermination()
+    rows = tables.read_batches(spark, out, LOGS).collect()
+    assert len({r.id for r in rows}) == len({r.trace_id for r in rows}) == 3
 
 
-def test_repeats_within_the_watermark(spark, tmp_path):
-    rows = random_logs(30, 0, 60, 8)
+def test_late_logs_pass_and_repeats_do_not(spark, tmp_path):
+    rows, late = random_logs(30, 5000, 5060, 8), random_logs(10, 0, 60, 9)
     put(log_frame(spark, rows + rows[:10]), tmp_path / "in", "a")
-    query = jobs.without_repeats(log_source(spark, tmp_path / "in")).writeStream.format("parquet")
+    put(log_frame(spark, late + rows[:5]), tmp_path / "in", "b")
+    source = streams.file_log_stream(spark, str(tmp_path / "in" / "*"), files_per_trigger=1)
+    query = jobs.without_repeats(source).writeStream.format("parquet")
     query.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
 
 
-def test_admission_per_trigger(spark, tmp_path):
+def test_admission_counts_what_is_pending(spark, tmp_path):
     for n in range(2):
         put(spark.range(n * 10, n * 10 + 10).selectExpr("CAST(id AS STRING) AS id", "timestamp_seconds(id) AS detected_at"), tmp_path / "in", f"b{n}")
-    source = streams.file_log_stream(spark, str(tmp_path / "in" / "*"), "id STRING, detected_at TIMESTAMP")
-    jobs.stream_admission(source, str(tmp_path / "out"), str(tmp_path / "progress"), capacity=6).awaitTermination()
+    source = streams.file_log_stream(spark, str(tmp_path / "in" / "*"), "id STRING, detected_at TIMESTAMP", files_per_trigger=1)
+    jobs.stream_admission(source, str(tmp_path / "out"), str(tmp_path / "progress"), pending=lambda batch: 5 * batch, capacity=5).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out"))
-    assert (rows.count(), rows.where("admitted").count()) == (20, 12)
+    assert (rows.count(), rows.where("admitted").count(), rows.where("admitted AND id < 10").count()) == (20, 5, 5)

@@ -34,7 +34,7 @@ def test_day_bound_reads_only_days_around_the_batch(spark, tmp_path):
     path, order = str(tmp_path / "logs"), ["timestamp", "message"]
     tables.append_new(log_rows(spark, ("1", 0, "a"), ("2", 900_000, "b")), path, LOGS, order, "timestamp", 0)
     batch = log_rows(spark, ("1", 10, "again"), ("3", 5, "new"))
-    assert tables.append_new(batch, path, LOGS, order, "timestamp", 1, within_days=1).count() == 1
+    assert tables.append_new(batch, path, LOGS, order, "timestamp", 1).count() == 1
     assert stored(spark, path) == {"1": "a", "2": "b", "3": "new"}
 
 
