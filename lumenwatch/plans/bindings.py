@@ -76,6 +76,7 @@ RAW_RECORDS = (
        WHEN 6 THEN concat('{"service_name":"', service_name, '","message":')
        ELSE '   ' END AS raw""",
 )
+# The call graph of the checking queries.
 EDGES = (
     ("api-gateway", "auth-service"), ("api-gateway", "payment-service"), ("api-gateway", "order-service"),
     ("payment-service", "postgres-primary"), ("payment-service", "redis-cache"), ("payment-service", "fraud-service"),

@@ -1179,10 +1179,10 @@ def _(t):
 @query(
     "r8_chat_messages",
     f"""{_ROUTABLE} SELECT id, {_case('severity', fx.SEVERITY_COLOR)} AS color, concat({_case('severity', fx.SEVERITY_EMOJI)}, ' ', title) AS header,
-    concat('*Root cause:* ', root_cause, chr(10), '*Confidence:* ', k, '%    *Escalate:* ', CASE WHEN escalate_to = '' THEN '_no escalation_' ELSE concat('→ *', escalate_to, '*') END) AS cause,
-    concat('*Affected*', chr(10), '`', service_name, '`, `api-gateway`') AS affected, 'divider' AS fourth,
-    concat('*Remediation steps:*', chr(10), array_to_string({_STEPS}, chr(10))) AS steps,
-    concat('{payloads.SENDER}  •  ', strftime(created_at, '%Y-%m-%d %H:%M:%S'), ' UTC  •  anomaly `', substr(anomaly_id, 1, 8), '`') AS footer FROM coerced""",
+    concat('*What happened*', chr(10), root_cause, chr(10), '*Certainty* ', k, '%, *call* ', CASE WHEN escalate_to = '' THEN '_nobody named_' ELSE concat('*', escalate_to, '*') END) AS cause,
+    concat('*Also touched*', chr(10), '`', service_name, '`, `api-gateway`') AS affected, 'divider' AS fourth,
+    concat('*Then*', chr(10), array_to_string({_STEPS}, chr(10))) AS steps,
+    concat('Lumenwatch | ', strftime(created_at, '%Y-%m-%d %H:%M:%S'), ' UTC | for anomaly `', substr(anomaly_id, 1, 8), '`') AS footer FROM coerced""",
 )
 def _(t):
     message = payloads.with_chat_message(alerts_built(t))
@@ -1401,7 +1401,7 @@ _CONTEXT = f"{_QUEUED}, {_EDGE_VIEW}, {_nearby_sql('near', 50, source='elig', at
 
 
 def _listed_sql(source: str, limit: int) -> str:
-    return f"(SELECT string_agg('  ' || line, chr(10) ORDER BY position) FROM {source} n WHERE n.anomaly_id = e.id AND position <= {limit})"
+    return f"(SELECT string_agg('- ' || line, chr(10) ORDER BY position) FROM {source} n WHERE n.anomaly_id = e.id AND position <= {limit})"
 
 
 def _pf(fmt: str, value: str, digits: int) -> str:
@@ -1409,14 +1409,14 @@ def _pf(fmt: str, value: str, digits: int) -> str:
 
 
 _PROMPT = f"""concat_ws(chr(10) || chr(10),
-    concat('=== ANOMALY ALERT ===', chr(10), 'Service:       ', e.service_name, chr(10), 'Score:         ', {_pf('%.3f', 'anomaly_score', 3)}, ' / 1.000', chr(10), 'Severity:      ', upper(severity), chr(10), 'Window:        {WINDOW_SECONDS}s'),
-    concat('=== WINDOW METRICS ===', chr(10), '  error_rate:      ', printf('%.1f', {hu(hun('err', 6) + ' * 100', 1)}), '%', chr(10), '  error_count:     ', error_count, chr(10), '  critical_count:  ', critical_count, chr(10),
-           '  latency_p50:     ', {_pf('%.1f', 'latency_p50', 1)}, ' ms', chr(10), '  latency_p95:     ', {_pf('%.1f', 'latency_p95', 1)}, ' ms', chr(10), '  latency_p99:     ', {_pf('%.1f', 'latency_p99', 1)}, ' ms', chr(10), '  logs_per_second: ', {_pf('%.1f', 'logs_per_second', 1)}),
-    concat('=== DETECTOR SIGNALS ===', chr(10), '  [statistical]  score=', {_pf('%.3f', 'anomaly_score', 3)}, '  triggered_on=', CASE WHEN stat_triggered = '' THEN 'none' ELSE replace(stat_triggered, '|', ', ') END, chr(10), '  [isolation_forest]  score=0.000  triggered_on=none'),
-    coalesce('=== RECENT ERROR LOGS (newest first) ===' || chr(10) || {_listed_sql('errs', 15)}, '=== RECENT ERROR LOGS ===' || chr(10) || '  (none captured)'),
-    '=== RECENT LOGS (sample) ===' || chr(10) || {_listed_sql('near', 10)},
-    concat('=== SERVICE DEPENDENCIES ===', chr(10), '  calls:      ', coalesce(replace(o.dependencies, ',', ', '), 'none'), chr(10), '  called_by:  ', coalesce(replace(i.dependents, ',', ', '), 'none')),
-    '{rootcause.CLOSING}')"""
+    concat('Incident in ', e.service_name, chr(10), '- anomaly score ', {_pf('%.3f', 'anomaly_score', 3)}, ' of 1', chr(10), '- judged ', severity, chr(10), '- seen in a window of {WINDOW_SECONDS} seconds'),
+    concat('What the window shows', chr(10), '- failed logs ', printf('%.1f', {hu(hun('err', 6) + ' * 100', 1)}), '% (', error_count, ' errors, ', critical_count, ' critical)', chr(10),
+           '- latency in ms: median ', {_pf('%.1f', 'latency_p50', 1)}, ', 95th ', {_pf('%.1f', 'latency_p95', 1)}, ', 99th ', {_pf('%.1f', 'latency_p99', 1)}, chr(10), '- ', {_pf('%.1f', 'logs_per_second', 1)}, ' logs each second'),
+    concat('Detectors', chr(10), '- statistical gives ', {_pf('%.3f', 'anomaly_score', 3)}, ', raised by ', CASE WHEN stat_triggered = '' THEN 'nothing' ELSE replace(stat_triggered, '|', ', ') END, chr(10), '- isolation_forest gives 0.000, raised by nothing'),
+    coalesce('Errors before it, newest first' || chr(10) || {_listed_sql('errs', 15)}, 'Errors before it: none captured'),
+    'Any logs before it, newest first' || chr(10) || {_listed_sql('near', 10)},
+    concat('Neighbours', chr(10), '- it calls ', coalesce(replace(o.dependencies, ',', ', '), 'nothing'), chr(10), '- it is called by ', coalesce(replace(i.dependents, ',', ', '), 'nothing')),
+    'Weigh this evidence and answer with the JSON object alone.')"""
 
 
 def prompts(t: Tables) -> DataFrame:
@@ -1435,12 +1435,13 @@ _EVIDENCE = f"(SELECT line FROM errs n WHERE n.anomaly_id = e.id AND position =
 @query(
     "u2_inference",
     f"""{_CONTEXT} SELECT e.id AS anomaly_id, coalesce('Errors before the anomaly: ' || {_EVIDENCE}, 'Insufficient evidence for ' || e.service_name) AS root_cause,
-    CASE WHEN {_EVIDENCE} IS NULL THEN 0.3 ELSE {hu('0.4 + 0.5 * anomaly_score', 6)} END AS confidence, '' AS response_error, 'rules' AS llm_model FROM elig e""",
+    CASE WHEN {_EVIDENCE} IS NULL THEN 0.3 ELSE {hu('0.4 + 0.5 * anomaly_score', 6)} END AS confidence, '' AS response_error, 'rules' AS llm_model,
+    len(list_filter(string_split_regex({_PROMPT}, '\\s+'), lambda x: x <> '')) AS prompt_tokens FROM elig e LEFT JOIN outs o USING (service_name) LEFT JOIN ins i USING (service_name)""",
 )
 def _(t):
     answered = rootcause.infer(prompts(t))
     return answered.select(
-        "anomaly_id", F.get_json_object("response", "$.root_cause").alias("root_cause"),
+        "anomaly_id", F.col("prompt_tokens").cast("long").alias("prompt_tokens"), F.get_json_object("response", "$.root_cause").alias("root_cause"),
         F.round(F.get_json_object("response", "$.confidence").cast("double"), 6).alias("confidence"), "response_error", "llm_model",
     )
 

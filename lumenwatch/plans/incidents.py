@@ -55,7 +55,7 @@ def analyze_anomalies(
         (F.col("detected_at") if analyzed_at is None else analyzed_at).alias("analyzed_at"),
         "service_name", "anomaly_id", "anomaly_score", "severity", "root_cause", "confidence", "affected_services",
         "recommended_action", "remediation_steps", "timeline", "contributing_factors", "escalate_to", "llm_model",
-        F.lit(0).alias("prompt_tokens"), F.lit(0).alias("completion_tokens"), "analysis_duration_ms", "success",
+        "prompt_tokens", "completion_tokens", "analysis_duration_ms", "success",
         "error_message",
     )
     return with_raw_result(rows)

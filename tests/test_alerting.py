@@ -79,9 +79,9 @@ def test_chat_message(spark):
     assert attachment["color"] == "#800000"
     assert [b["type"] for b in blocks] == ["header", "section", "section", "divider", "section", "context"]
     assert blocks[0]["text"]["text"].startswith(":fire: [CRITICAL]")
-    assert "*Confidence:* 84%" in blocks[1]["text"]["text"] and "→ *database-team*" in blocks[1]["text"]["text"]
-    assert blocks[2]["fields"][1]["text"] == "*Affected*\n`payment-service`, `order-service`"
-    assert blocks[4]["text"]["text"] == "*Remediation steps:*\n" + "\n".join(f"{n}. step {n}" for n in range(1, 6))
+    assert "*Certainty* 84%" in blocks[1]["text"]["text"] and "*call* *database-team*" in blocks[1]["text"]["text"]
+    assert blocks[2]["fields"][1]["text"] == "*Also touched*\n`payment-service`, `order-service`"
+    assert blocks[4]["text"]["text"] == "*Then*\n" + "\n".join(f"{n}. step {n}" for n in range(1, 6))
     assert "2024-01-15 00:00:00 UTC" in blocks[5]["elements"][0]["text"]
 
 
@@ -91,8 +91,8 @@ def test_chat_message_without_steps_or_team(spark):
     )
     text = payloads.with_chat_message(bare).first().chat_message
     blocks = json.loads(text)["attachments"][0]["blocks"]
-    assert "_No steps provided_" in blocks[4]["text"]["text"] and "_unknown_" in blocks[2]["fields"][1]["text"]
-    assert "_no escalation_" in blocks[1]["text"]["text"] and 'say "hi" 100%\\' in blocks[1]["text"]["text"]
+    assert "_none suggested_" in blocks[4]["text"]["text"] and "_not stated_" in blocks[2]["fields"][1]["text"]
+    assert "_nobody named_" in blocks[1]["text"]["text"] and 'say "hi" 100%\\' in blocks[1]["text"]["text"]
 
 
 @pytest.mark.parametrize("severity,mapped", [("critical", "critical"), ("high", "error"), ("medium", "warning"), ("low", "info")])

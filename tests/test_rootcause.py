@@ -25,17 +25,17 @@ def contexts(spark, recent=(), errors=(), metrics=None):
 
 def test_prompt_sections(spark):
     text = rootcause.with_prompt(contexts(spark, [f"log {i}" for i in range(50)], [f"err {i}" for i in range(30)], {"cpu_usage_pct": 12.5, "error_rate_5m": -1.0})).first().prompt
-    assert "Score:         0.870 / 1.000" in text and "Severity:      HIGH" in text and "error_rate:      42.0%" in text
-    assert "[statistical]  score=0.900  triggered_on=error_rate, latency_p95" in text and "triggered_on=none" in text
+    assert "anomaly score 0.870 of 1" in text and "judged high" in text and "failed logs 42.0% (42 errors, 3 critical)" in text
+    assert "statistical gives 0.900, raised by error_rate, latency_p95" in text and "isolation_forest gives 0.000, raised by nothing" in text
     assert "err 14" in text and "err 15" not in text and "log 9" in text and "log 10" not in text
-    assert "error_rate_5m: unavailable\n  cpu_usage_pct: 12.500" in text
-    assert "calls:      redis-cache, postgres-primary\n  called_by:  none" in text
-    assert text.endswith(rootcause.CLOSING)
+    assert "error_rate_5m is not available\n- cpu_usage_pct is 12.500" in text
+    assert "it calls redis-cache, postgres-primary\n- it is called by nothing" in text
+    assert text.endswith("JSON object alone.")
 
 
 def test_prompt_without_evidence(spark):
     text = rootcause.with_prompt(contexts(spark)).first().prompt
-    assert "(none captured)" in text and "RECENT LOGS (sample)" not in text and "PROMETHEUS" not in text
+    assert "none captured" in text and "Any logs" not in text and "Service metrics" not in text
 
 
 def parse(spark, *answers, error=""):
@@ -82,6 +82,21 @@ def test_one_failing_row_fails_alone(spark):
     assert rows["payment-service"].response_error == "" and rows["payment-service"].llm_model == "test-model"
 
 
+def test_short_answer_lists_are_asked_again_by_row(spark):
+    asked = []
+
+    def analyzer(batch):
+        asked.append(len(batch))
+        return [rootcause.Answer(json.dumps(GOOD), 7, 3)] if len(batch) == 1 else [json.dumps(GOOD)]
+
+    prompts = rootcause.with_prompt(contexts(spark))
+    three = prompts.unionByName(prompts).unionByName(prompts).coalesce(1)
+    rows = rootcause.infer(three, analyzer).collect()
+    assert [(r.response_error, r.prompt_tokens, r.completion_tokens) for r in rows] == [("", 7, 3)] * 3
+    short = rootcause.infer(prompts, lambda batch: []).first()
+    assert short.response is None and short.response_error == "0 answers for one request"
+
+
 def logs_with_burst(spark):
     rows, n = [], 0
     for minute in range(80):
