@@ -9,7 +9,7 @@ telling words of a long document apart from the rest; equal windows of a partiti
 The ordinary dictionary is trained by zstandard on words of ordinary documents. The toxic one has raw content: the words that toxic
 training documents hold significantly more often than ordinary ones, the most telling last, where matches are cheapest.
 
-Training reads at most ``SAMPLE`` labelled rows of each class, those of least hash of the text, and at most
+Training reads at most ``SAMPLE`` labelled rows of each class, those of least hash of the id, and at most
 ``SAMPLE_BYTES`` of their texts; every document is scored from its whole text alone.
 
 Defined cases: null, empty and blank texts have no windows and get the score of such texts; repeated rows are scored each; without
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenwatch.llm.common import table
@@ -153,18 +153,16 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    marked = labels.where("toxic IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("text").alias("words")).join(marked, "id")
-    samples = []
-    for label in (1, 0):
-        least = rows.where(F.col("label") == label).select(F.xxhash64("words").alias("h"), "words").orderBy("h", "words").limit(sample)
-        taken, size = [], 0
-        for row in least.toLocalIterator():  # at most ``sample`` rows
-            size += len(row.words or "")
-            if size > sample_bytes:
-                break
-            taken.append(row.words or "")
-        samples.append(taken)
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
+        F.col("doc_id").alias("id"), F.col("toxic").alias("label"), F.xxhash64("doc_id").alias("h")
+    )
+    # At most 2 * sample ids are sent to the tasks that read the documents.
+    picked = [known.where(F.col("label") == label).orderBy("h", "id").limit(sample) for label in (1, 0)]
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("words"))
+    rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "id").orderBy("h", "words").limit(2 * sample)
+    size = F.sum(F.length("words")).over(Window.partitionBy("label").orderBy("h", "words").rowsBetween(Window.unboundedPreceding, 0))
+    taken = rows.withColumn("size", size).where(F.col("size") <= sample_bytes).select("label", "words").collect()
+    samples = [[r.words for r in taken if r.label == label] for label in (1, 0)]
     return Model(*samples)
 
 
