@@ -62,8 +62,10 @@ class Lengths(dict):
             self.clear()
         window = START + word + STOP + CARRIER
         short = len(self._toxic(window))
-        gain = min(max(len(self._ordinary(window)) - short, 0), MOST)
-        self[word] = out = gain * COSTS + min(max(short - self._base, 0), COSTS - 1)
+        cost, gain = max(short - self._base, 0), 0
+        if cost < COSTS:  # else no threshold is passed, whatever the ordinary dictionary does
+            gain = min(max(len(self._ordinary(window)) - short, 0), MOST)
+        self[word] = out = gain * COSTS + cost if gain else 0
         return out
 
     def features(self, text: str | None) -> np.ndarray:
