@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenwatch.functions.columns import once
 from lumenwatch.llm.common import fresh, let, spaced_words, table
 
 SYMBOLS = "#*$%&|<>"
@@ -110,7 +111,7 @@ def measures(docs: DataFrame, text: str = "text", into: str = "measures") -> Dat
         (c["n_stop_words"] / some_words).alias("stop_ratio"),
         (dup / F.greatest(n_lines, F.lit(1))).alias("dup_line_ratio"),
     )
-    return out.withColumn(into, measured).drop(words, counts, windows)
+    return once(out, into, measured).drop(words, counts, windows)
 
 
 def failed(measured: Column, rules: tuple[Rule, ...] = RULES) -> Column:
