@@ -47,7 +47,7 @@ def window_hits(docs: DataFrame, windows: DataFrame, key: Column, text: str = "t
     """One row per document position at which a window starts: key, at, length, set_id."""
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most as many as a window has words
     small = windows.count() <= BROADCAST_WINDOWS
-    placed = docs.select(key.alias("key"), plain_words(F.col(text)).alias("words")).where(F.size("words") > 0)
+    placed = docs.select(key.alias("key"), plain_words(F.col(text)).alias("words"))
     placed = placed.select("key", "words", F.posexplode("words").alias("at", "word"))
     found = None
     for length in lengths or [WINDOW]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenwatch.functions.columns import once
 from lumenwatch.llm.common import fresh, row_key, table, total
 from lumenwatch.llm.spans import Kind, count_kind, digits, luhn, outside, said, spans_of
 from lumenwatch.session import settle
@@ -94,7 +95,8 @@ def find_pii(
 ) -> DataFrame:
     """The input with one struct column: ``base`` spans and ``terms`` spans outside them."""
     key, base, found = (fresh(docs, n) for n in ("row_key", "base_spans", "found_terms"))
-    scanned = docs.select(F.col(text).alias("text"), row_key(F.col(doc_id), F.col(text)).alias("key"), spans_of(F.col(text), BASE).alias("base"))
+    scanned = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id"))
+    scanned = once(scanned, "base", spans_of(F.col("text"), BASE)).withColumn("key", row_key(F.col("id"), F.col("text")))
     scanned = scanned.where(F.size("base") > 0).withColumn("seen", F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s).alias("context"))))
     scanned = settle(scanned.select("key", "base", "seen"), "personal-data")
     terms = sensitive_terms(docs.select(F.col(text).alias("text")), scanned.select(F.explode("seen").alias("s")).select("s.*"), "text", support, disclosure)

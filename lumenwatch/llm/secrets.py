@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenwatch.functions.columns import once
 from lumenwatch.llm.common import fresh, row_key, table
 from lumenwatch.llm.spans import Kind, count_kind, outside, replaced, said, spans_of
 from lumenwatch.session import settle
@@ -62,9 +63,12 @@ def find_secrets(
     key, found = (fresh(docs, n) for n in ("row_key", "found_spans"))
     name = F.col(doc_id) if repo is None else F.col(repo)
     scanned = docs.select(
-        row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(owner).cast("string").alias("owner"), name.cast("string").alias("repo"),
-        spans_of(F.col(text), BASE).alias("base"), spans_of(F.col(text), (KEY,)).alias("more"),
-    ).where((F.size("base") > 0) | (F.size("more") > 0))
+        F.col(doc_id).alias("id"), F.col(text).alias("words"), F.col(owner).cast("string").alias("owner"), name.cast("string").alias("repo")
+    )
+    scanned = once(scanned, "found", F.struct(spans_of(F.col("words"), BASE).alias("base"), spans_of(F.col("words"), (KEY,)).alias("more")))
+    scanned = scanned.where((F.size("found.base") > 0) | (F.size("found.more") > 0)).select(
+        row_key(F.col("id"), F.col("words")).alias("key"), "owner", "repo", "found.*"
+    )
     scanned = settle(scanned.withColumn("more", outside(F.col("more"), F.col("base"))), "secret-candidates")
     each = scanned.select("key", "owner", "repo", F.explode(F.concat("base", "more")).alias("span"))
     each = each.withColumn("value", secret_value(F.col("span"))).withColumn("hash", F.sha2("value", 256))
