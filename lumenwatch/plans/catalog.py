@@ -871,6 +871,48 @@ def _(t):
     return forest.drivers(schedule(t)).select("service_name", "rn", joined("driver_candidates").alias("drivers"))
 
 
+# ---- the same over minutes: long histories with refits, full frames and chunk borders ------------------
+
+
+def _minutes(sql: str) -> str:
+    return sql.replace(f"INTERVAL '{WINDOW_SECONDS} seconds', timestamp", "INTERVAL '60 seconds', timestamp")
+
+
+SMALL_CHUNKS = stat.StatisticalConfig(chunk_rows=300)  # so that a service's history crosses borders
+
+
+def minute_table(t: Tables) -> DataFrame:
+    return landed(t, "minute-features", lambda: features.window_features(t.logs, rounded=False))
+
+
+@query("w1_minute_history", _minutes(ORACLES["w1_rolling_history"]))
+def _(t):
+    rolled = stat.rolling_history(stat.numbered(minute_table(t)), list(_W), SMALL_CHUNKS)
+    return rolled.select("service_name", at("window_start"), "history_size", *[rn(f"{c}__mean") for c in _W])
+
+
+@query("w5_minute_cusum", _minutes(ORACLES["w5_cusum_scores"]))
+def _(t):
+    rolled = settle(stat.rolling_history(stat.numbered(minute_table(t)), list(_W), SMALL_CHUNKS), "rolled")
+    return stat.add_cusum(rolled, list(_W), SMALL_CHUNKS).where("rn > 15").select("service_name", "rn", *[F.round(f"{c}__cusum", 6).alias(c) for c in _W])
+
+
+@query("w8_minute_schedule", _minutes(ORACLES["w8_fit_schedule"]))
+def _(t):
+    return forest.with_schedule(stat.numbered(minute_table(t))).select("service_name", "rn", "epoch", "train_end")
+
+
+@query("w9_minute_vectors", _minutes(ORACLES["w9_standardised_vectors"]))
+def _(t):
+    scaled = forest.standardised(forest.with_schedule(stat.numbered(minute_table(t))))
+    return scaled.select("service_name", "rn", "epoch", *[F.round(f"{c}_scaled", 5).alias(f"{c}_scaled") for c in _V])
+
+
+@query("w12_minute_drivers", _minutes(ORACLES["w12_drivers"]))
+def _(t):
+    return forest.drivers(forest.with_schedule(stat.numbered(minute_table(t)))).select("service_name", "rn", joined("driver_candidates").alias("drivers"))
+
+
 _FUSE = "least(CASE WHEN k < 20 THEN anomaly_score ELSE anomaly_score * 0.6 + confidence * 0.4 END, 1.0)"
 
 
@@ -1569,6 +1611,15 @@ def _(t):
     return tables.read_batches(t.spark, f"{out}/logs", TABLE_LOGS).select("id", at("timestamp"), "service_name", "level", "message")
 
 
+@query("st7_landing_at_once", ORACLES["st7_landing"])
+def _(t):
+    """The default of the source: a trigger takes all files there are."""
+    out = scratch_path(t.spark, "st7")
+    events = streams.file_log_stream(t.spark, f"{t.folder}/events*.parquet", EVENTS).selectExpr(*LOGS)
+    jobs.land_logs(records.as_messages(events), f"{out}/logs", f"{out}/progress").awaitTermination()
+    return tables.read_batches(t.spark, f"{out}/logs", TABLE_LOGS).select("id", at("timestamp"), "service_name", "level", "message")
+
+
 @query("st8_land_then_detect", f"{_FEAT} SELECT service_name, {sql_at('window_start')}, {_FEATURES_SHOWN_SQL} FROM feat")
 def _(t):
     out = scratch_path(t.spark, "st8")
