@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -9,8 +10,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces whose ids a task remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 250_000
+#: Pieces whose ids a worker remembers, half of them from the time before the last turn-over.
+REMEMBERED = 400_000
 _STORE = "_lumenwatch_encoders"
 _LONE_BLANK = re.compile(r"(?<=\S)(?= )")
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
@@ -24,6 +25,34 @@ def encoder(vocabulary: str | None = None) -> Encoder:
     return held["encoder", vocabulary]
 
 
+class Pieces(dict):
+    """Ids of pieces of text as little-endian unsigned 32-bit bytes, encoded when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self._encode, self._older = tokenizer.encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._older.pop(piece, None)
+        if ids is None:
+            ids = self._ids(piece)
+        if len(self) >= REMEMBERED // 2:
+            self._older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def _ids(self, piece: str) -> bytes:
+        # The splitting rule ends a token between a letter and a mark, and around a single line feed between visible characters.
+        head, tail = piece[:-1], piece[-1:]
+        if tail in ".,;:!?" and head[-1:].isalpha():
+            return self[head] + self[tail]
+        head, feed, tail = piece.partition("\n")
+        if feed and head.lstrip(" ") and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self[feed] + self[tail]
+        return np.asarray(self._encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -33,11 +62,11 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-        self._known: dict[str, bytes] = {}
+        self._pieces = Pieces(Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -49,12 +78,4 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; a null text is an empty one."""
         for text in texts:
-            pieces = self.pieces(text or "")
-            known = self._known
-            if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    new = list(dict.fromkeys(pieces))
-                encoded = self._tokenizer.encode_batch(new, add_special_tokens=False)
-                known.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(new, encoded, strict=True))
-            yield b"".join(map(known.__getitem__, pieces))
+            yield b"".join(map(self._pieces.__getitem__, self.pieces(text or "")))

@@ -53,3 +53,14 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     parts = token_files.write_token_files(docs, scratch_path(spark, "t"))
     assert token_files.read_token_files(parts).collect() == []
+
+
+def test_pieces_of_marks_and_line_feeds():
+    import random
+
+    rng = random.Random(4)
+    bits = ["a", "Wort", "é", "日", "7", " ", "  ", "\n", ".", ",", "'s", "'", "!?", "\t", " ", "🙂", "…", "́", "<|endoftext|>", "\r", "\x1c", " "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    got = [[*np.frombuffer(b, "<u4").tolist(), 0] for b in Encoder().encode(texts)]
+    for text, a, b in zip(texts, got, whole(texts, 0), strict=True):
+        assert a == b, repr(text)
