@@ -72,6 +72,12 @@ def test_outcomes(spark):
     assert routing.alert_outcome_counts(done).first().asDict() == {"processed": 4, "sent": 1, "suppressed": 1, "failed": 2, "pending": 1}
 
 
+def test_two_rules_of_a_severity_are_refused(spark):
+    rules = routing.default_rules(spark)
+    with pytest.raises(Exception, match="more than one rule"):
+        routing.with_rules(routing.build_alerts(analyses(spark, ("high", 0.8, 0))), rules.unionByName(rules)).collect()
+
+
 def test_chat_message(spark):
     alerts = routing.build_alerts(analyses(spark, ("critical", 0.84, 0)))
     attachment = json.loads(payloads.with_chat_message(alerts).first().chat_message)["attachments"][0]

@@ -30,7 +30,7 @@ def test_first_write_wins_and_replays_do_not_repeat(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in days._jdf.queryExecution().executedPlan().toString()
 
 
-def test_day_bound_reads_only_days_around_the_batch(spark, tmp_path):
+def test_a_repeat_days_later_is_left_out(spark, tmp_path):
     path, order = str(tmp_path / "logs"), ["timestamp", "message"]
     tables.append_new(log_rows(spark, ("1", 0, "a"), ("2", 900_000, "b")), path, LOGS, order, "timestamp", 0)
     batch = log_rows(spark, ("1", 10, "again"), ("3", 5, "new"))
@@ -54,6 +54,16 @@ def test_alert_upsert(spark, tmp_path):
     assert (again.status, again.sent_at) == ("failed", None)
 
 
+def test_last_state_of_an_alert_in_a_batch_and_its_day(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    tables.upsert_alerts(spark.createDataFrame([alert("1", "pending"), alert("1", "sent")], ALERTS), path)
+    assert [(r.id, r.status) for r in tables.read_alerts(spark, path).collect()] == [("1", "sent")]
+    tables.upsert_alerts(spark.createDataFrame([alert("1", "failed", 3), alert("2", "pending", 3)], ALERTS), path)
+    rows = {r.id: r for r in tables.read_alerts(spark, path).collect()}
+    assert tables.read_alerts(spark, path).count() == 2
+    assert rows["1"].status == "failed" and rows["1"].created_at == at(0) and str(rows["1"].created_date) == str(START.date())
+
+
 def test_lookups(spark):
     logs = log_rows(spark, ("1", 0, "a"), ("2", 1, "b"))
     assert tables.by_id(logs, "2").first().message == "b"
