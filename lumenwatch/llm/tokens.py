@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import types
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 #: Pieces whose ids a worker remembers, half of them from the time before the last turn-over.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 _STORE = "_lumenwatch_encoders"
 _LONE_BLANK = re.compile(r"(?<=\S)(?= )")
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
@@ -50,7 +49,8 @@ class Pieces(dict):
         head, feed, tail = piece.partition("\n")
         if feed and head.lstrip(" ") and tail and not head[-1].isspace() and not tail[0].isspace():
             return self[head] + self[feed] + self[tail]
-        return np.asarray(self._encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
