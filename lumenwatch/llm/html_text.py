@@ -2,10 +2,11 @@
 
 1. Every page is read into blocks of text. Each container gets the characters of its blocks outside links, its parent
    container a part of them; menus, headers, footers, sidebars, notices, adverts, forms and comments count for nothing. The
-   page votes for the path of its best container, with tags and classes generalised (digits stand for any number).
+   page votes for the widest container around the best one that adds text outside links, and for an article or main around
+   it in any case. Paths are of tags and classes, generalised (digits stand for any number).
 2. Spark counts the votes by host and path, folded before the shuffle; a host's path with most votes wins.
-3. Every page is read again with its host's path; blocks under it, without boilerplate, are the text. A page that has
-   nothing there is read by its own best path.
+3. Every page is read again with its host's path; blocks under it, without boilerplate, are the text. Outside the page's best
+   container (and any article or main) lists of links are left out. A page that has nothing there is read by its own path.
 
 Defined cases: null or empty html gives an empty text; a page without a host votes for itself alone; a tie goes to the
 greater path in string order; repeated rows vote each; other columns are kept and not read; an empty table gives no rows.
@@ -161,30 +162,61 @@ def blocks(html: str | None) -> Iterator[Block]:
         yield block
 
 
-def best_path(page: list[Block]) -> str | None:
-    """The container with most text of its own, outside links and boilerplate."""
-    scores: dict[str, float] = defaultdict(float)
+def _core(page: list[Block]) -> tuple[str, ...] | None:
+    """The container with most text of its own, outside links and boilerplate, after those around it; the page itself is ()."""
+    scores: dict[tuple[str, ...], float] = defaultdict(float)
     for b in page:
-        if not b.aside and b.paths:
+        if not b.aside:
             own = len(b.text) - b.linked
-            scores[b.paths[-1]] += own
-            if len(b.paths) > 1:
-                scores[b.paths[-2]] += PARENT_SHARE * own
+            scores[b.paths] += own
+            if b.paths:
+                scores[b.paths[:-1]] += PARENT_SHARE * own
     best = max(scores.items(), key=lambda s: (s[1], s[0]), default=(None, 0))
     return best[0] if best[1] > 0 else None
 
 
+def _shared(one: tuple[str, ...], other: tuple[str, ...]) -> int:
+    """How many outermost containers two blocks share."""
+    return next((k for k, (a, b) in enumerate(zip(one, other)) if a != b), min(len(one), len(other)))
+
+
+def _home(paths: tuple[str, ...]) -> int:
+    """How many outermost containers there are up to the first article or main; 0 without one."""
+    return next((k for k, p in enumerate(paths, 1) if p.rpartition("/")[2].partition(".")[0] in ("article", "main")), 0)
+
+
+def _kept(page: list[Block], core: tuple[str, ...]) -> list[tuple[Block, int]]:
+    """Blocks that are text, and how many containers they share with the core. Outside it and any article or main, a branch
+    of the page whose text is mostly links is none."""
+    rows = [(b, _shared(b.paths, core)) for b in page if not b.aside]
+    links: dict[tuple[str, ...], int] = defaultdict(int)
+    for b, k in rows:
+        links[b.paths[: k + 1]] += 2 * b.linked - len(b.text)
+
+    def branch(b: Block, k: int) -> int:
+        return links[b.paths[: k + 1]] if len(b.paths) > k else 2 * b.linked - len(b.text)
+
+    return [(b, k) for b, k in rows if k == len(core) or _home(b.paths) or branch(b, k) <= 0]
+
+
+def best_path(page: list[Block]) -> str | None:
+    """The widest container around the core that adds text to it, at least the first article or main around it; "" is the page."""
+    core = _core(page)
+    if core is None:
+        return None
+    widest = min(*(k for _, k in _kept(page, core)), _home(core) or len(core))
+    return core[widest - 1] if widest else ""
+
+
 def text_under(page: list[Block], path: str | None) -> str:
-    return "\n".join(b.text for b in page if not b.aside and path in b.paths)
+    under = [b for b in page if not b.aside and (not path or path in b.paths)]
+    return "\n".join(b.text for b, _ in _kept(under, _core(under) or ()))
 
 
 def extract(html: str | None, path: str | None = None) -> str:
     page = list(blocks(html))
-    text = text_under(page, path) if path else ""
-    if not text:
-        own = best_path(page)
-        text = text_under(page, own) if own else "\n".join(b.text for b in page if not b.aside)
-    return text
+    text = "" if path is None else text_under(page, path)
+    return text or text_under(page, best_path(page))
 
 
 def host_of(url):

@@ -26,6 +26,22 @@ def test_layouts():
     assert html_text.extract(page(f"<article>{inner}", "")) == want
 
 
+def test_text_around_the_largest_container_stays():
+    lead, body, end = "Lead of the story.", "The body goes on for long. " * 30, "One more word at the end."
+    links = '<div class="top"><ul><li><a href="/a">Section a of the site</a><li><a href="/b">Section b of the site</a></ul></div>'
+    want = f"Head\n{lead}\n{body.strip()}\n{end}"
+    parts = f'<div class="lead"><p>{lead}</p></div><div class="body"><p>{body}</p></div><section class="end"><p>{end}</p></section>'
+    for inner in (
+        f"<article><h1>Head</h1>{parts}</article>",
+        f'<main><h1>Head</h1><div class="content">{parts}</div></main>',
+        f'<div class="wrap"><h1>Head</h1>{parts}</div>',
+        f"<h1>Head</h1>{parts}",
+        f"<h1>Head</h1><article>{parts}</article>",
+        f'<article class="a"><h1>Head</h1><p>{lead}</p></article><article class="b"><p>{body}</p></article><article class="c"><p>{end}</p></article>',
+    ):
+        assert html_text.extract(page(inner)) == html_text.extract(page(links + inner)) == want
+
+
 def test_odd_pages():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<html></html>") == ""
     assert html_text.extract("just words  here") == "just words here"
