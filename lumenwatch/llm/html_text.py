@@ -1,7 +1,8 @@
 """Main text of web pages by consensus over hosts.
 
 1. Every page is read into blocks of text. Each container gets the characters of its blocks outside links, its parent
-   container a part of them; menus, headers, footers, sidebars, notices, adverts, forms and comments count for nothing. The
+   container a part of them; menus, headers, footers, sidebars, notices, adverts, forms and comments count for nothing, unless
+   such a name or form wraps the article or most of the page (see ``_whole``). The
    page votes for the widest container around the best one that adds text outside links, and for an article or main around
    it in any case. Paths are of tags and classes, generalised (digits stand for any number).
 2. Spark counts the votes by host and path, folded before the shuffle; a host's path with most votes wins.
@@ -46,8 +47,8 @@ CLOSES_P = BLOCKS - {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 #: An opening tag ends an open element of these tags, up to the nearest of their parents.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-ASIDE_TAGS = set("nav footer aside form dialog menu button select search".split())
-ASIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
+ASIDE_TAGS = set("nav footer aside dialog menu button select search".split())
+ASIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
 ASIDE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu menubar breadcrumb "
     "breadcrumbs pagination pager sidebar sidenav rail footer masthead toolbar comment comments commentlist reply replies respond discussion disqus cookie "
@@ -61,7 +62,9 @@ class Element(NamedTuple):
     tag: str
     path: str
     aside: bool
+    wrappers: tuple[int, ...]  # forms and elements with a name of boilerplate around it, itself included
     home: bool  # an article or main element, or inside one
+    story: tuple[int, int]  # wrappers around the main and around the innermost article without such a name; -1: none
     container: int  # index in the stack of the nearest container, itself included
 
 
@@ -70,6 +73,9 @@ class Block(NamedTuple):
     linked: int  # characters inside links
     paths: tuple[str, ...]  # containers around it, outermost first
     aside: bool
+    wrappers: tuple[int, ...] = ()
+    story: tuple[int, int] = (-1, -1)
+    head: bool = False  # an h1
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -81,10 +87,15 @@ def _aside(tag: str, given: dict[str, str], home: bool) -> bool:
         return True
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         return True
-    if tag in ("html", "body", "article", "main") or not ("class" in given or "id" in given):
+    return False
+
+
+def _named(tag: str, given: dict[str, str], home: bool) -> bool:
+    """A form, or an element with a word of boilerplate in its names. Such an element may also be a wrapper of the page."""
+    if tag in ("html", "body"):
         return False
     names = {w.lower() for w in WORDS.findall(given.get("class", "") + " " + given.get("id", ""))}
-    return bool(names & ASIDE_NAMES) or ("header" in names and not home)
+    return tag == "form" or given.get("role", "").lower() == "form" or bool(names & ASIDE_NAMES) or ("header" in names and not home)
 
 
 def _general(tag: str, given: dict[str, str]) -> str:
@@ -93,9 +104,9 @@ def _general(tag: str, given: dict[str, str]) -> str:
 
 
 def blocks(html: str | None) -> Iterator[Block]:
-    """The blocks of a page in order."""
+    """The blocks of a page in order; those in wrappers are not yet aside."""
     html, at, pieces, linked, in_link = html or "", 0, [], 0, False
-    stack = [Element("", "", False, False, 0)]
+    stack = [Element("", "", False, (), False, (-1, -1), 0)]
 
     def flush() -> Block | None:
         nonlocal pieces, linked
@@ -107,13 +118,17 @@ def blocks(html: str | None) -> Iterator[Block]:
         while k:
             paths.append(stack[k].path)
             k = stack[k - 1].container
-        return Block(text, min(was, len(text)), tuple(reversed(paths)), stack[-1].aside)
+        return Block(text, min(was, len(text)), tuple(reversed(paths)), stack[-1].aside, stack[-1].wrappers, stack[-1].story, stack[-1].tag == "h1")
 
     def push(tag: str, given: dict[str, str]) -> None:
         top, home = stack[-1], stack[-1].home or tag in ("article", "main")
         own = tag in CONTAINERS
         path = f"{stack[top.container].path}/{_general(tag, given)}" if own else top.path
-        stack.append(Element(tag, path, top.aside or _aside(tag, given, top.home), home, len(stack) if own else top.container))
+        named = _named(tag, given, top.home)
+        depth = len(top.wrappers)
+        story = (depth, top.story[1]) if tag == "main" else (top.story[0], depth) if tag == "article" and not named else top.story
+        wrappers = (*top.wrappers, at) if named and tag not in ("article", "main") else top.wrappers
+        stack.append(Element(tag, path, top.aside or _aside(tag, given, top.home), wrappers, home, story, len(stack) if own else top.container))
 
     def pop(tags: set[str], until: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -162,6 +177,43 @@ def blocks(html: str | None) -> Iterator[Block]:
         yield block
 
 
+def _whole(page: list[Block]) -> set[int]:
+    """Wrappers that are no boilerplate, outermost first: they hold a main; or an article, where none stands outside wrappers (but
+    not a teaser beside a larger one); or most of the page's text outside links, where what stands outside is no article."""
+    shown = [b for b in page if not b.aside]
+    every, words, mains, tellers, levels = 0, defaultdict(int), set(), set(), defaultdict(set)
+    for b in shown:
+        every += len(b.text) - b.linked
+        for level, w in enumerate(b.wrappers):
+            words[w] += len(b.text) - b.linked
+            levels[level].add(w)
+            mains |= {w} if b.story[0] > level else set()
+            tellers |= {w} if max(b.story) > level else set()
+    found: set[int] = set()
+    for level in range(len(levels)):
+        held = levels[level] & tellers
+        large = {w for w in levels[level] if 2 * words[w] > every}
+        if not held | large:
+            continue
+        clear = [b for b in shown if found.issuperset(b.wrappers)]
+        outside, most = sum(len(b.text) - b.linked for b in clear), max((words[w] for w in held), default=0)
+        found |= held & mains
+        if all(max(b.story) < 0 for b in clear):
+            headed = any(b.head for b in clear)
+            found |= {w for w in held if 2 * words[w] >= most} | {w for w in large if not (headed and 5 * outside >= words[w])}
+    return found
+
+
+def read_page(html: str | None) -> list[Block]:
+    """The blocks of a page; where all would be boilerplate, names of wrappers do not count."""
+    page = list(blocks(html))
+    if not any(b.wrappers for b in page):
+        return page
+    whole = _whole(page)
+    judged = [b._replace(aside=b.aside or not whole.issuperset(b.wrappers)) for b in page]
+    return page if all(b.aside for b in judged) else judged
+
+
 def _core(page: list[Block]) -> tuple[str, ...] | None:
     """The container with most text of its own, outside links and boilerplate, after those around it; the page itself is ()."""
     scores: dict[tuple[str, ...], float] = defaultdict(float)
@@ -214,7 +266,7 @@ def text_under(page: list[Block], path: str | None) -> str:
 
 
 def extract(html: str | None, path: str | None = None) -> str:
-    page = list(blocks(html))
+    page = read_page(html)
     text = "" if path is None else text_under(page, path)
     return text or text_under(page, best_path(page))
 
@@ -229,7 +281,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [best_path(list(blocks(h))) for h in batch.column(1).to_pylist()]
+            paths = [best_path(read_page(h)) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host IS NOT NULL")

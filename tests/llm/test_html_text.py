@@ -42,6 +42,24 @@ def test_text_around_the_largest_container_stays():
         assert html_text.extract(page(inner)) == html_text.extract(page(links + inner)) == want
 
 
+def test_wrappers_with_names_of_boilerplate():
+    text = "Head\nThe story of the page.\nIt has two parts."
+    inner = "<h1>Head</h1><p>The story of the page.</p><p>It has two parts.</p>"
+    side = '<div class="sidebar"><article class="teaser"><h2>Teaser</h2></article></div>'
+    replies = '<div id="comments"><article class="comment-body"><p>' + "A comment goes on. " * 30 + "</p></article></div>"
+    for start, end in (('<div class="layout has-sidebar">', "</div>"), ('<div id="comments-open">', "</div>"), ('<form id="aspnetForm">', "</form>")):
+        for body in (f"<article>{inner}</article>", f"<main>{inner}</main>", f'<div class="post">{inner * 3}</div>'):
+            want = "\n".join([text] * body.count("<h1>"))
+            assert html_text.extract(page(f"{start}{body}{end}")) == want
+            assert html_text.extract(page(f"{start}{NOISE_END}{body}{end}", "")) == want
+            assert html_text.extract(page(f"<main>{start}{body}{end}</main>")) == want
+            assert html_text.extract(f"{start}<div class='nav-main'>{body}</div>{end}") == want
+        assert html_text.extract(page(f"{start}<article>{inner}</article>{side}{replies}{end}")) == text
+    assert html_text.extract(page(f"<article>{inner}</article>{side}{replies}")) == text
+    assert html_text.extract(page('<article><p>Short.</p></article><div class="ad">A long text of an advert here.</div>')) == "Short."
+    assert html_text.extract('<div class="comments"><p>Only</p></div><div class="share"><p>this</p></div>') == "Only\nthis"
+
+
 def test_odd_pages():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<html></html>") == ""
     assert html_text.extract("just words  here") == "just words here"
