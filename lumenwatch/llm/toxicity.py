@@ -62,9 +62,8 @@ class Lengths(dict):
             self.clear()
         window = START + word + STOP + CARRIER
         short = len(self._toxic(window))
-        cost, gain = max(short - self._base, 0), 0
-        if cost < COSTS:  # else no threshold is passed, whatever the ordinary dictionary does
-            gain = min(max(len(self._ordinary(window)) - short, 0), MOST)
+        cost = min(max(short - self._base, 0), COSTS - 1)  # the last bin is of all higher costs: gains count at any cost
+        gain = min(max(len(self._ordinary(window)) - short, 0), MOST)
         self[word] = out = gain * COSTS + cost if gain else 0
         return out
 

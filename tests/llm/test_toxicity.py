@@ -27,3 +27,14 @@ def test_long_words_nulls_and_few_labels(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score_texts(docs, few).collect())
     assert toxicity.score_texts(docs.limit(0), few).collect() == []
     assert b"".join(toxicity.word_windows("x" * 1000)) == b"x" * 1000
+
+
+def test_gains_count_at_any_cost():
+    words = "idiot moron stupid trash pathetic loser disgusting hate worthless garbage".split()
+    content = b"".join(toxicity.START + w.encode() + toxicity.STOP for w in words)
+    usual = b"".join(toxicity.START + w + toxicity.STOP for w in b"some plain words of a story about the house and the garden".split())
+    lengths = toxicity.Lengths(content, usual)
+    for glued in (b"pathetically", b"stupidity", b"idiot/moron", b"youidiot"):
+        gain, cost = divmod(lengths[glued], toxicity.COSTS)
+        assert gain >= 3 and cost == toxicity.COSTS - 1
+    assert lengths.features("youidiot")[3 * toxicity.MOST] > 0
