@@ -7,7 +7,9 @@ weighed by a logistic regression on the training documents, which calibrates the
 telling words of a long document apart from the rest; equal windows of a partition are compressed once.
 
 The ordinary dictionary is trained by zstandard on words of ordinary documents. The toxic one has raw content: the words that toxic
-training documents hold significantly more often than ordinary ones, the most telling last, where matches are cheapest.
+training documents hold significantly more often than ordinary ones (a lower bound of the log ratio of the shares over 2, and
+at least LEAST documents), those in most documents last, where matches are cheapest; TOXIC_BYTES is the only other bound. Phrases
+of two or three words that pass the same rule, though none of their words does, stand there too and are windows where they occur.
 
 Training reads at most ``SAMPLE`` labelled rows of each class, those of least hash of the id, and at most
 ``SAMPLE_BYTES`` of their texts; every document is scored from its whole text alone.
@@ -37,6 +39,7 @@ WINDOW = 64
 ORDINARY_BYTES = 64 << 10
 TOXIC_BYTES = 16 << 10
 MOST, COSTS = 11, 5
+LEAST = 3  # toxic documents that hold a telling word or phrase
 REMEMBERED = 150_000
 
 
@@ -49,6 +52,10 @@ def word_windows(text: str | None) -> list[bytes]:
     return out
 
 
+def _phrase(words: list[bytes]) -> bytes:
+    return b" ".join(words)
+
+
 class Lengths(dict):
     """Bin of a window by its two compressed lengths: how much shorter the toxic one is, and its cost."""
 
@@ -56,6 +63,9 @@ class Lengths(dict):
         super().__init__()
         self._toxic, self._ordinary = _compressor(toxic), _compressor(ordinary)
         self._base = len(self._toxic(CARRIER))
+        held = (w.removesuffix(STOP) for w in toxic.split(START)[1:])
+        self._phrases = {w for w in held if b" " in w}
+        self._pairs = {tuple(w.split(b" ")[:2]) for w in self._phrases}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
@@ -70,10 +80,15 @@ class Lengths(dict):
     def features(self, text: str | None) -> np.ndarray:
         """Of all windows of a text: how many gain at least 1..MOST bytes at each low cost and at any, and what share."""
         words = word_windows(text)
-        bins = np.bincount(np.fromiter((self[w] for w in words), np.int64, len(words)), minlength=(MOST + 1) * COSTS)
+        n, windows = len(words), words
+        if self._pairs:
+            at = [i for i, pair in enumerate(zip(words, words[1:])) if pair in self._pairs]
+            phrases = (_phrase(words[i : i + k]) for i in at for k in (2, 3) if i + k <= n)
+            windows = words + [p for p in phrases if p in self._phrases]
+        bins = np.bincount(np.fromiter((self[w] for w in windows), np.int64, len(windows)), minlength=(MOST + 1) * COSTS)
         least = bins.reshape(MOST + 1, COSTS)[::-1].cumsum(0)[::-1][1:]
         every = least.sum(1)
-        return np.concatenate([np.log1p(least[:, :3]).T.ravel(), np.log1p(every), every / (len(words) + 10), [math.log1p(len(words))]])
+        return np.concatenate([np.log1p(least[:, :3]).T.ravel(), np.log1p(every), every / (n + 10), [math.log1p(n)]])
 
 
 def _compressor(content: bytes):
@@ -93,15 +108,20 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
 
     held = [Counter(w for t in texts for w in set(word_windows(t))) for texts in (toxic, ordinary)]
 
-    def evidence(word: bytes, n: int) -> float:
-        """Lower bound of the log ratio of document shares."""
-        m = held[1][word]
+    def evidence(n: int, m: int, phrase: bool) -> float:
+        """Lower bound of the log ratio of the shares of n toxic and m ordinary documents. There are far more phrases than words,
+        and more of them by chance in no ordinary document, so for these the bound is lower."""
         ratio = math.log((n + 0.5) / (len(toxic) + 1)) - math.log((m + 0.5) / (len(ordinary) + 1))
-        return ratio - (1.5 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) if m else 1.0)
+        return ratio - (1.5 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) if m or phrase else 1.0)
+
+    def telling(n: int, m: int, phrase: bool = True) -> bool:
+        return n >= LEAST and evidence(n, m, phrase) > 2
 
-    least = max(3, round(0.017 * len(toxic)))
-    telling = sorted((n, w) for w, n in held[0].items() if n >= least and len(w) >= 3 and evidence(w, n) > 2)
-    content = b"".join(START + w + STOP for _, w in telling)[-TOXIC_BYTES:]
+    words = {w: n for w, n in held[0].items() if len(w) >= 3 and telling(n, held[1][w], False)}
+    usable = [w for w, n in held[0].items() if n >= LEAST and w and b" " not in w and w not in words]
+    phrases = _phrases(toxic, ordinary, usable, telling)
+    chosen = sorted((n, w) for w, n in (words | phrases).items())
+    content = b"".join(START + w + STOP for _, w in chosen)[-TOXIC_BYTES:]
     samples = [b"".join(START + w + STOP for w in word_windows(t)) for t in ordinary]
     try:
         usual = zstd.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
@@ -110,6 +130,60 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     return content, usual
 
 
+def _phrases(toxic: list[str], ordinary: list[str], usable: list[bytes], telling) -> dict[bytes, int]:
+    """Telling phrases of two words, or of three without a telling two, and how many toxic documents hold each. Phrases are
+    numbers here, and those of ordinary documents are counted only where toxic ones hold them often enough."""
+    number, size = {w: i for i, w in enumerate(usable)}, len(usable) + 1
+
+    def numbers(text: str) -> np.ndarray:
+        words = word_windows(text)
+        return np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+
+    texts = [[numbers(t) for t in texts] for texts in (toxic, ordinary)]
+
+    def counted(firsts: list[list[np.ndarray]], longer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of a first part and the word after it, in how many toxic and how many ordinary documents."""
+        every = []
+        for first, of in zip(firsts, texts):
+            rows = []
+            for f, ids in zip(first, of):
+                last = ids[longer:]
+                f = f[: len(last)]
+                rows.append(np.unique((f * size + last)[(f >= 0) & (last >= 0)]))
+            every.append(np.concatenate([np.zeros(0, np.int64), *rows]))
+        codes, n = np.unique(every[0], return_counts=True)
+        codes, n = codes[n >= LEAST], n[n >= LEAST]
+        m = np.bincount(_places(codes, every[1])[1], minlength=len(codes))
+        return codes, n, m
+
+    pairs, n2, m2 = counted(texts, 1)
+    good = np.array([telling(int(n), int(m)) for n, m in zip(n2, m2)], bool)
+    out = {_phrase([usable[c // size], usable[c % size]]): int(n) for c, n in zip(pairs[good].tolist(), n2[good])}
+    rest, firsts = pairs[~good], []
+    for of in texts:
+        firsts.append([])
+        for ids in of:
+            codes = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * size + ids[1:], -1)
+            place = np.full(len(codes), -1)
+            found, places = _places(rest, codes)
+            place[found] = places
+            firsts[-1].append(place)
+    triples, n3, m3 = counted(firsts, 2)
+    inner = set(pairs[good].tolist())
+    for c, n, m in zip(triples.tolist(), n3, m3):
+        pair, last = int(rest[c // size]), c % size
+        if telling(int(n), int(m)) and pair % size * size + last not in inner:
+            out[_phrase([usable[pair // size], usable[pair % size], usable[last]])] = int(n)
+    return out
+
+
+def _places(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted numbers stand in the sorted codes, and where."""
+    at = np.minimum(np.searchsorted(codes, wanted), max(len(codes) - 1, 0))
+    found = codes[at] == wanted if len(codes) else np.zeros(len(wanted), bool)
+    return found, at[found]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 3.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mean, spread = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / spread]

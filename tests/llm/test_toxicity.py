@@ -1,5 +1,6 @@
 """Toxicity: accuracy on rows that training never saw."""
 
+import random
 import zlib
 
 from lumenwatch.llm import toxicity
@@ -38,3 +39,20 @@ def test_gains_count_at_any_cost():
         gain, cost = divmod(lengths[glued], toxicity.COSTS)
         assert gain >= 3 and cost == toxicity.COSTS - 1
     assert lengths.features("youidiot")[3 * toxicity.MOST] > 0
+
+
+def test_rare_words_and_phrases_of_common_words():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)] + ["go", "back", "home", "now"]
+    say = lambda: rng.choices(words, k=30)
+    rare = ["".join(rng.choices("bcdfghjkmpqvxz", k=7)) for _ in range(60)]
+    with_words = [" ".join([*say(), rare[i % 60]]) for i in range(1600)]
+    with_phrases = [" ".join([*say(), "go", "back", "home", *say()]) for _ in range(1600)]
+    ordinary = [" ".join(say()) for _ in range(3000)]
+    for toxic, part in ((with_words[:1500] + ordinary[:1500], rare), (with_phrases[:1500], ["go back", "back home"])):
+        content, _ = toxicity._dictionaries(toxic, ordinary)
+        assert all(toxicity.START + w.encode() + toxicity.STOP in content for w in part)
+    score = toxicity.Model(with_words[:1500], ordinary[:1500]).scorer()
+    assert sum(score(t) >= 0.5 for t in with_words[1500:]) >= 95 and sum(score(t) >= 0.5 for t in ordinary[1500:1600]) <= 5
+    score = toxicity.Model(with_phrases[:1500], ordinary[:1500]).scorer()
+    assert sum(score(t) >= 0.5 for t in with_phrases[1500:]) >= 95 and sum(score(t) >= 0.5 for t in ordinary[1500:1600]) <= 5
