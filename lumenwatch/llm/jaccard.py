@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenwatch.llm.common import fresh, table
+from lumenwatch.llm.common import fresh, row_key, table
 from lumenwatch.llm.components import components
 from lumenwatch.llm.shingles import Shingler, bitmap, fingerprint, folded, mixed, signature_bits
 from lumenwatch.session import settle
@@ -73,7 +73,7 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, bits: int) -> DataFrame:
-    """doc_id, n, fp, stars (agreement keys), keys (prefix shingles), bits (bitmap)."""
+    """doc_id, row (as given), n, fp, stars (agreement keys), keys (prefix shingles), bits (bitmap)."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch)
     usual = 4 * int(sketch.mean()) + 64
 
@@ -81,7 +81,7 @@ def _signatures(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, b
         shingler, common = Shingler(width), counts.value
         salts = mixed(np.arange(1, 7, dtype=np.uint64))
         for batch in batches:
-            rows = {"doc_id": batch.column(0).to_pylist(), "n": [], "fp": [], "stars": [], "keys": [], "bits": []}
+            rows = {"doc_id": batch.column(0), "row": batch.column(2), "n": [], "fp": [], "stars": [], "keys": [], "bits": []}
             for text in batch.column(1).to_pylist():
                 s = shingler(text)
                 n = len(s)
@@ -103,9 +103,9 @@ def _signatures(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, b
                 rows["bits"].append(bitmap(s, signature_bits(n)).tobytes())
             yield pa.RecordBatch.from_pydict(rows, schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("stars", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
-    return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n long, fp binary, stars array<bigint>, keys array<bigint>, bits binary"
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("n", pa.int64()), ("fp", pa.binary()), ("stars", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
+    return docs.select("doc_id", "text", "row").mapInArrow(
+        sign, "doc_id long, row string, n long, fp binary, stars array<bigint>, keys array<bigint>, bits binary"
     )
 
 
@@ -285,7 +285,12 @@ def near_groups(
     cell: int = CELL, sketch_bits: int = SKETCH_BITS,
 ) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, class_id (least doc_id with an equal set)."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("string").alias("row"))
+    return _groups(docs, width, percent, cell, sketch_bits).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def _groups(docs: DataFrame, width: int, percent: int, cell: int = CELL, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """The columns of ``near_groups`` with row, as given, and label, a number that only one group has; null for no shingles."""
     sketch = _sketch(docs, width, sketch_bits)
     signed = settle(_signatures(docs, width, percent, sketch, sketch_bits), "signatures")
 
@@ -305,20 +310,28 @@ def near_groups(
 
     classes = ids.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = settle(classes.groupBy("label").agg(F.min("first").alias("component_id")), "names")
-    classes = settle(classes.join(names, "label").select("fp", F.col("first").alias("class_id"), "component_id"), "named-classes")
-    linked = signed.where("n > 0").join(classes, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    alone = signed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    classes = settle(classes.join(names, "label").select("fp", F.col("first").alias("class_id"), "component_id", "label"), "named-classes")
+    linked = signed.where("n > 0").join(classes, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "row", "label")
+    alone = signed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), "row", F.lit(None).cast("long").alias("label"))
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of the input without those that another document of their group stands for (the least doc_id; of rows
-    that repeat it one stays). Rows without a doc_id stay; input columns are kept as they are."""
-    groups = near_groups(docs, width, percent, text, doc_id)
-    id_, gone = fresh(docs, "kept_id"), groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.withColumn(id_, F.col(doc_id).cast("long"))
-    kept = kept.join(settle(gone, "duplicates").withColumnRenamed("gone_id", id_), id_, "left_anti")
-    return kept.select(docs.columns)
+    """The rows of the input without those that another row of their group stands for: that of least doc_id, and of several
+    texts of this id that of least key; of rows that repeat id and text one stays. Rows without a doc_id or without
+    shingles stay; input columns are kept as they are."""
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(F.col(doc_id).cast("long"), F.col(text)))
+    groups = _groups(keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(key).alias("row")), width, percent)
+    rows = groups.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("label", "doc_id", "row").agg(F.count("*").alias("times"))
+    rows = settle(rows, "group-rows")
+    kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("kept"))
+    judged = settle(rows.join(kept, "label").select(F.col("row").alias(key), (F.col("row") != F.col("kept.row")).alias("gone"), "times"), "judged-rows")
+    stay = keyed.join(judged.where("gone").select(key), key, "left_anti")
+    repeated = judged.where("NOT gone AND times > 1").select(key)
+    if not repeated.isEmpty():
+        stay = stay.join(repeated, key, "left_anti").unionByName(stay.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return stay.select(docs.columns)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,16 @@ def test_nulls_repeats_and_empty(spark):
     assert got == [(0, 0), (0, 3), (3, 3), (3, 3), (3, 3), (4, 4)]
     assert jaccard.near_groups(docs.limit(0), 3, 90).collect() == []
     assert jaccard.one_of_each(docs).columns == docs.columns
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, near, b, c = ([f"{x}{i}" for i in range(40)] for x in "axbc")
+    near = [*a[:39], "other"]
+    a, near, b, c = map(" ".join, (a, near, b, c))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (7, c), (8, c), (None, c), (None, c), (9, None), (9, None), (1, near), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS row_key")
+    got = [(r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()]
+    ones = [r for r in got if r[0] == 1]
+    assert len(ones) == 1 and ones[0][1] in (a, near)
+    rest = sorted((r for r in got if r[0] != 1), key=str)
+    assert rest == sorted([(5, b), (7, c), (None, c), (None, c), (9, None), (9, None), (10, "")], key=str)
