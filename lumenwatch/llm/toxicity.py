@@ -11,8 +11,8 @@ training documents hold significantly more often than ordinary ones (a lower bou
 at least LEAST documents), those in most documents last, where matches are cheapest; TOXIC_BYTES is the only other bound. Phrases
 of two or three words that pass the same rule, though none of their words does, stand there too and are windows where they occur.
 
-Training reads at most ``SAMPLE`` labelled rows of each class, those of least hash of the id, and at most
-``SAMPLE_BYTES`` of their texts; every document is scored from its whole text alone.
+Training reads at most ``SAMPLE`` labelled ids of each class, those of least hash of the id, one row of each, and at most
+``SAMPLE_BYTES`` of a class's texts, without those that no longer fit; every document is scored from its whole text alone.
 
 Defined cases: null, empty and blank texts have no windows and get the score of such texts; repeated rows are scored each; without
 labelled rows of both classes all scores are the share of toxic rows (0 without labels); an empty table gives no rows.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenwatch.llm.common import table
@@ -230,13 +230,20 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         F.col("doc_id").alias("id"), F.col("toxic").alias("label"), F.xxhash64("doc_id").alias("h")
-    )
+    ).distinct()
     # At most 2 * sample ids are sent to the tasks that read the documents.
     picked = [known.where(F.col("label") == label).orderBy("h", "id").limit(sample) for label in (1, 0)]
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("words"))
-    rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "id").orderBy("h", "words").limit(2 * sample)
-    size = F.sum(F.length("words")).over(Window.partitionBy("label").orderBy("h", "words").rowsBetween(Window.unboundedPreceding, 0))
-    taken = rows.withColumn("size", size).where(F.col("size") <= sample_bytes).select("label", "words").collect()
+    # Of rows that repeat an id the least text, so the sample is bounded by the ids of each class.
+    each = lambda of: rows.join(F.broadcast(of), "id").groupBy("h", "id", "label").agg(F.min("words").alias("words"))
+    sizes = each(picked[0].unionByName(picked[1])).select("h", "id", "label", F.length("words").alias("size")).collect()
+    room, fit = {1: sample_bytes, 0: sample_bytes}, []
+    for r in sorted(sizes, key=lambda r: (r.h, r.id)):
+        if r["size"] <= room[r.label]:  # a text that does not fit is passed over
+            room[r.label] -= r["size"]
+            fit.append((r.h, r.id, r.label))
+    chosen = docs.sparkSession.createDataFrame(fit, known.select("h", "id", "label").schema)
+    taken = sorted(each(chosen).collect(), key=lambda r: (r.h, r.id))
     samples = [[r.words for r in taken if r.label == label] for label in (1, 0)]
     return Model(*samples)
 

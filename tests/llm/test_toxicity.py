@@ -56,3 +56,16 @@ def test_rare_words_and_phrases_of_common_words():
     assert sum(score(t) >= 0.5 for t in with_words[1500:]) >= 95 and sum(score(t) >= 0.5 for t in ordinary[1500:1600]) <= 5
     score = toxicity.Model(with_phrases[:1500], ordinary[:1500]).scorer()
     assert sum(score(t) >= 0.5 for t in with_phrases[1500:]) >= 95 and sum(score(t) >= 0.5 for t in ordinary[1500:1600]) <= 5
+
+
+def test_sample_of_repeated_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "Model", lambda toxic, ordinary: (sorted(toxic), sorted(ordinary)))
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 5][:40]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    rows = [(i, f"text {i}") for i in ids]
+    docs = spark.createDataFrame(rows + [r for r in rows for _ in range(60 if r[0] in ids[1:8:2] else 0)], "doc_id long, text string")
+    toxic, ordinary = ([f"text {i}" for i in ids[k::2]] for k in (1, 0))
+    assert toxicity.train(docs, labels, sample=20) == (sorted(toxic), sorted(ordinary))
+    first = labels.where("toxic = 1").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").first().doc_id
+    long = docs.selectExpr("doc_id", f"CASE WHEN doc_id = {first} THEN repeat('x', 5000) ELSE text END AS text")
+    assert toxicity.train(long, labels, sample=20, sample_bytes=4000) == (sorted(set(toxic) - {f"text {first}"}), sorted(ordinary))
