@@ -3,15 +3,20 @@
 The work is split over (service, epoch, tree block) for fitting and (service, epoch, row chunk) for
 scoring, so every Python group is bounded: 256 sampled rows per tree, ``CHUNK_ROWS`` rows per scoring
 group. Sampling draws row numbers first and joins only the drawn rows; no history is copied per tree.
+
+Chance is counted, not kept: a draw is a fixed part of the MD5 of the seed, the service, its fit, the tree and the
+draw's number or the node's. So a tree is the same wherever, whenever and in whatever company it is grown (batch or
+stream, any cut into blocks, a task run again), and any engine with MD5 can restate it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenwatch.operators.percentiles import group_percentiles
 from lumenwatch.session import settle
@@ -33,6 +38,9 @@ SEED = 42
 CONTAMINATION = 0.05
 
 SAMPLE_ROWS = 256
+#: Draws for a sample; the first 256 different ones count. From 450 rows, the fewest that are drawn from, fewer than 256 of 1024 draws
+#: differ with a chance below 1e-40.
+DRAWS = 1024
 TREES_PER_BLOCK = 10
 CHUNK_ROWS = 10_000
 DRIVER_Z = 2.0
@@ -150,12 +158,10 @@ def fit_forest(
     plan = (
         (due_epochs(scheduled) if epochs is None else epochs)
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("tree_seed", F.xxhash64(*_KEY, "epoch", "tree", F.lit(seed)))
+        .withColumn("tree_key", F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*_KEY, "epoch", "tree")]))
         .withColumn("rows", FIRST_FIT + REFIT_EVERY * F.col("epoch"))
     )
-    drawn = plan.select(
-        *_KEY, "epoch", "tree", "tree_seed", F.explode(_draw_rows("rows", "tree_seed")).alias("rn")
-    )
+    drawn = plan.select(*_KEY, "epoch", "tree", "tree_key", F.explode(_drawn_rows(F.col("rows"), F.col("tree_key"))).alias("rn"))
     sampled = drawn.join(vectors, [*_KEY, "rn"]).withColumn("tree_block", F.floor(F.col("tree") / TREES_PER_BLOCK))
     return sampled.groupBy(*_KEY, "epoch", "tree_block").applyInPandas(_grow_block, MODEL_SCHEMA)
 
@@ -164,24 +170,29 @@ def _vector():
     return F.array(*[F.col(c).cast("double") for c in VECTOR]).alias("vector")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _draw_rows(rows: pd.Series, seeds: pd.Series) -> pd.Series:
+def _drawn_rows(rows: Column, tree_key: Column) -> Column:
     """Distinct row numbers 1..rows, at most 256 of them."""
-    return pd.Series(
-        [
-            1 + np.random.default_rng(s & (2**63 - 1)).choice(n, size=min(SAMPLE_ROWS, n), replace=False)
-            for n, s in zip(rows, seeds)
-        ]
-    )
+
+    def draw(i: Column) -> Column:
+        share = F.conv(F.substring(F.md5(F.concat_ws("|", tree_key, F.lit("draw"), i.cast("string"))), 1, 13), 16, 10).cast("double") / 2**52
+        return (F.floor(share * rows) + 1).cast("bigint")
+
+    some = F.slice(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), draw)), 1, SAMPLE_ROWS)
+    return F.when(rows <= SAMPLE_ROWS, F.sequence(F.lit(1).cast("bigint"), rows.cast("bigint"))).otherwise(some)
+
+
+def _node_draws(tree_key: str, node: int) -> tuple[float, float]:
+    """Two numbers below 1 for the split of a node: where to cut, and which feature."""
+    text = hashlib.md5(f"{tree_key}|{node}".encode()).hexdigest()
+    return int(text[:13], 16) / 2**52, int(text[16:29], 16) / 2**52
 
 
 def _grow_block(sample: pd.DataFrame) -> pd.DataFrame:
     """Grow the trees of a block together, level by level."""
     sample = sample.sort_values(["tree", "rn"])
     head = sample.iloc[0]
-    trees, root, sizes = np.unique(sample["tree"].to_numpy(), return_inverse=True, return_counts=True)
-    rng = np.random.default_rng(int(head["tree_seed"]) & (2**62 - 1))
-    nodes = _grow_nodes(np.array(sample["vector"].tolist()), root, len(trees), int(sizes.max()), rng)
+    trees, first, root, sizes = np.unique(sample["tree"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+    nodes = _grow_nodes(np.array(sample["vector"].tolist()), root, sample["tree_key"].iloc[first].tolist(), int(sizes.max()))
 
     # Nodes were numbered over all trees; number them within their tree, roots first.
     place = np.zeros(len(nodes["tree"]), dtype=int)
@@ -198,14 +209,15 @@ def _grow_block(sample: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(grown, columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
 
 
-def _grow_nodes(rows: np.ndarray, node: np.ndarray, roots: int, sample_size: int, rng: np.random.Generator) -> dict:
+def _grow_nodes(rows: np.ndarray, node: np.ndarray, tree_keys: list[str], sample_size: int) -> dict:
     """Random splits until a row stands alone or the height limit is met; leaves carry a path length.
 
-    A split is uniform between the extremes of one feature, drawn among those that vary in the node.
+    A split is uniform between the extremes of one feature, drawn among those that vary in the node. For its draws a node is
+    named by its place in a full binary tree: 1 at the root, 2 k and 2 k + 1 below k.
     """
-    limit = int(np.ceil(np.log2(max(sample_size, 2))))
+    roots, limit = len(tree_keys), int(np.ceil(np.log2(max(sample_size, 2))))
     parts = {"tree": [np.arange(roots)], "feature": [], "threshold": [], "low": [], "high": [], "path": []}
-    made = roots
+    made, place = roots, np.ones(roots, dtype=int)
     for depth in range(limit + 1):
         first = made - len(parts["tree"][-1])
         order = np.argsort(node, kind="stable")
@@ -216,10 +228,14 @@ def _grow_nodes(rows: np.ndarray, node: np.ndarray, roots: int, sample_size: int
         varying = highs > lows
         splits = varying.any(axis=1) & (depth < limit)
 
-        pick = np.where(varying, rng.random(varying.shape), -1.0).argmax(axis=1)
+        draws = np.zeros((len(here), 2))
+        for k in np.flatnonzero(splits):
+            draws[k] = _node_draws(tree_keys[parts["tree"][-1][here[k]]], int(place[here[k]]))
+        wanted = np.floor(draws[:, 1] * varying.sum(axis=1)).astype(int) + 1
+        pick = (varying.cumsum(axis=1) >= wanted[:, None]).argmax(axis=1)
         each = np.arange(len(here))
         low, high = lows[each, pick], highs[each, pick]
-        cut = low + rng.random(len(here)) * (high - low)
+        cut = low + draws[:, 0] * (high - low)
         cut = np.where(cut < high, cut, low)
         child = made + 2 * (np.cumsum(splits) - 1)
 
@@ -240,6 +256,7 @@ def _grow_nodes(rows: np.ndarray, node: np.ndarray, roots: int, sample_size: int
         goes_high = rows[np.arange(len(rows)), pick[group]] > cut[group]
         node = child[group] + goes_high
         parts["tree"].append(np.repeat(parts["tree"][-1][split_here], 2))
+        place = np.repeat(place[split_here] * 2, 2) + np.tile([0, 1], len(split_here))
         made += 2 * len(split_here)
     return {name: np.concatenate(column) for name, column in parts.items()}
 
@@ -254,12 +271,12 @@ def _average_path(n) -> np.ndarray:
 # ---- scoring (W11) -----------------------------------------------------------------------------
 
 
-def forest_scores(scheduled: DataFrame) -> DataFrame:
+def forest_scores(scheduled: DataFrame, trees: int = TREES) -> DataFrame:
     """Adds ``forest_warming``, ``forest_score`` and ``forest_triggered`` to a scheduled history.
 
     Fits all due epochs, then scores each window under its own. Lands the model (one job).
     """
-    model = settle(fit_forest(scheduled), "forest-model")
+    model = settle(fit_forest(scheduled, trees=trees), "forest-model")
     return score_windows(scheduled, model, train_quantiles(scheduled, model))
 
 

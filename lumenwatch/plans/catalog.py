@@ -850,12 +850,67 @@ def _(t):
     return scaled.select("service_name", "rn", "epoch", *[F.round(f"{c}_scaled", 5).alias(f"{c}_scaled") for c in _V])
 
 
-@query("w10_forest_model")
+def _forest_sql(trees: int = 100) -> str:
+    """The forests of all fits, restated row by row from the CTE ``num``: a sample's rows go down from the root, a level a
+    round (``g``); ``nodes`` has each node's split or path; ``iso`` follows every row that a fit has trained on or scores."""
+    unit = lambda text, at: f"CAST('0x' || substr({text}, {at}, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+    low = ", ".join(f"min(v[{k}]) OVER w" for k in range(1, 8))
+    high = low.replace("min", "max")
+    length = lambda n: f"(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} END)"
+    return f"""fits AS (SELECT service_name, unnest(range(0, CAST(floor((max(rn) - 50) / 200.0) AS BIGINT) + 1)) AS epoch FROM num GROUP BY 1 HAVING max(rn) >= 50),
+    trees AS (SELECT *, 50 + 200 * epoch AS n, tree, concat_ws('|', '42', service_name, '0', epoch, tree) AS tk FROM fits, range({trees}) t(tree)),
+    draws AS (SELECT tk, rn FROM (SELECT tk, CAST(floor({unit("md5(tk || '|draw|' || i)", 1)} * n) AS BIGINT) + 1 AS rn, min(i) AS i
+                FROM trees, range(1, 1025) d(i) WHERE n > 256 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY tk ORDER BY i) <= 256
+              UNION ALL SELECT tk, unnest(range(1, n + 1)) FROM trees WHERE n <= 256),
+    vec AS (SELECT service_name, rn, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _V)}] AS v FROM num),
+    g AS (SELECT t.tk, t.n, d.rn, v, CAST(1 AS BIGINT) AS node, 0 AS depth FROM trees t JOIN draws d USING (tk) JOIN vec USING (service_name, rn)
+      UNION ALL
+      SELECT tk, n, rn, v, node * 2 + CASE WHEN v[pick] > cut THEN 1 ELSE 0 END, depth + 1 FROM (
+        SELECT *, lo[pick] + {unit('h', 1)} * (hi[pick] - lo[pick]) AS c, CASE WHEN c < hi[pick] THEN c ELSE lo[pick] END AS cut FROM (
+          SELECT *, md5(tk || '|' || node) AS h, list_filter(range(1, 8), lambda k: hi[k] > lo[k]) AS varying,
+                 varying[CAST(floor({unit('h', 17)} * len(varying)) AS BIGINT) + 1] AS pick
+          FROM (SELECT *, [{low}] AS lo, [{high}] AS hi FROM g WINDOW w AS (PARTITION BY tk, node)))
+        WHERE len(varying) > 0 AND depth < ceil(log2(least(n, 256))))),
+    nodes AS (SELECT *, list_filter(range(1, 8), lambda k: hi[k] > lo[k]) AS varying, md5(tk || '|' || node) AS h,
+                     len(varying) > 0 AND depth < ceil(log2(least(n, 256))) AS splits,
+                     CASE WHEN splits THEN varying[CAST(floor({unit('h', 17)} * len(varying)) AS BIGINT) + 1] END AS pick,
+                     lo[pick] + {unit('h', 1)} * (hi[pick] - lo[pick]) AS c, CASE WHEN c < hi[pick] THEN c ELSE lo[pick] END AS cut,
+                     CASE WHEN NOT splits THEN depth + {length('held')} END AS path
+              FROM (SELECT tk, n, node, depth, count(*) AS held, [{low.replace(' OVER w', '')}] AS lo, [{high.replace(' OVER w', '')}] AS hi FROM g GROUP BY tk, n, node, depth)),
+    fall AS (SELECT t.tk, x.rn, x.v, CAST(1 AS BIGINT) AS node, CAST(NULL AS DOUBLE) AS path, 0 AS step FROM trees t JOIN vec x ON x.service_name = t.service_name AND x.rn < t.n + 200
+      UNION ALL
+      SELECT f.tk, f.rn, f.v, CASE WHEN m.splits THEN f.node * 2 + CASE WHEN f.v[m.pick] > m.cut THEN 1 ELSE 0 END ELSE f.node END, m.path, f.step + 1
+      FROM fall f JOIN nodes m ON m.tk = f.tk AND m.node = f.node WHERE f.path IS NULL),
+    iso AS (SELECT t.service_name, t.epoch, t.n, f.rn, pow(2.0, -avg(f.path) / any_value({length('least(t.n, 256)')})) AS isolation
+            FROM fall f JOIN trees t USING (tk) WHERE f.path IS NOT NULL GROUP BY ALL),
+    zero AS (SELECT service_name, epoch, quantile_cont(isolation, 0.95) AS q FROM iso WHERE rn <= n GROUP BY ALL),
+    fraw AS (SELECT s.*, s.rn < 50 AS forest_warming, greatest(0.0, least(1.0, 2.0 * (isolation - q))) AS raw,
+                    CASE WHEN s.rn < 50 THEN 0.0 ELSE {hu('greatest(0.0, least(1.0, 2.0 * (isolation - q)))', 4)} END AS forest_score
+             FROM num s LEFT JOIN iso i ON i.service_name = s.service_name AND i.rn = s.rn AND i.epoch = floor((s.rn - 50) / 200.0)
+             LEFT JOIN zero z ON z.service_name = i.service_name AND z.epoch = i.epoch)"""
+
+
+_MODEL_SQL = f"""SELECT service_name, epoch, CAST(tree AS INTEGER) AS tree, CAST(least(t.n, 256) AS INTEGER) AS sample_size, CAST(count(*) AS INTEGER) AS nodes,
+    concat_ws(',', {', '.join(f'count(*) FILTER (pick = {k})' for k in range(1, 8))}) AS splits, {hu('sum(path)', 5)} AS paths, {hu('coalesce(max(cut), 0.0)', 4)} AS highest_cut
+    FROM nodes m JOIN trees t USING (tk) GROUP BY service_name, epoch, tree, t.n"""
+
+
+def model_shown(model: DataFrame) -> DataFrame:
+    """A tree by the number of its nodes, its splits by feature, the sum of its leaves' paths and its highest cut."""
+    splits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.size(F.filter("feature", lambda f: f == k)).cast("string")), ",")
+    cuts = F.filter("threshold", lambda x, i: F.get("feature", i) >= 0)
+    return model.select(
+        "service_name", "epoch", "tree", "sample_size", F.size("feature").alias("nodes"), splits.alias("splits"),
+        F.round(F.aggregate("path", F.lit(0.0), lambda a, b: a + b), 5).alias("paths"), F.round(F.coalesce(F.array_max(cuts), F.lit(0.0)), 4).alias("highest_cut"),
+    )
+
+
+@query("w10_forest_model", f"{_NUM}, {_forest_sql()} {_MODEL_SQL}")
 def _(t):
-    return forest.fit_forest(schedule(t)).select("service_name", "epoch", "tree", "sample_size", F.size("feature").alias("nodes"))
+    return model_shown(forest.fit_forest(schedule(t)))
 
 
-@query("w11_forest_scores")
+@query("w11_forest_scores", f"{_NUM}, {_forest_sql()} SELECT service_name, {sql_at('window_start')}, forest_warming, forest_score FROM fraw")
 def _(t):
     return forest.forest_scores(schedule(t)).select("service_name", at("window_start"), "forest_warming", "forest_score")
 
@@ -913,6 +968,13 @@ def _(t):
     return forest.drivers(forest.with_schedule(stat.numbered(minute_table(t)))).select("service_name", "rn", joined("driver_candidates").alias("drivers"))
 
 
+@query("w11_minute_forest", _minutes(f"{_NUM}, {_forest_sql(10)} SELECT service_name, {sql_at('window_start')}, forest_warming, forest_score FROM fraw"))
+def _(t):
+    """Histories of many fits, whose samples are drawn; forests of ten trees."""
+    scored = forest.forest_scores(settle(forest.with_schedule(stat.numbered(minute_table(t))), "minute-schedule"), trees=10)
+    return scored.select("service_name", at("window_start"), "forest_warming", "forest_score")
+
+
 _FUSE = "least(CASE WHEN k < 20 THEN anomaly_score ELSE anomaly_score * 0.6 + confidence * 0.4 END, 1.0)"
 
 
@@ -949,7 +1011,18 @@ def _(t):
     return found.groupBy("service_name", "severity").agg(F.count("*").alias("windows"), F.max("anomaly_score").alias("worst"))
 
 
-@query("w15_detect_with_forest")
+_ROUNDED = _FEAT.replace("feat AS (", "exact AS (") + f""", feat AS (SELECT * REPLACE (
+    {hu('logs_per_second', 2)} AS logs_per_second, {hu('error_rate', 4)} AS error_rate,
+    {', '.join(f"{hu(f'coalesce({c}, 0.0)', 2)} AS {c}" for c in ('latency_p50', 'latency_p95', 'latency_p99', 'latency_mean'))}) FROM exact)"""
+#: Both detectors over rounded features, as the whole chain has them, fused and judged.
+_BOTH = f"""{_NUM.replace(_FEAT, _ROUNDED)}, {_roll('num')}, {_cusum()}, {_fused()}, {_forest_sql()},
+    mixed AS (SELECT s.service_name, s.window_start, least(CASE WHEN f.forest_warming THEN s.stat_score ELSE s.stat_score * 0.6 + f.forest_score * 0.4 END, 1.0) AS m
+              FROM scored s JOIN fraw f USING (service_name, rn)),
+    anom AS (SELECT substr(sha256(concat(service_name, '@', strftime(window_start, '%Y-%m-%dT%H:%M:%S.%f'))), 1, 32) AS id,
+             window_start + INTERVAL '{WINDOW_SECONDS} seconds' AS detected_at, service_name, {hu('m', 4)} AS anomaly_score, m >= 0.5 AS is_anomaly, {_bands('m')} AS severity FROM mixed)"""
+
+
+@query("w15_detect_with_forest", f"{_BOTH} SELECT id, {sql_at('detected_at')}, service_name, anomaly_score, is_anomaly, severity FROM anom")
 def _(t):
     found = incidents.anomalies_from_logs(t.logs, WINDOW_SECONDS)
     return found.select("id", at("detected_at"), "service_name", "anomaly_score", "is_anomaly", "severity")
@@ -1590,7 +1663,7 @@ def _(t):
     return rows.select("service_name", at("window_start"), "stat_warming", "stat_score", "stat_triggered")
 
 
-@query("st3_stream_forest")
+@query("st3_stream_forest", f"{_NUM}, {_forest_sql()} SELECT service_name, {sql_at('window_start')}, rn, forest_warming, forest_score FROM fraw")
 def _(t):
     out = scratch_path(t.spark, "st3")
     jobs.stream_forest_scores(landed_features(t, out), f"{out}/rows", f"{out}/progress").awaitTermination()
