@@ -41,14 +41,12 @@ def _open(path: str):
     return where, inner
 
 
-def _flat(path: str, dtype: str) -> np.ndarray:
-    """A flat file as an array: mapped where the folder is local, else read."""
+def _flat(path: str, dtype: str, low: int, high: int) -> np.ndarray:
+    """The numbers from ``low`` to ``high`` of a flat file: of a memory map where the folder is local, else a range read."""
     where, inner = _open(path)
-    if where.type_name == "local":
-        with pa.memory_map(inner) as mapped:
-            return np.frombuffer(mapped.read_buffer(), dtype)
-    with where.open_input_file(inner) as f:
-        return np.frombuffer(f.read_buffer(), dtype)
+    at, size = low * np.dtype(dtype).itemsize, (high - low) * np.dtype(dtype).itemsize
+    with pa.memory_map(inner) if where.type_name == "local" else where.open_input_file(inner) as f:
+        return np.frombuffer(f.read_at(size, at), dtype)
 
 
 def write_token_files(
@@ -108,10 +106,10 @@ def read_token_files(parts: DataFrame, vocabulary_size: int = VOCABULARY_SIZE, r
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before, low, high in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ids, offsets, named = _flat(f"{path}.bin", dtype), _flat(f"{path}.idx", "<u8"), _flat(f"{path}.doc", "<i8")
-                at = offsets[low : high + 1].astype(np.int64)
-                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                doc = pa.array(named[low:high], mask=named[low:high] == NO_ID)
+                at = _flat(f"{path}.idx", "<u8", low, high + 1).astype(np.int64)
+                ids, named = _flat(f"{path}.bin", dtype, int(at[0]), int(at[-1])), _flat(f"{path}.doc", "<i8", low, high)
+                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+                doc = pa.array(named, mask=named == NO_ID)
                 yield pa.RecordBatch.from_arrays(
                     [doc, pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
