@@ -63,14 +63,26 @@ def _aggregate(rows: DataFrame, keys: list[str], approximate: bool) -> DataFrame
     return _combine(weighted, traces, keys)
 
 
-def features_from_folds(folded: DataFrame, traces: DataFrame, window_seconds: int, rounded: bool = True) -> DataFrame:
-    """Window features from logs already folded by a stream.
+def fold_logs(logs: DataFrame, window_seconds: int = WINDOW_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """What logs add to their windows, in a form that sums up: equal latencies and levels counted, and distinct traces.
 
-    ``folded(service_name, slot_start, slot_end, latency, level, n, first_ts, last_ts)``;
-    ``traces(service_name, slot_start, slot_end, unique_traces)``.
+    ``(service_name, slot_start, slot_end, latency, level, n, first_ts, last_ts)`` and ``(service_name, slot_start, slot_end, trace)``.
     """
-    features = _combine(folded, traces, ["service_name", "slot_start", "slot_end"])
-    return _finish(features, "slot_start", "slot_end", window_seconds, rounded)
+    slot, keys = F.window("timestamp", f"{window_seconds} seconds"), ["service_name", "slot_start", "slot_end"]
+    rows = _measured(logs).withColumn("slot_start", slot.start).withColumn("slot_end", slot.end)
+    level = F.when(F.col("level").isin("ERROR", "CRITICAL"), F.col("level")).otherwise("").alias("level")
+    values = rows.groupBy(*keys, "latency", level).agg(
+        F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")
+    )
+    trace = present(F.col("trace_id")).alias("trace")
+    return values, rows.select(*keys, trace).where("trace IS NOT NULL").distinct()
+
+
+def features_from_folds(values: DataFrame, traces: DataFrame, window_seconds: int, rounded: bool = True) -> DataFrame:
+    """Window features from any number of folds of each window."""
+    keys = ["service_name", "slot_start", "slot_end"]
+    counted = traces.groupBy(*keys).agg(F.count_distinct("trace").alias("unique_traces"))
+    return _finish(_combine(values, counted, keys), "slot_start", "slot_end", window_seconds, rounded)
 
 
 def _combine(weighted: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:

@@ -1699,7 +1699,7 @@ def _(t):
     out = scratch_path(t.spark, "st8")
 
     def on_batch(logs: DataFrame, batch_id: int) -> None:
-        jobs.refresh_features(logs, f"{out}/logs", f"{out}/features", batch_id, WINDOW_SECONDS, rounded=False)
+        jobs.refresh_features(logs, f"{out}/features", batch_id, WINDOW_SECONDS, rounded=False)
 
     jobs.land_logs(records.as_messages(event_stream(t)), f"{out}/logs", f"{out}/progress", on_batch=on_batch).awaitTermination()
     return jobs.read_features(t.spark, f"{out}/features").select("service_name", at("window_start"), *features_shown())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lumenwatch.operators import forest
-from lumenwatch.operators.features import WINDOW_SECONDS, window_features
+from lumenwatch.operators.features import WINDOW_SECONDS, features_from_folds, fold_logs
 from lumenwatch.operators.statistical import (
     FLAT, TRIGGER_ABOVE, WEIGHTS, StatisticalConfig, numbered,
 )
@@ -76,27 +76,42 @@ def without_repeats(logs: DataFrame) -> DataFrame:
 # ---- feature windows (ST1, ST8, ST10) ------------------------------------------------------------
 
 
-def refresh_features(
-    logs: DataFrame, table: str, path: str, batch_id: int, window_seconds: int = WINDOW_SECONDS, rounded: bool = True
-) -> None:
-    """Work out anew, from the landed logs at ``table``, every window that the new logs fall into.
+_FOLD_KEYS = "service_name STRING, slot_start TIMESTAMP, slot_end TIMESTAMP"
+_FOLDS = {
+    "values": f"{_FOLD_KEYS}, latency DOUBLE, level STRING, n BIGINT, first_ts TIMESTAMP, last_ts TIMESTAMP",
+    "traces": f"{_FOLD_KEYS}, trace STRING",
+}
 
-    Only the days and the (service, window) pairs of the new logs are read. A window gets a new version; a batch that is run
-    again writes the same ones.
+
+def window_folds(spark: SparkSession, path: str, kind: str, days: list[str], batch_id: int) -> DataFrame:
+    """The landed folds of the windows of some days up to a batch; only the folders of these days are listed and read."""
+    folder = f"{path.rstrip('/')}-folds/{kind}"
+    reader = spark.read.schema(f"{_FOLDS[kind]}, slot_date STRING, batch_id BIGINT").option("basePath", folder)
+    return reader.parquet(*[f"{folder}/slot_date={d}" for d in days]).where(F.col("batch_id") <= batch_id)
+
+
+def refresh_features(logs: DataFrame, path: str, batch_id: int, window_seconds: int = WINDOW_SECONDS, rounded: bool = True) -> None:
+    """Bring every window that new logs fall into up to date, without reading older logs.
+
+    The new logs are folded to (window, latency, level) counts and (window, trace) pairs, which land beside ``path`` by day of
+    the window. A touched window is the sum of its folds, those of this batch and of the batches before that touched it.
+    It gets a new version; a batch that is run again writes the same ones.
     """
-    spark = logs.sparkSession
-    slot = F.window("timestamp", f"{window_seconds} seconds")["start"].alias("slot_start")
-    touched = settle(logs.select("service_name", slot).distinct(), "touched-windows")
-    first, last = touched.agg(F.min("slot_start"), F.max("slot_start") + F.expr(f"INTERVAL {window_seconds} SECONDS")).first()
-    if first is None:
+    spark, keys = logs.sparkSession, ["service_name", "slot_start"]
+    dated = F.date_format("slot_start", "yyyy-MM-dd").alias("slot_date")
+    slots = logs.select("service_name", F.window("timestamp", f"{window_seconds} seconds")["start"].alias("slot_start")).distinct()
+    touched = settle(slots.select("*", dated), "touched-windows")
+    days = sorted(r.slot_date for r in touched.select("slot_date").distinct().collect())  # the days of one batch
+    if not days:
         return
-    rows = read_batches(spark, table, LOGS).where(
-        (F.col("batch_id") <= batch_id)
-        & F.col("event_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
-        & (F.col("timestamp") >= F.lit(first)) & (F.col("timestamp") < F.lit(last))
-    )
-    rows = rows.select("*", slot).join(touched, ["service_name", "slot_start"], "left_semi").drop("slot_start", "event_date", "batch_id")
-    window_features(rows, window_seconds, rounded).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    folded = {}
+    for kind, fold in zip(_FOLDS, fold_logs(logs, window_seconds), strict=True):
+        writer = fold.select("*", dated, F.lit(batch_id).alias("batch_id")).write.mode("overwrite")
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("slot_date", "batch_id")
+        writer.parquet(f"{path.rstrip('/')}-folds/{kind}")
+        folded[kind] = window_folds(spark, path, kind, days, batch_id).join(touched.select(*keys), keys, "left_semi").drop("slot_date", "batch_id")
+    values = settle(folded["values"], "folds")  # read twice for exact percentiles
+    features_from_folds(values, folded["traces"], window_seconds, rounded).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def stream_features(
@@ -106,7 +121,7 @@ def stream_features(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         landed = append_new(batch.select(*_LOG_COLUMNS), f"{path}/logs", LOGS, ["timestamp", "message"], "timestamp", batch_id)
-        refresh_features(landed, f"{path}/logs", f"{path}/windows", batch_id, window_seconds, rounded)
+        refresh_features(landed, f"{path}/windows", batch_id, window_seconds, rounded)
 
     return _start(logs.writeStream.foreachBatch(process), checkpoint, every)
 

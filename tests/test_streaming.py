@@ -53,6 +53,20 @@ def test_feature_stream_equals_batch_in_any_order(spark, tmp_path, files_per_tri
     assert expected and by_window(jobs.read_features(spark, f"{out}/windows")) == expected
 
 
+def test_a_late_log_reads_only_its_own_day(spark, tmp_path):
+    out, progress, day = str(tmp_path / "out"), str(tmp_path / "progress"), 86_400
+    rows = sum((random_logs(60, d * day, d * day + 300, d + 20) for d in range(12)), [])
+    late = [("late", 3 * day + 10.0, "a", "ERROR", "new trace", 7)]
+    for i, part in enumerate((rows, late)):
+        put(log_frame(spark, part), tmp_path / "in", f"b{i}")
+        jobs.stream_features(log_source(spark, tmp_path / "in"), out, progress).awaitTermination()
+    assert by_window(jobs.read_features(spark, f"{out}/windows")) == by_window(window_features(log_frame(spark, rows + late)))
+    second = spark.read.parquet(f"{out}/windows/batch_id=1").collect()
+    assert [(r.service_name, r.window_start) for r in second] == [("a", at(3 * day))]
+    read = jobs.window_folds(spark, f"{out}/windows", "values", [f"{at(3 * day):%Y-%m-%d}"], 1)
+    assert {f.split("slot_date=")[1][:10] for f in read.inputFiles()} == {"2024-01-18"} and read.count() < len(rows) / 6
+
+
 def test_closed_windows_land_once_and_in_order(spark, tmp_path):
     out, closed = str(tmp_path / "out"), str(tmp_path / "closed")
     put(log_frame(spark, random_logs(200, 0, 600, 6)), tmp_path / "in", "a")
