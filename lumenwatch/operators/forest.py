@@ -192,21 +192,35 @@ def _grow_block(sample: pd.DataFrame) -> pd.DataFrame:
     sample = sample.sort_values(["tree", "rn"])
     head = sample.iloc[0]
     trees, first, root, sizes = np.unique(sample["tree"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
-    nodes = _grow_nodes(np.array(sample["vector"].tolist()), root, sample["tree_key"].iloc[first].tolist(), int(sizes.max()))
+    grown = grow_trees(np.array(sample["vector"].tolist()), root, sample["tree_key"].iloc[first].tolist(), int(sizes.max()))
+    rows = [(head.service_name, head.segment, head.epoch, tree, size, *parts) for tree, size, parts in zip(trees, sizes, grown)]
+    return pd.DataFrame(rows, columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
 
-    # Nodes were numbered over all trees; number them within their tree, roots first.
+
+def grow_trees(rows: np.ndarray, root: np.ndarray, tree_keys: list[str], sample_size: int) -> list[tuple]:
+    """For each tree (feature, threshold, low, high, path) by node, the root first. ``root`` says whose sample a row is in."""
+    nodes = _grow_nodes(rows, root, tree_keys, sample_size)
+    # Nodes were numbered over all trees; number them within their tree.
     place = np.zeros(len(nodes["tree"]), dtype=int)
-    members = [np.flatnonzero(nodes["tree"] == t) for t in range(len(trees))]
+    members = [np.flatnonzero(nodes["tree"] == t) for t in range(len(tree_keys))]
     for member in members:
         place[member] = np.arange(len(member))
-    grown = [
-        (
-            head.service_name, head.segment, head.epoch, tree, size, nodes["feature"][member], nodes["threshold"][member],
-            place[nodes["low"][member]], place[nodes["high"][member]], nodes["path"][member],
-        )
-        for tree, size, member in zip(trees, sizes, members)
-    ]
-    return pd.DataFrame(grown, columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
+    return [(nodes["feature"][m], nodes["threshold"][m], place[nodes["low"][m]], place[nodes["high"][m]], nodes["path"][m]) for m in members]
+
+
+def fit_history(history: np.ndarray, service: str, segment: int, epoch: int, trees: int = TREES, seed: int = SEED) -> list[tuple]:
+    """The forest of one fit from the vectors it trains on, in order: that of ``fit_forest``, for a history at hand."""
+    n = len(history)
+    keys = [f"{seed}|{service}|{segment}|{epoch}|{t}" for t in range(trees)]
+    drawn = [np.arange(n) if n <= SAMPLE_ROWS else _draw_history(n, key) for key in keys]
+    root = np.repeat(np.arange(trees), [len(d) for d in drawn])
+    return grow_trees(history[np.concatenate(drawn)], root, keys, len(drawn[0]))
+
+
+def _draw_history(n: int, tree_key: str) -> np.ndarray:
+    texts = (hashlib.md5(f"{tree_key}|draw|{i}".encode()).hexdigest() for i in range(1, DRAWS + 1))
+    distinct = dict.fromkeys(int(int(t[:13], 16) / 2**52 * n) for t in texts)
+    return np.sort(np.array(list(distinct)[:SAMPLE_ROWS]))
 
 
 def _grow_nodes(rows: np.ndarray, node: np.ndarray, tree_keys: list[str], sample_size: int) -> dict:
@@ -339,18 +353,19 @@ def _isolate(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
     out = rows[["service_name", "segment", "epoch", "rn"]].astype({"service_name": object}).assign(isolation=np.nan)
     if rows.empty or trees.empty:
         return out.iloc[:0]
-    x = np.array(rows["vector"].tolist())
-    every = np.arange(len(x))
-    depth = np.zeros(len(x))
-    for tree in trees.itertuples():
-        feature, threshold = np.asarray(tree.feature), np.asarray(tree.threshold)
-        low, high = np.asarray(tree.low), np.asarray(tree.high)
+    parts = [tuple(np.asarray(tree[c]) for c in ("feature", "threshold", "low", "high", "path")) for tree in trees.to_dict("records")]
+    out["isolation"] = isolation(np.array(rows["vector"].tolist()), parts, int(trees["sample_size"].iloc[0]))
+    return out
+
+
+def isolation(x: np.ndarray, trees: list[tuple], sample_size: int) -> np.ndarray:
+    """Isolation scores of vectors under a forest."""
+    every, depth = np.arange(len(x)), np.zeros(len(x))
+    for feature, threshold, low, high, path in trees:
         node = np.zeros(len(x), dtype=int)
         while (feature[node] >= 0).any():
             f = feature[node]
             step = np.where(x[every, f] <= threshold[node], low[node], high[node])
             node = np.where(f >= 0, step, node)
-        depth += np.asarray(tree.path)[node]
-    mean_depth = depth / len(trees)
-    out["isolation"] = 2.0 ** (-mean_depth / _average_path(int(trees["sample_size"].iloc[0])))
-    return out
+        depth += path[node]
+    return 2.0 ** (-depth / len(trees) / _average_path(sample_size))

@@ -68,17 +68,20 @@ def gate(alerts_with_rules: DataFrame) -> DataFrame:
     return alerts_with_rules.withColumn("passes", F.coalesce(enough, F.lit(False)))
 
 
-def route_alerts(analyses: DataFrame, rules: DataFrame, cooldown_override: int | None = None) -> DataFrame:
+def route_alerts(analyses: DataFrame, rules: DataFrame, cooldown_override: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Alerts with status and channels (R5): coercion, gate, cooldown, channels.
 
-    Only alerts past the gate take part in the cooldown, and only kept ones start it (ST5).
+    Only alerts past the gate take part in the cooldown, and only kept ones start it (ST5). ``earlier`` has alerts (id,
+    service_name, severity, created_at) that were kept before: they count for the cooldown and are not returned.
     """
     alerts = build_alerts(analyses)
     gated = gate(with_rules(alerts, rules))
     cooldown = F.col("cooldown_seconds") if cooldown_override is None else cooldown_override
-    kept = mark_accepted(
-        gated.where("passes"), ["service_name", "severity"], "created_at", "id", cooldown, "kept"
-    )
+    passed = gated.where("passes").withColumn("known", F.lit(False))
+    if earlier is not None:
+        before = with_rules(earlier.select("id", "service_name", "severity", "created_at"), rules).withColumn("known", F.lit(True))
+        passed = passed.unionByName(before, allowMissingColumns=True)
+    kept = mark_accepted(passed, ["service_name", "severity"], "created_at", "id", cooldown, "kept").where("NOT known").drop("known")
     blocked = gated.where(~F.col("passes")).withColumn("kept", F.lit(False))
     routed = kept.unionByName(blocked)
     return routed.select(

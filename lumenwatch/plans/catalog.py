@@ -6,6 +6,7 @@ engines can be compared value by value. All queries run over whole tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from lumenwatch.schemas import ALERTS
 from lumenwatch.schemas import LOGS as TABLE_LOGS
 from lumenwatch.session import scratch_path, settle
 from lumenwatch.sources import records, streams, tables
+from lumenwatch.streaming import anomalies as anomaly_jobs
 from lumenwatch.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1670,6 +1672,42 @@ def _(t):
     return t.spark.read.parquet(f"{out}/rows/scores").select("service_name", at("window_start"), "rn", "forest_warming", "forest_score")
 
 
+_COOL_ALERTS = f"""{_BOTH}, elig AS (SELECT * FROM anom WHERE {_ELIGIBLE}), {_fold('elig', 'detected_at', str(TTL_SECONDS))},
+    made AS (SELECT e.*, concat('al-', substr(sha256(concat('an-', e.id)), 1, 32)) AS alert_id, e.anomaly_score * 0.55 AS confidence FROM elig e JOIN fold f USING (id) WHERE f.accepted),
+    gated AS (SELECT alert_id AS id, service_name, severity, detected_at, CASE severity WHEN 'medium' THEN 60000 ELSE 30000 END AS cooldown
+              FROM made WHERE confidence >= CASE severity WHEN 'critical' THEN 0.5 WHEN 'high' THEN 0.4 ELSE 0.3 END),
+    {re.sub(r'\b(ord|fold)\b', r'\1_2', _fold('gated', 'detected_at', 'o.cooldown'))}"""
+
+
+def scored_analyses(kept: DataFrame) -> DataFrame:
+    """Analyses whose confidence follows from the score alone."""
+    none = F.array().cast("array<string>")
+    return kept.select(
+        F.concat(F.lit("an-"), "id").alias("id"), F.col("detected_at").alias("analyzed_at"), "service_name", F.col("id").alias("anomaly_id"), "anomaly_score", "severity",
+        F.lit("").alias("root_cause"), (F.col("anomaly_score") * 0.55).alias("confidence"), "recommended_action", none.alias("affected_services"),
+        none.alias("remediation_steps"), F.lit("").alias("escalate_to"),
+    )
+
+
+@query(
+    "st_anomalies",
+    f"""{_COOL_ALERTS} SELECT a.id, {sql_at('a.detected_at', 'detected_at')}, a.service_name, a.anomaly_score, a.is_anomaly, a.severity, coalesce(f.accepted, false) AS kept,
+    CASE WHEN NOT coalesce(f.accepted, false) THEN 'none' WHEN g.accepted THEN 'pending' ELSE 'suppressed' END AS alert
+    FROM anom a LEFT JOIN fold f USING (id) LEFT JOIN made m USING (id) LEFT JOIN fold_2 g ON g.id = m.alert_id""",
+)
+def _(t):
+    """Unordered files of logs to windows, scores of both detectors, kept anomalies and routed alerts, each stage a stream."""
+    out = scratch_path(t.spark, "st-anomalies")
+    jobs.stream_features(event_stream(t), f"{out}/features", f"{out}/progress-f", WINDOW_SECONDS).awaitTermination()
+    versions = anomaly_jobs.window_versions(t.spark, f"{out}/features/windows", files_per_trigger=1)
+    slow = rules(t).withColumn("cooldown_seconds", F.col("cooldown_seconds") * 100)
+    anomaly_jobs.stream_anomalies(versions, f"{out}/rows", f"{out}/progress", slow, scored_analyses, ttl_seconds=TTL_SECONDS).awaitTermination()
+    kept = anomaly_jobs.read_kept(t.spark, f"{out}/rows").select("id", F.col("accepted").alias("kept"))
+    alerts = anomaly_jobs.read_alerts_routed(t.spark, f"{out}/rows").select(F.col("anomaly_id").alias("id"), F.col("status").alias("alert"))
+    found = anomaly_jobs.read_anomalies(t.spark, f"{out}/rows").join(kept, "id", "left").join(alerts, "id", "left")
+    return found.select("id", at("detected_at"), "service_name", "anomaly_score", "is_anomaly", "severity", F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("alert", F.lit("none")).alias("alert"))
+
+
 @query("st4_stream_suppression", f"{sql_views('analyses')}, {_fold('analyses', 'analyzed_at', '3600')} SELECT id, service_name, severity, accepted FROM fold")
 def _(t):
     out = scratch_path(t.spark, "st4")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,6 +165,34 @@ def feature_stream(spark: SparkSession, path: str) -> DataFrame:
 SCORES = "service_name STRING, window_id STRING, window_start TIMESTAMP, stat_warming BOOLEAN, stat_score DOUBLE, stat_triggered STRING"
 
 
+def rolling_step(value, history, seen: int, above, below, target, conf: StatisticalConfig):
+    """One window against the values before it: the weighted score of each feature (None while warming up), and the CUSUM's
+    sums and target afterwards."""
+    if seen < conf.min_samples:
+        return None, above, below, target
+    if seen == conf.min_samples:
+        target = history.mean(axis=0)
+    mean, std = history.mean(axis=0), history.std(axis=0)
+    flat = std < FLAT
+    z = np.where(flat, 0.0, np.abs(value - mean) / np.where(flat, 1.0, std) / conf.z_threshold)
+    q1, q3 = np.percentile(history, [25, 75], axis=0)
+    iqr = q3 - q1
+    outside = np.maximum(np.maximum(value - q3 - 1.5 * iqr, q1 - 1.5 * iqr - value), 0.0)
+    fence = np.where(iqr < FLAT, 0.0, outside / (iqr + FLAT))
+    scale = np.where(flat, 1.0 if conf.flat_std == "one" else 0.0, std)
+    above = np.maximum(0.0, above + (value - target) - conf.cusum_k * scale)
+    below = np.maximum(0.0, below - (value - target) - conf.cusum_k * scale)
+    drift = np.maximum(above, below) / (conf.cusum_h * scale + FLAT)
+    return np.minimum(np.maximum(np.maximum(z, fence), drift), 1.0) * np.array(list(WEIGHTS.values())), above, below, target
+
+
+def fused_score(weighted) -> tuple[float, list[str]]:
+    """The score of a window and the features that raised it."""
+    if weighted is None:
+        return 0.0, []
+    return round(min(float(weighted.sum()), 1.0), 4), [n for n, w in zip(WEIGHTS, weighted) if w > TRIGGER_ABOVE]
+
+
 class RollingScorer(StatefulProcessor):
     """Per service: the last values of each feature, the CUSUM sums and targets, and the count so far."""
 
@@ -176,9 +205,7 @@ class RollingScorer(StatefulProcessor):
         )
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        names, weights, conf = list(WEIGHTS), np.array(list(WEIGHTS.values())), self.config
+        names, conf = list(WEIGHTS), self.config
         part = pd.concat(list(rows)).sort_values("window_start")
         seen, history = 0, np.empty((0, len(names)))
         above, below, target = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
@@ -189,28 +216,11 @@ class RollingScorer(StatefulProcessor):
         out = []
         for row in part.itertuples():
             value = np.array([getattr(row, n) for n in names], dtype=float)
-            warming = seen < conf.min_samples
-            score, triggered = 0.0, ""
-            if not warming:
-                if seen == conf.min_samples:
-                    target = history.mean(axis=0)
-                std = history.std(axis=0)
-                flat = std < FLAT
-                z = np.where(flat, 0.0, np.abs(value - history.mean(axis=0)) / np.where(flat, 1.0, std) / conf.z_threshold)
-                q1, q3 = np.percentile(history, [25, 75], axis=0)
-                iqr = q3 - q1
-                outside = np.maximum(np.maximum(value - q3 - 1.5 * iqr, q1 - 1.5 * iqr - value), 0.0)
-                fence = np.where(iqr < FLAT, 0.0, outside / (iqr + FLAT))
-                scale = np.where(flat, 1.0 if conf.flat_std == "one" else 0.0, std)
-                above = np.maximum(0.0, above + (value - target) - conf.cusum_k * scale)
-                below = np.maximum(0.0, below - (value - target) - conf.cusum_k * scale)
-                drift = np.maximum(above, below) / (conf.cusum_h * scale + FLAT)
-                weighted = np.minimum(np.maximum(np.maximum(z, fence), drift), 1.0) * weights
-                score = round(min(float(weighted.sum()), 1.0), 4)
-                triggered = ",".join(n for n, w in zip(names, weighted) if w > TRIGGER_ABOVE)
+            weighted, above, below, target = rolling_step(value, history, seen, above, below, target, conf)
+            score, triggered = fused_score(weighted)
             history = np.vstack([history, value])[-conf.history :]
+            out.append((row.service_name, row.window_id, row.window_start, weighted is None, score, ",".join(triggered)))
             seen += 1
-            out.append((row.service_name, row.window_id, row.window_start, warming, score, triggered))
         self.state.update((seen, history.tolist(), above.tolist(), below.tolist(), target.tolist()))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in SCORES.split(", ")])
 
