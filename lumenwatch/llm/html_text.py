@@ -2,12 +2,13 @@
 
 1. Every page is read into blocks of text. Each container gets the characters of its blocks outside links, its parent
    container a part of them; menus, headers, footers, sidebars, notices, adverts, forms and comments count for nothing, unless
-   such a name or form wraps the article or most of the page (see ``_whole``). The
-   page votes for the widest container around the best one that adds text outside links, and for an article or main around
+   such a name or form wraps the article or most of the page (see ``_whole``). A name counts when all of its words are of
+   boilerplate or layout: ``share-buttons`` does, ``social-history`` and ``post-header`` do not. The page votes for the widest container around the best one that adds text outside links, and for an article or main around
    it in any case. Paths are of tags and classes, generalised (digits stand for any number).
 2. Spark counts the votes by host and path, folded before the shuffle; a host's path with most votes wins.
-3. Every page is read again with its host's path; blocks under it, without boilerplate, are the text. Outside the page's best
-   container (and any article or main) lists of links are left out. A page that has nothing there is read by its own path.
+3. Every page is read again with its host's path; blocks under it, without boilerplate, are the text. Where the page's best
+   container is an article or main or in one, of what stands outside any article or main only headings of the page (h1) stay; elsewhere
+   lists of links outside the best container are left out. A page that has nothing there is read by its own path.
 
 Defined cases: null or empty html gives an empty text; a page without a host votes for itself alone; a tie goes to the
 greater path in string order; repeated rows vote each; other columns are kept and not read; an empty table gives no rows.
@@ -31,6 +32,7 @@ from lumenwatch.session import settle
 #: Winners are sent to every task up to this many hosts; more are joined by a shuffle on the host.
 BROADCAST_HOSTS = 50_000
 PARENT_SHARE = 0.4
+HOME_SHARE = 0.1
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -38,7 +40,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-RAW = set("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = set("script style textarea title noscript template iframe svg annotation annotation-xml xmp noembed noframes".split())
 CONTAINERS = set("html body div section article main center td header footer nav aside form fieldset dialog menu".split())
 BLOCKS = CONTAINERS | set(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption blockquote pre figure figcaption details summary address hr hgroup search".split()
@@ -53,7 +55,12 @@ ASIDE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu menubar breadcrumb "
     "breadcrumbs pagination pager sidebar sidenav rail footer masthead toolbar comment comments commentlist reply replies respond discussion disqus cookie "
     "cookies consent gdpr notice notification alert newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "popup modal overlay widget search".split()
+    "popup modal overlay widget search reactions dfp adslot".split()
+)
+#: Words of layout that may stand in a name beside one of boilerplate.
+LAYOUT_NAMES = set(
+    "area bar block body bottom box btn button buttons center column container content desktop form global group holder icon icons inline inner item "
+    "items layout left link links list main mobile module outer page panel primary right row secondary section site slot space strip top unit wrap wrapper zone".split()
 )
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -91,11 +98,17 @@ def _aside(tag: str, given: dict[str, str], home: bool) -> bool:
 
 
 def _named(tag: str, given: dict[str, str], home: bool) -> bool:
-    """A form, or an element with a word of boilerplate in its names. Such an element may also be a wrapper of the page."""
+    """A form, or an element with a name of boilerplate and layout words alone. Such an element may also be a wrapper of the page."""
     if tag in ("html", "body"):
         return False
-    names = {w.lower() for w in WORDS.findall(given.get("class", "") + " " + given.get("id", ""))}
-    return tag == "form" or given.get("role", "").lower() == "form" or bool(names & ASIDE_NAMES) or ("header" in names and not home)
+    if tag == "form" or given.get("role", "").lower() == "form":
+        return True
+    boilerplate = ASIDE_NAMES if home else ASIDE_NAMES | {"header"}
+    for name in (given.get("class", "") + " " + given.get("id", "")).split():
+        words = {w.lower() for w in WORDS.findall(name) if not w.isdigit()}
+        if words & boilerplate and words <= boilerplate | LAYOUT_NAMES:
+            return True
+    return False
 
 
 def _general(tag: str, given: dict[str, str]) -> str:
@@ -215,18 +228,27 @@ def read_page(html: str | None) -> list[Block]:
 
 
 def _core(page: list[Block]) -> tuple[str, ...] | None:
-    """The container with most text of its own, outside links and boilerplate, after those around it; the page itself is ()."""
+    """The container with most text of its own, outside links and boilerplate, after those around it; the page itself is ().
+
+    An article or main with the page's heading, or any main, is not outdone from outside unless it has little of the text.
+    """
+    shown = [b for b in page if not b.aside]
+    inside = [b for b in shown if _home(b.paths)]
+    if any(b.head or b.story[0] >= 0 for b in inside) and sum(map(_own, inside)) >= HOME_SHARE * sum(map(_own, shown)):
+        shown = inside
     scores: dict[tuple[str, ...], float] = defaultdict(float)
-    for b in page:
-        if not b.aside:
-            own = len(b.text) - b.linked
-            scores[b.paths] += own
-            if b.paths:
-                scores[b.paths[:-1]] += PARENT_SHARE * own
+    for b in shown:
+        scores[b.paths] += _own(b)
+        if b.paths:
+            scores[b.paths[:-1]] += PARENT_SHARE * _own(b)
     best = max(scores.items(), key=lambda s: (s[1], s[0]), default=(None, 0))
     return best[0] if best[1] > 0 else None
 
 
+def _own(b: Block) -> int:
+    return len(b.text) - b.linked
+
+
 def _shared(one: tuple[str, ...], other: tuple[str, ...]) -> int:
     """How many outermost containers two blocks share."""
     return next((k for k, (a, b) in enumerate(zip(one, other)) if a != b), min(len(one), len(other)))
@@ -239,7 +261,7 @@ def _home(paths: tuple[str, ...]) -> int:
 
 def _kept(page: list[Block], core: tuple[str, ...]) -> list[tuple[Block, int]]:
     """Blocks that are text, and how many containers they share with the core. Outside it and any article or main, a branch
-    of the page whose text is mostly links is none."""
+    of the page whose text is mostly links is none, and where the core is in an article or main, only a heading is."""
     rows = [(b, _shared(b.paths, core)) for b in page if not b.aside]
     links: dict[tuple[str, ...], int] = defaultdict(int)
     for b, k in rows:
@@ -248,7 +270,8 @@ def _kept(page: list[Block], core: tuple[str, ...]) -> list[tuple[Block, int]]:
     def branch(b: Block, k: int) -> int:
         return links[b.paths[: k + 1]] if len(b.paths) > k else 2 * b.linked - len(b.text)
 
-    return [(b, k) for b, k in rows if k == len(core) or _home(b.paths) or branch(b, k) <= 0]
+    home = _home(core)
+    return [(b, k) for b, k in rows if k == len(core) or _home(b.paths) or ((b.head or not home) and branch(b, k) <= 0)]
 
 
 def best_path(page: list[Block]) -> str | None:

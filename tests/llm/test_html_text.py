@@ -1,5 +1,8 @@
 """Main text: layouts with known articles, and the supplied pages."""
 
+import re
+from html import unescape
+
 from lumenwatch.llm import html_text
 
 NOISE_TOP = '<nav><ul><li><a href="/">Home</a></li></ul></nav><header class="site-header"><p>Slogan of the site goes here</p></header>'
@@ -60,6 +63,55 @@ def test_wrappers_with_names_of_boilerplate():
     assert html_text.extract('<div class="comments"><p>Only</p></div><div class="share"><p>this</p></div>') == "Only\nthis"
 
 
+def test_names_inside_an_article_are_hints():
+    story = "The story goes on for a while. " * 8
+    for body, want in (
+        (f'<article><h1>H</h1><section id="social-history"><p>{story}</p></section></article>', f"H\n{story.strip()}"),
+        (f'<article><h1>H</h1><p>{story}</p><section class="alert-systems"><p>{story}</p></section></article>', f"H\n{story.strip()}\n{story.strip()}"),
+        (f'<article><h1>H</h1><p>{story}</p><p class="alert-text">Mind this.</p></article>', f"H\n{story.strip()}\nMind this."),
+        (f'<div class="post"><div class="post-header"><h1>H</h1></div><div class="post-body"><p>{story}</p></div></div>', f"H\n{story.strip()}"),
+        (f"<article><h1>H</h1><p>Take <math><mi>x</mi><annotation>x</annotation></math> now. {story}</p></article>", f"H\nTake x now. {story.strip()}"),
+        (f'<article><h1>H</h1><p>{story}</p><div class="dfp-slot">Buy a car</div><div class="social-links">Post it</div></article>', f"H\n{story.strip()}"),
+    ):
+        assert html_text.extract(page(body)) == want
+
+
+def test_text_outside_an_article_needs_a_reason():
+    story = "<h1>H</h1><p>" + "A short story. " * 8 + "</p>"
+    want = "H\n" + ("A short story. " * 8).strip()
+    reactions = '<section class="reader-voices"><p>I think this is quite right, and more people should say it.</p><p>No, not at all.</p></section>'
+    river = '<div class="river">' + "".join(f'<div class="tease"><h3>Teaser {i}</h3><p>What else has happened today in town number {i}.</p></div>' for i in range(12)) + "</div>"
+    banner = '<div class="top"><p>Welcome to the paper of the whole region</p></div>'
+    for home in ("article", "main"):
+        for before, after in (("", reactions), ("", river), (river, ""), (banner, ""), (banner + river, reactions)):
+            assert html_text.extract(page(f"{before}<{home}>{story}</{home}>{after}")) == want
+    assert html_text.extract(page(f"<h1>Top</h1>{banner}<article>{story}</article>")) == f"Top\n{want}"
+    teasers = "".join(f'<article class="tease"><h3>Teaser {i}</h3><p>What has happened in town {i}.</p></article>' for i in range(3))
+    assert want.split("\n")[1] in html_text.extract(page(f'<div class="story">{story * 3}</div>{teasers}'))
+
+
+def test_a_tie_of_votes_and_repeated_rows(spark):
+    one, two = ("<div class='%s'><p>%s</p></div>" % (c, "Some words of a story. " * 9) for c in "ab")
+    rows = [(1, "http://t.example/1", page(one)), (2, "http://t.example/2", page(two)), (2, "http://t.example/2", page(two)), (1, "http://t.example/1", page(one))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    (won,) = html_text.host_paths(pages).collect()
+    assert won.votes == 2 and "div.b" in won.path
+    out = html_text.main_text(pages).collect()
+    assert sorted(r.page_id for r in out) == [1, 1, 2, 2] and {r.text for r in out} == {("Some words of a story. " * 9).strip()}
+
+
+def test_supplied_pages_equal_a_plain_reading_of_their_articles(spark):
+    """The supplied pages have one bare article each, of a heading and paragraphs."""
+    folder = "/root/testdata/sf0.01"
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    for r in html_text.op4_html_extraction(spark, folder).collect():
+        body = re.sub(r"(?s)<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>", "", html[r.page_id].split("<article>")[1].split("</article>")[0])
+        body = re.sub(r'(?s)<div class="(?:ad|comments|share|related|cookie)[^>]*>.*?</div>', "", body)
+        parts = re.split(r"</?(?:h1|h2|p|div|ul|li|section|table|tr|td|pre|blockquote)\b[^>]*>", re.sub(r"<br\s*/?>", " ", body))
+        want = "\n".join(t for p in parts if (t := " ".join(unescape(re.sub(r"<[^>]+>", "", p)).split())))
+        assert r.text == want
+
+
 def test_odd_pages():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<html></html>") == ""
     assert html_text.extract("just words  here") == "just words here"
