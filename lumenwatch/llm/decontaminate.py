@@ -43,24 +43,34 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", item: str = "ite
     return held.select("length", "words", "set_id"), held.groupBy("set_id").agg(F.first("items").alias("items"))
 
 
-def window_hits(docs: DataFrame, windows: DataFrame, key: Column, text: str = "text") -> DataFrame:
-    """One row per document position at which a window starts: key, at, length, set_id."""
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most as many as a window has words
-    small = windows.count() <= BROADCAST_WINDOWS
+def _probes(docs: DataFrame, key: Column, text: str, lengths: list[int]) -> DataFrame:
+    """Every document position with each length of a window that fits there: key, words, at, length, h. One scan for all lengths."""
     placed = docs.select(key.alias("key"), plain_words(F.col(text)).alias("words"))
     placed = placed.select("key", "words", F.posexplode("words").alias("at", "word"))
-    found = None
-    for length in lengths or [WINDOW]:
-        there = windows.where(F.col("length") == length).select(
-            _window_hash(F.col("words"), F.lit(0), length).alias("h"), F.col("words").alias("wanted"), "set_id"
-        )
-        probes = placed.where(F.col("at") + length <= F.size("words")).withColumn("h", _window_hash(F.col("words"), F.col("at"), length))
-        hits = probes.join(F.broadcast(there) if small else there, "h").where(
-            F.slice("words", F.col("at") + 1, F.lit(length)) == F.col("wanted")
-        )
-        hits = hits.select("key", "at", F.lit(length).alias("length"), "set_id")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    fits = [F.struct(F.lit(n).alias("length"), F.when(F.col("at") + n <= F.size("words"), _window_hash(F.col("words"), F.col("at"), n)).alias("h")) for n in lengths]
+    probe = F.explode(F.array(*fits)) if len(fits) > 1 else fits[0]
+    return placed.select("key", "words", "at", probe.alias("probe")).select("key", "words", "at", "probe.length", "probe.h").where("h IS NOT NULL")
+
+
+def window_hits(docs: DataFrame, windows: DataFrame, key: Column, text: str = "text") -> DataFrame:
+    """One row per document position at which a window starts: key, at, length, set_id.
+
+    Where the windows are too many to broadcast, positions travel as numbers: those whose hash stands in the set are found first,
+    and only the words at these are read again, from the documents that have any, and verified.
+    """
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect()) or [WINDOW]  # at most as many as a window has words
+    hashed = F.coalesce(*(F.when(F.col("length") == n, _window_hash(F.col("words"), F.lit(0), n)) for n in lengths))
+    there = windows.select(F.col("length").alias("n"), hashed.alias("h"), F.col("words").alias("wanted"), "set_id")
+    probes = _probes(docs, key, text, lengths)
+    if windows.count() <= BROADCAST_WINDOWS:
+        hits = probes.join(F.broadcast(there), "h").where(F.slice("words", F.col("at") + 1, F.col("length")) == F.col("wanted"))
+        return hits.select("key", "at", "length", "set_id")
+    found = probes.select("key", "at", "length", "h").join(there.select("h").distinct(), "h", "left_semi")
+    found = settle(found.groupBy("key").agg(F.collect_set(F.struct("at", "length", "h")).alias("places")), "window-places")
+    read = docs.select(key.alias("key"), plain_words(F.col(text)).alias("words")).join(found, "key")
+    slices = F.transform("places", lambda p: F.struct(p["at"], p["length"], p["h"], F.slice("words", p["at"] + 1, p["length"]).alias("held")))
+    read = read.select("key", F.explode(slices).alias("p")).select("key", "p.at", "p.length", "p.h", "p.held")
+    return read.join(there, "h").where("held = wanted").select("key", "at", "length", "set_id")
 
 
 def _covered(starts: Column) -> Column:
@@ -85,10 +95,11 @@ def contamination(
     by_doc = hits.groupBy("key").agg(
         F.sort_array(F.collect_set(F.struct("at", "length"))).alias("spans"), F.collect_set("set_id").alias("sets")
     )
-    by_doc = settle(by_doc, "window-hits")
-    named = by_doc.select("key", F.explode("sets").alias("set_id")).join(sets, "set_id")
-    named = named.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    result = by_doc.select("key", "spans").join(named, "key").select(
+    by_doc = settle(by_doc.withColumn("together", F.md5(F.array_join(F.array_sort("sets"), ","))), "window-hits")
+    # Documents with the same sets have the same items: each combination is worked out once.
+    combined = by_doc.groupBy("together").agg(F.first("sets").alias("sets")).select("together", F.explode("sets").alias("set_id")).join(sets, "set_id")
+    named = combined.select("together", F.explode("items").alias("item")).groupBy("together").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    result = by_doc.select("key", "spans", "together").join(named, "together").select(
         F.col("key"), F.struct(_covered(F.col("spans")).cast("long").alias("n_hit"), "items", "spans").alias(into)
     )
     key, count, found = (fresh(docs, n) for n in ("row_key", "word_count", "found_hits"))

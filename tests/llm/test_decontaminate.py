@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from lumenwatch.llm import decontaminate
 
 from . import plain
@@ -38,3 +41,20 @@ def test_empty_tables_and_spans(spark):
     assert decontaminate.contamination(docs, bench.limit(0)).first().hits.n_hit == 0
     assert decontaminate.contamination(docs.limit(0), bench).collect() == []
     assert hashlib.sha256(b"").hexdigest() == decontaminate.op6_decontamination(spark, "/root/testdata/sf0.001").where("n_hit = 0").first().items_sha256
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_many_lengths_by_broadcast_and_by_shuffle(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randint(0, 60)}" for _ in range(n))
+    items = [(i, say(i % 14)) for i in range(60)] + [(100 + i, items_of) for i, items_of in enumerate(["shared passage of ten words that many items hold in common"] * 50)]
+    texts = [say(rng.randint(0, 80)) for _ in range(40)] + [f"{say(3)} {t} {say(4)}" for _, t in items[8:60:5]] + ["Shared passage of TEN words that many items hold in common"] * 9 + [None, "", items[50][1] * 1, say(3000)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'h' AS h", "1 AS length")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    held = plain.windows([(i, t) for i, t in items])
+    got = {r.doc_id: (r.hits["n_words"], r.hits["n_hit"], sorted(r.hits["items"])) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {i: plain.contamination(t, held) for i, t in rows}
+    hits = decontaminate.window_hits(docs, decontaminate.benchmark_windows(bench)[0], F.col("doc_id").cast("string"))
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # one scan for all lengths
