@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenwatch.session import settle
+
 _CELL = "__cell"
 
 
@@ -35,6 +37,15 @@ def running_totals(
     )
 
 
+def ranged_totals(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``running_totals`` for keys whose rows may crowd into any stretch of time: cells are tasks of a range partitioning on key and
+    order, which Spark bounds by sampled row counts. The dealt rows are landed once, so that both passes see the same cells."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = settle(dealt, "ranges").withColumn("__task", F.shiftright("__at", 33))
+    return running_totals(dealt, keys, ["__at"], F.col("__task"), values).drop("__at", "__task")
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], cell: Column, out: str = "rn") -> DataFrame:
     """``row_number()`` per key, computed cell by cell."""
     return running_totals(df, keys, order, cell, {out: F.lit(1).cast("bigint")})

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenwatch.operators.running import day_cell, running_totals
+from lumenwatch.operators.running import ranged_totals
 from lumenwatch.session import use_utc
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -151,7 +151,7 @@ class Tables:
             "id",
         )
         one = {"value": F.lit(1.0)}
-        return running_totals(rows, ["service_name", "status"], ["ts", "id"], day_cell("ts"), one)
+        return ranged_totals(rows, ["service_name", "status"], ["ts", "id"], one)
 
     @property
     def bucket_samples(self) -> DataFrame:
@@ -164,7 +164,7 @@ class Tables:
             "latency_ms",
         )
         inside = {"value": F.when(F.col("latency_ms") <= F.col("le"), 1.0).otherwise(0.0)}
-        return running_totals(rows, ["service_name", "le"], ["ts", "id"], day_cell("ts"), inside)
+        return ranged_totals(rows, ["service_name", "le"], ["ts", "id"], inside)
 
     @property
     def gauge_samples(self) -> DataFrame:

@@ -1135,6 +1135,19 @@ def _(t):
     return records.decode_counts(records.decode_records(messages(t)))
 
 
+@query(
+    "a13_publish_counts",
+    f"{sql_views('logs')} SELECT count(*) FILTER (WHERE CAST(id AS BIGINT) % 11 <> 0) AS sent, count(*) FILTER (WHERE CAST(id AS BIGINT) % 11 = 0) AS failed, "
+    "count(*) FILTER (WHERE CAST(id AS BIGINT) % 11 = 0) AS kept_aside, count(*) FILTER (WHERE CAST(id AS BIGINT) % 11 <> 0) AS on_target FROM logs",
+)
+def _(t):
+    """Every eleventh log has no service, hence no key."""
+    out = scratch_path(t.spark, "published")
+    totals = records.publish(t.logs.withColumn("service_name", F.expr("if(CAST(id AS BIGINT) % 11 = 0, '', service_name)")), f"{out}/topic", dead_letters=f"{out}/letters")
+    letters = records.replay_dead_letters(t.spark, f"{out}/letters").where("reason = 'no key'").agg(F.count("*").alias("kept_aside"))
+    return totals.crossJoin(letters).crossJoin(t.spark.read.schema("key STRING, value STRING").json(f"{out}/topic").agg(F.count("*").alias("on_target")))
+
+
 @query(
     "a13_analysis_counts",
     f"{sql_views('analyses')} SELECT count(*) FILTER (WHERE success) AS processed, count(*) FILTER (WHERE NOT success) AS failed FROM analyses",
@@ -1633,9 +1646,9 @@ def event_stream(t: Tables, repeats: bool = True) -> DataFrame:
     folder = scratch_path(t.spark, "events")
     events = t.spark.read.schema(EVENTS).parquet(f"{t.folder}/events.parquet")
     for part in range(4):
-        events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.parquet(f"{folder}/part={part}")
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).write.parquet(f"{folder}/part={part}")
     if repeats:
-        events.where("event_id % 10 = 3").coalesce(1).write.parquet(f"{folder}/part=4")
+        events.where("event_id % 10 = 3").write.parquet(f"{folder}/part=4")
     stream = streams.file_log_stream(t.spark, f"{folder}/part=*", EVENTS, files_per_trigger=1).selectExpr(*LOGS)
     return stream.withColumn("attributes", F.create_map(F.lit("latency_ms"), F.col("latency_ms").cast("string")))
 

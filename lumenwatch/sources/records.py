@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenwatch.functions.columns import once, parse_timestamp, present, strip
 from lumenwatch.operators.normalise import default_id
 from lumenwatch.schemas import LEVELS, LOG_WIRE, LOGS
+from lumenwatch.session import settle
+
+# Tries for a batch, the pause after each (times its number), the largest message of a broker.
+PUBLISH_ATTEMPTS = 3
+BACK_OFF_SECONDS = 0.3
+MESSAGE_BYTES = 1_048_576
 
 _COLUMNS = [field.split()[0] for field in LOGS.split(", ")]
 
@@ -58,12 +66,19 @@ def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def _decode_totals() -> list[Column]:
+    return [F.count_if(F.col("decode_error").isNull()).alias("processed"), F.count_if(F.col("decode_error").isNotNull()).alias("errors")]
+
+
 def decode_counts(decoded: DataFrame) -> DataFrame:
     """Processed and error totals of a batch."""
-    return decoded.agg(
-        F.count_if(F.col("decode_error").isNull()).alias("processed"),
-        F.count_if(F.col("decode_error").isNotNull()).alias("errors"),
-    )
+    return decoded.agg(*_decode_totals())
+
+
+def observed_counts(decoded: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and their totals of ``decode_counts`` once an action has read them: no pass of their own."""
+    totals = Observation()
+    return decoded.observe(totals, *_decode_totals()), totals
 
 
 def record_json(logs: DataFrame) -> Column:
@@ -97,9 +112,40 @@ def _shown(header: Column) -> Column:
     return F.struct(header["key"].alias("key"), F.decode(header["value"], "UTF-8").alias("value"))
 
 
-def publish(logs: DataFrame, target: str, kafka_servers: str | None = None) -> None:
-    """Write messages to a topic when broker addresses are given, else as JSON files below ``target``."""
-    messages = as_messages(logs)
+def publish(
+    logs: DataFrame, target: str, kafka_servers: str | None = None, dead_letters: str | None = None,
+    attempts: int = PUBLISH_ATTEMPTS, most_bytes: int = MESSAGE_BYTES,
+) -> DataFrame:
+    """Write messages to a topic when broker addresses are given, else as JSON files below ``target``; one row: sent, failed.
+
+    A message without a key or larger than a broker takes goes to ``dead_letters`` (beside ``target`` by default) with its reason; so
+    do all messages of a batch that fails ``attempts`` times. The totals are observed while the messages are written.
+    """
+    spark, letters = logs.sparkSession, dead_letters or f"{target.rstrip('/')}-failed"
+    reason = F.when(F.coalesce(F.length("key"), F.lit(0)) == 0, "no key").when(F.octet_length("value") > most_bytes, "too large")
+    messages = settle(as_messages(logs).withColumn("reason", reason), "messages")
+    good, bad = messages.where("reason IS NULL").drop("reason"), messages.where("reason IS NOT NULL")
+    sent, failed = Observation(), Observation()
+    write_dead_letters(bad.select(F.col("value").alias("raw"), "reason").observe(failed, F.count("*").alias("n")), letters)
+    n_failed, n_sent = failed.get["n"], 0
+    for attempt in range(1, attempts + 1):
+        try:
+            _send(good.observe(sent, F.count("*").alias("n")), target, kafka_servers)
+            n_sent = sent.get["n"]
+            break
+        except Exception as error:
+            if attempt == attempts:
+                rest = Observation()
+                lost = good.select(F.col("value").alias("raw"), F.lit(f"{type(error).__name__} at attempt {attempt}").alias("reason"))
+                write_dead_letters(lost.observe(rest, F.count("*").alias("n")), letters)
+                n_failed += rest.get["n"]
+            else:
+                sent = Observation()
+                time.sleep(BACK_OFF_SECONDS * attempt)
+    return spark.createDataFrame([(n_sent, n_failed)], "sent BIGINT, failed BIGINT")
+
+
+def _send(messages: DataFrame, target: str, kafka_servers: str | None) -> None:
     if kafka_servers:
         writer = messages.write.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
         writer.option("topic", target).option("includeHeaders", "true").save()

@@ -25,7 +25,7 @@ from lumenwatch.operators.statistical import (
 from lumenwatch.operators.suppression import MAX_PENDING, admit, mark_accepted
 from lumenwatch.schemas import FEATURES, LOGS
 from lumenwatch.session import ROCKSDB_PROVIDER, settle
-from lumenwatch.sources.records import decode_counts, decode_records, split_decoded
+from lumenwatch.sources.records import decode_records, observed_counts, split_decoded
 from lumenwatch.sources.tables import append_new, path_exists, read_batches
 
 FEATURE_TABLE = FEATURES + ", first_log TIMESTAMP, last_log TIMESTAMP"
@@ -58,11 +58,13 @@ def land_logs(
     rejected = quarantine or f"{path.rstrip('/')}-rejected"
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        decoded = settle(decode_records(batch), "decoded")
+        observed, totals = observed_counts(decode_records(batch))
+        decoded = settle(observed, "decoded")
         good, bad = split_decoded(decoded)
         landed = append_new(good, path, LOGS, ["timestamp", "message"], "timestamp", batch_id)
         bad.write.mode("overwrite").json(f"{rejected}/rows/batch_id={batch_id}")
-        decode_counts(decoded).write.mode("overwrite").json(f"{rejected}/counts/batch_id={batch_id}")
+        counts = batch.sparkSession.createDataFrame([(totals.get["processed"], totals.get["errors"])], "processed BIGINT, errors BIGINT")
+        counts.write.mode("overwrite").json(f"{rejected}/counts/batch_id={batch_id}")
         if on_batch:
             on_batch(landed.drop("event_date"), batch_id)
 

@@ -95,3 +95,29 @@ def test_limits_are_checked(spark):
 def test_shared_folder_is_the_sessions(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert configured is None or shared_dir(spark) == configured
+
+
+def test_publish_counts_and_dead_letters(spark, tmp_path, monkeypatch):
+    from lumenwatch.sources import records
+
+    rows = [(str(i), None, "" if i == 3 else "svc", "INFO", "x" * (5000 if i == 4 else 5), "t", "s", "h", "e", {}) for i in range(10)]
+    from lumenwatch.schemas import LOGS
+
+    logs = spark.createDataFrame(rows, LOGS)
+    totals = records.publish(logs, str(tmp_path / "topic"), most_bytes=2000).first()
+    assert (totals.sent, totals.failed) == (8, 2)
+    letters = records.replay_dead_letters(spark, str(tmp_path / "topic-failed")).collect()
+    assert sorted(r.reason for r in letters) == ["no key", "too large"] and spark.read.json(str(tmp_path / "topic")).count() == 8
+    assert records.publish(logs.limit(0), str(tmp_path / "none")).first()[:] == (0, 0)
+
+    tries = []
+
+    def broken(messages, target, servers):
+        tries.append(1)
+        raise OSError("broker down")
+
+    monkeypatch.setattr(records, "_send", broken)
+    monkeypatch.setattr(records, "BACK_OFF_SECONDS", 0)
+    totals = records.publish(logs, str(tmp_path / "down"), dead_letters=str(tmp_path / "letters")).first()
+    assert (totals.sent, totals.failed, len(tries)) == (0, 10, 3)
+    assert records.replay_dead_letters(spark, str(tmp_path / "letters")).where("reason LIKE 'OSError%'").count() == 9
