@@ -2,16 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenwatch.functions.columns import is_error, log_line
 from lumenwatch.operators.metrics import RATE_SECONDS, last_instant
+from lumenwatch.operators.running import ranged_totals
+from lumenwatch.session import settle
 
 LOOKBACK_SECONDS = 600
 RECENT_LOGS = 50
 ERROR_LOGS = 30
-CELLS_PER_LOOKBACK = 60
+
+
+class NumberedLogs(NamedTuple):
+    """Logs around anomalies, numbered once for all limits.
+
+    ``logs`` has ``n``, a log's number within its service in time order, and ``e``, its number among the errors; ``ends`` has for each
+    anomaly the numbers it has come to, so its newest k logs are those numbered n - k + 1 to n.
+    """
+
+    logs: DataFrame
+    ends: DataFrame
+
+    def newest(self, limit: int, errors_only: bool = False) -> DataFrame:
+        """The newest ``limit`` logs of each anomaly within its look-back, one row each with ``position`` 1 for the newest.
+
+        An equi-join on numbers: an anomaly meets ``limit`` logs, however many its service writes.
+        """
+        number = "e" if errors_only else "n"
+        logs = self.logs.where(is_error(F.col("level"))) if errors_only else self.logs
+        steps = F.sequence(F.greatest(F.col(number) - limit + 1, F.lit(1)), F.col(number))
+        wanted = self.ends.where(F.col(number) > 0).select(
+            "anomaly_id", "service_name", "since", F.col(number).alias("last"), F.explode(steps).alias("number")
+        )
+        rows = logs.select("service_name", "id", "timestamp", "level", "message", F.col(number).alias("number"))
+        pairs = wanted.join(rows, ["service_name", "number"]).where(F.col("timestamp") >= F.col("since"))
+        return pairs.select(
+            "anomaly_id", "service_name", (F.col("last") - F.col("number") + 1).cast("int").alias("position"), "id", "timestamp", "level", "message",
+            log_line(F.col("timestamp"), F.col("level"), F.col("message")).alias("line"),
+        )
+
+
+def number_logs(anomalies: DataFrame, logs: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS) -> NumberedLogs:
+    """Number the logs that may be in a look-back. ``anomalies(anomaly_id, service_name, detected_at)``.
+
+    Logs in no stretch of a look-back's length that an anomaly's own touches are left out first. Logs and anomalies then
+    go in time order through one pass over ranges of bounded row counts, which carries both running counts.
+    """
+    wanted = anomalies.select("anomaly_id", "service_name", "detected_at", (F.col("detected_at") - F.expr(f"INTERVAL {lookback_seconds} SECONDS")).alias("since"))
+    wanted = settle(wanted, "look-backs")
+    ends = [_cell(F.col(c), max(lookback_seconds, 1)) for c in ("since", "detected_at")]
+    touched = wanted.select("service_name", F.explode(F.array(*ends)).alias("cell")).distinct()
+    near = _logs_around(wanted, logs, lookback_seconds).select("service_name", "timestamp", "id", "level", "message", _cell(F.col("timestamp"), max(lookback_seconds, 1)).alias("cell"))
+    near = near.join(touched, ["service_name", "cell"], "left_semi").drop("cell")
+    none = F.lit(None)
+    both = near.select("*", F.lit(0).alias("kind"), none.cast("string").alias("anomaly_id"), none.cast("timestamp").alias("since")).unionByName(
+        # At an instant the anomaly comes after the logs: both ends of the look-back are included.
+        wanted.select("service_name", F.col("detected_at").alias("timestamp"), F.lit(1).alias("kind"), "anomaly_id", "since"), allowMissingColumns=True
+    )
+    is_log = F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")
+    counts = {"n": is_log, "e": F.when(is_error(F.col("level")), is_log).otherwise(0).cast("bigint")}
+    numbered = settle(ranged_totals(both, ["service_name"], ["timestamp", "kind", "id"], counts), "numbered-logs")
+    return NumberedLogs(
+        numbered.where("kind = 0").select("service_name", "timestamp", "id", "level", "message", "n", "e"),
+        numbered.where("kind = 1").select("anomaly_id", "service_name", "since", "n", "e"),
+    )
 
 
 def nearby_logs(
@@ -21,47 +79,8 @@ def nearby_logs(
     limit: int = RECENT_LOGS,
     errors_only: bool = False,
 ) -> DataFrame:
-    """The newest ``limit`` logs of each anomaly's service within the look-back before it.
-
-    ``anomalies(anomaly_id, service_name, detected_at)``. Both ends of the interval are included. One row
-    per (anomaly, log) with ``position`` 1 for the newest.
-
-    Pairing an anomaly with a whole look-back of a busy service would emit far more rows than it keeps.
-    Logs are first counted per (service, short cell); walking back over these counts tells from which cell
-    on an anomaly has enough logs, and only those cells are joined. Nothing is lost: a cell is left out
-    only when newer whole cells already hold ``limit`` logs.
-    """
-    width = max(lookback_seconds // CELLS_PER_LOOKBACK, 1)
-    if errors_only:
-        logs = logs.where(is_error(F.col("level")))
-    celled = _logs_around(anomalies, logs, lookback_seconds).select(
-        "id", "service_name", "timestamp", "level", "message", _cell(F.col("timestamp"), width).alias("cell")
-    )
-    wanted = anomalies.select("anomaly_id", "service_name", "detected_at").select(
-        "*",
-        (F.col("detected_at") - F.expr(f"INTERVAL {lookback_seconds} SECONDS")).alias("since"),
-    )
-    probes = wanted.withColumn(
-        "cell", F.explode(F.sequence(_cell(F.col("since"), width), _cell(F.col("detected_at"), width)))
-    )
-    counts = celled.groupBy("service_name", "cell").agg(F.count("*").alias("in_cell"))
-    newer = Window.partitionBy("anomaly_id").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    # The anomaly's own cell may hold logs after it, so it does not count as whole.
-    whole = F.when(F.col("cell") < _cell(F.col("detected_at"), width), F.col("in_cell")).otherwise(0)
-    needed = (
-        probes.join(counts, ["service_name", "cell"])
-        .select("*", F.coalesce(F.sum(whole).over(newer), F.lit(0)).alias("newer_logs"))
-        .where(F.col("newer_logs") < limit)
-    )
-    pairs = needed.join(celled, ["service_name", "cell"]).where(
-        (F.col("timestamp") >= F.col("since")) & (F.col("timestamp") <= F.col("detected_at"))
-    )
-    newest = Window.partitionBy("anomaly_id").orderBy(F.desc("timestamp"), F.desc("id"))
-    ranked = pairs.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= limit)
-    return ranked.select(
-        "anomaly_id", "service_name", "position", "id", "timestamp", "level", "message",
-        log_line(F.col("timestamp"), F.col("level"), F.col("message")).alias("line"),
-    )
+    """The newest ``limit`` logs of each anomaly's service within the look-back before it, both ends included."""
+    return number_logs(anomalies, logs, lookback_seconds).newest(limit, errors_only)
 
 
 def _logs_around(anomalies: DataFrame, logs: DataFrame, lookback_seconds: int) -> DataFrame:
@@ -148,8 +167,9 @@ def assemble_context(
     ``metrics(service_name, eval_at, metrics, available)`` as ``service_metrics`` makes it; a request
     takes the last instant of the evaluation grid at or before it.
     """
-    recent = log_lists(nearby_logs(requests, logs, lookback_seconds, RECENT_LOGS), "recent_logs")
-    errors = log_lists(nearby_logs(requests, logs, lookback_seconds, ERROR_LOGS, errors_only=True), "error_logs")
+    around = number_logs(requests, logs, lookback_seconds)
+    recent = log_lists(around.newest(RECENT_LOGS), "recent_logs")
+    errors = log_lists(around.newest(ERROR_LOGS, errors_only=True), "error_logs")
     graph = dependency_lists(edges)
     joined = (
         requests.join(recent.select("anomaly_id", "recent_logs"), "anomaly_id", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import START, at
 from lumenwatch.operators import metrics
 from lumenwatch.operators.context import (
-    assemble_context, dependencies, dependency_degrees, dependency_lists, log_lists, nearby_logs,
+    assemble_context, dependencies, dependency_degrees, dependency_lists, log_lists, nearby_logs, number_logs,
 )
 from lumenwatch.operators.graph import hops_from
 from lumenwatch.plans.bindings import EDGES
@@ -50,6 +50,17 @@ def test_nearby_logs_match_brute_force(logs, anomalies, errors_only, limit, look
         assert got.get(a.anomaly_id, []) == [r.id for r in inside[:limit]]
 
 
+def test_a_hot_service_meets_only_the_limit(spark):
+    """Every log of the service in one second, with anomalies after it: pairs are counted in the join itself."""
+    logs = spark.range(20_000).selectExpr("CAST(id AS STRING) AS id", "'hot' AS service_name", f"TIMESTAMP '{at(0)}' AS timestamp", "'ERROR' AS level", "'m' AS message")
+    anomalies = spark.createDataFrame([(f"a{i}", "hot", at(i)) for i in range(20)], ANOMALY)
+    around = number_logs(anomalies, logs)
+    assert around.logs.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()[:] == (1, 20_000, 20_000)
+    rows = around.newest(50).collect()
+    assert len(rows) == 20 * 50 and {r.id for r in rows} == set(sorted(map(str, range(20_000)))[-50:])
+    assert around.newest(30, errors_only=True).groupBy("anomaly_id").count().where("count <> 30").isEmpty()
+
+
 def test_log_lists_count_errors(logs, anomalies):
     rows = log_lists(nearby_logs(anomalies, logs, 600, 30, True)).collect()
     assert all(r.total == r.error_count == len(r.logs) <= 30 for r in rows)
