@@ -26,6 +26,9 @@ SEVERITY_EMOJI = {
 }
 SEVERITY_COLOR = {"low": "#36a64f", "medium": "#f0a500", "high": "#e01e5a", "critical": "#800000"}
 PAGER_SEVERITY = {"critical": "critical", "high": "error", "medium": "warning", "low": "info"}
+# Bands: a value takes the name of the first bound it is below, or the last name.
+ANOMALY_BANDS = ((0.30, "normal"), (0.50, "low"), (0.70, "medium"), (0.85, "high"), (None, "critical"))
+CONFIDENCE_BUCKETS = ((0.3, "low (< 0.3)"), (0.6, "medium (0.3-0.6)"), (0.8, "high (0.6-0.8)"), (None, "very_high (>= 0.8)"))
 # ---------------------------------------------------------------------------------------------
 
 _TIME_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})?$"
@@ -102,15 +105,15 @@ def coerce_severity(raw: Column) -> Column:
     return F.when(F.lower(raw).isin(*ALERT_SEVERITIES), F.lower(raw)).otherwise("medium")
 
 
+def band(value: Column, bands: tuple) -> Column:
+    """The name of the band that holds a value; null falls to the last name, as a comparison with null is not true."""
+    (bound, name), *rest = bands
+    return F.lit(name) if bound is None else F.when(value < bound, name).otherwise(band(value, rest))
+
+
 def anomaly_severity(score: Column) -> Column:
     """Band of an unrounded ensemble score."""
-    return (
-        F.when(score < 0.30, "normal")
-        .when(score < 0.50, "low")
-        .when(score < 0.70, "medium")
-        .when(score < 0.85, "high")
-        .otherwise("critical")
-    )
+    return band(score, ANOMALY_BANDS)
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
@@ -135,12 +138,7 @@ def confidence_band(confidence: Column) -> Column:
 
 
 def confidence_bucket(confidence: Column) -> Column:
-    return (
-        F.when(confidence < 0.3, "low (< 0.3)")
-        .when(confidence < 0.6, "medium (0.3-0.6)")
-        .when(confidence < 0.8, "high (0.6-0.8)")
-        .otherwise("very_high (>= 0.8)")
-    )
+    return band(confidence, CONFIDENCE_BUCKETS)
 
 
 def since(ts: Column, as_of: Column, interval: str) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenwatch.operators.running import day_cell, number_rows, with_halo
+from lumenwatch.operators.running import day_cell, number_rows, running_totals, with_halo
 from lumenwatch.session import settle
 
 # Feature weights, in order.
@@ -36,27 +36,17 @@ class StatisticalConfig:
 def with_segments(features: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     """Number the restarts of each service (W7); a window belongs to the segment it starts in.
 
-    ``resets(service_name, reset_at)``: one row per redeploy. Segments are joined as intervals.
+    ``resets(service_name, reset_at)``: one row per redeploy. A running count over windows and restarts together, by days.
     """
     if resets is None:
         return features.withColumn("segment", F.lit(0).cast("bigint"))
-    by_time = Window.partitionBy("service_name").orderBy("reset_at")
-    spans = resets.select("service_name", "reset_at").distinct().select(
-        F.col("service_name").alias("__svc"),
-        F.col("reset_at").alias("__from"),
-        F.lead("reset_at").over(by_time).alias("__until"),
-        F.row_number().over(by_time).cast("bigint").alias("__segment"),
-    )
-    inside = (
-        (F.col("service_name") == F.col("__svc"))
-        & (F.col("window_start") >= F.col("__from"))
-        & (F.col("__until").isNull() | (F.col("window_start") < F.col("__until")))
-    )
-    return (
-        features.join(spans, inside, "left")
-        .withColumn("segment", F.coalesce("__segment", F.lit(0).cast("bigint")))
-        .drop("__svc", "__from", "__until", "__segment")
-    )
+    restarts = resets.select("service_name", F.col("reset_at").alias("__at")).distinct().withColumn("__kind", F.lit(0))
+    windows = features.select("service_name", F.col("window_start").alias("__at"), F.lit(1).alias("__kind"), F.struct(*features.columns).alias("__row"))
+    # At one instant a restart comes before the window that starts there.
+    is_restart = F.when(F.col("__kind") == 0, 1).otherwise(0).cast("bigint")
+    both = windows.unionByName(restarts, allowMissingColumns=True)
+    counted = running_totals(both, ["service_name"], ["__at", "__kind"], day_cell("__at"), {"segment": is_restart})
+    return counted.where("__kind = 1").select("__row.*", "segment")
 
 
 def numbered(features: DataFrame, resets: DataFrame | None = None) -> DataFrame:

@@ -338,14 +338,25 @@ def read_decisions(spark: SparkSession, path: str, ts: str = "detected_at") -> D
 
 
 def stream_admission(
-    events: DataFrame, path: str, checkpoint: str, pending: Callable[[int], int], capacity: int = MAX_PENDING, every: str | None = None
+    events: DataFrame, path: str, checkpoint: str, pending: Callable[[int], int] | None = None, capacity: int = MAX_PENDING,
+    every: str | None = None, finished: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Admit the oldest rows while at most ``capacity`` are pending; the others are kept with ``admitted`` false.
 
-    ``pending(batch_id)`` says how many admitted rows still wait when a batch begins.
+    How many admitted rows still wait when a batch begins follows from what earlier batches admitted and ``finished()``, a table with
+    the ``id`` of each row that is done with (none without it), unless ``pending(batch_id)`` says it.
     """
 
+    def waiting(spark: SparkSession, batch_id: int) -> int:
+        if pending is not None:
+            return pending(batch_id)
+        if not path_exists(spark, path):
+            return 0
+        admitted = spark.read.schema("id STRING, admitted BOOLEAN, batch_id BIGINT").parquet(path).where((F.col("batch_id") < batch_id) & F.col("admitted"))
+        return (admitted if finished is None else admitted.join(finished().select("id"), "id", "left_anti")).count()
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        admit(batch, max(0, capacity - pending(batch_id))).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        room = max(0, capacity - waiting(batch.sparkSession, batch_id))
+        admit(batch, room).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return _start(events.writeStream.foreachBatch(process), checkpoint, every)

@@ -192,3 +192,13 @@ def test_admission_counts_what_is_pending(spark, tmp_path):
     jobs.stream_admission(source, str(tmp_path / "out"), str(tmp_path / "progress"), pending=lambda batch: 5 * batch, capacity=5).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert (rows.count(), rows.where("admitted").count(), rows.where("admitted AND id < 10").count()) == (20, 5, 5)
+
+
+def test_admission_knows_what_is_pending(spark, tmp_path):
+    for n in range(3):
+        put(spark.range(n * 10, n * 10 + 10).selectExpr("CAST(id AS STRING) AS id", "timestamp_seconds(id) AS detected_at"), tmp_path / "in", f"b{n}")
+    done = lambda: spark.createDataFrame([("0",), ("1",), ("2",)], "id STRING")
+    source = streams.file_log_stream(spark, str(tmp_path / "in" / "*"), "id STRING, detected_at TIMESTAMP", files_per_trigger=1)
+    jobs.stream_admission(source, str(tmp_path / "out"), str(tmp_path / "progress"), capacity=5, finished=done).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).where("admitted").groupBy("batch_id").count().collect()
+    assert sorted((r.batch_id, r["count"]) for r in rows) == [(0, 5), (1, 3)]
