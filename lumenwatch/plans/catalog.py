@@ -990,7 +990,9 @@ def _bands(score: str) -> str:
     return f"CASE WHEN {score} < 0.30 THEN 'normal' WHEN {score} < 0.50 THEN 'low' WHEN {score} < 0.70 THEN 'medium' WHEN {score} < 0.85 THEN 'high' ELSE 'critical' END"
 
 
-_ACTION = "CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fx.SEVERITY_ACTION.items()) + " END"
+_ACTION = """CASE severity WHEN 'normal' THEN 'No action required.' WHEN 'low' THEN 'Monitor closely over the next 5 minutes.'
+    WHEN 'medium' THEN 'Investigate logs; consider scaling or alerting on-call.' WHEN 'high' THEN 'Immediate investigation required — check dependent services.'
+    WHEN 'critical' THEN 'Page on-call immediately — potential service outage.' END"""
 _ANOM = f"""{_STAT}, anom AS (
     SELECT substr(sha256(concat(service_name, '@', strftime(window_start, '%Y-%m-%dT%H:%M:%S.%f'))), 1, 32) AS id,
            window_start + INTERVAL '{WINDOW_SECONDS} seconds' AS detected_at, service_name, stat_score AS anomaly_score, stat_score >= 0.5 AS is_anomaly,
@@ -1206,14 +1208,16 @@ def _(t):
     return routing.gate(routing.with_rules(alerts_built(t), rules(t))).select("id", "passes")
 
 
-def _case(key: str, table: dict) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+# The checking SQL's own statement of the constants.
+_EMOJI = "CASE severity WHEN 'low' THEN ':information_source:' WHEN 'medium' THEN ':warning:' WHEN 'high' THEN ':rotating_light:' WHEN 'critical' THEN ':fire:' END"
+_COLOUR = "CASE severity WHEN 'low' THEN '#36a64f' WHEN 'medium' THEN '#f0a500' WHEN 'high' THEN '#e01e5a' WHEN 'critical' THEN '#800000' END"
+_PAGER = "CASE severity WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'info' END"
 
 
 @query(
     "j7_constant_lookups",
-    f"""{_ROUTABLE} SELECT id, {_case('severity', fx.SEVERITY_EMOJI)} AS emoji, {_case('severity', fx.SEVERITY_COLOR)} AS color,
-    {_case('severity', fx.PAGER_SEVERITY)} AS pager, {_case('severity', fx.SEVERITY_ACTION)} AS action FROM coerced""",
+    f"""{_ROUTABLE} SELECT id, {_EMOJI} AS emoji, {_COLOUR} AS color,
+    {_PAGER} AS pager, {_ACTION} AS action FROM coerced""",
 )
 def _(t):
     severity = F.col("severity")
@@ -1308,7 +1312,7 @@ def _(t):
 
 @query(
     "r8_chat_messages",
-    f"""{_ROUTABLE} SELECT id, {_case('severity', fx.SEVERITY_COLOR)} AS color, concat({_case('severity', fx.SEVERITY_EMOJI)}, ' ', title) AS header,
+    f"""{_ROUTABLE} SELECT id, {_COLOUR} AS color, concat({_EMOJI}, ' ', title) AS header,
     concat('*What happened*', chr(10), root_cause, chr(10), '*Certainty* ', k, '%, *call* ', CASE WHEN escalate_to = '' THEN '_nobody named_' ELSE concat('*', escalate_to, '*') END) AS cause,
     concat('*Also touched*', chr(10), '`', service_name, '`, `api-gateway`') AS affected, 'divider' AS fourth,
     concat('*Then*', chr(10), array_to_string({_STEPS}, chr(10))) AS steps,
@@ -1329,7 +1333,7 @@ def _(t):
 
 @query(
     "r9_pager_events",
-    f"""{_ROUTABLE} SELECT id, 'trigger' AS event_action, id AS dedup_key, title AS summary, service_name AS source, {_case('severity', fx.PAGER_SEVERITY)} AS severity,
+    f"""{_ROUTABLE} SELECT id, 'trigger' AS event_action, id AS dedup_key, title AS summary, service_name AS source, {_PAGER} AS severity,
     concat(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'), '+00:00') AS timestamp, concat(k, '%') AS confidence, analysis_id FROM coerced""",
 )
 def _(t):
