@@ -1015,7 +1015,14 @@ def _(t):
     return found.groupBy("service_name", "severity").agg(F.count("*").alias("windows"), F.max("anomaly_score").alias("worst"))
 
 
-_ROUNDED = _FEAT.replace("feat AS (", "exact AS (") + f""", feat AS (SELECT * REPLACE (
+def _quantile(p: float) -> str:
+    """Linear interpolation in the operator's own order of steps: here a last bit decides a rounding."""
+    values, rank = "list(latency_ms ORDER BY latency_ms)", f"((count(latency_ms) - 1) * CAST({p} AS DOUBLE))"
+    low, high = (f"{values}[CAST({f}({rank}) AS BIGINT) + 1]" for f in ("floor", "ceil"))
+    return f"({low} + ({high} - {low}) * ({rank} - floor({rank})))"
+
+
+_ROUNDED = re.sub(r"quantile_cont\(latency_ms, ([0-9.]+)\)", lambda m: _quantile(float(m[1])), _FEAT).replace("feat AS (", "exact AS (") + f""", feat AS (SELECT * REPLACE (
     {hu('logs_per_second', 2)} AS logs_per_second, {hu('error_rate', 4)} AS error_rate,
     {', '.join(f"{hu(f'coalesce({c}, 0.0)', 2)} AS {c}" for c in ('latency_p50', 'latency_p95', 'latency_p99', 'latency_mean'))}) FROM exact)"""
 #: Both detectors over rounded features, as the whole chain has them, fused and judged.
