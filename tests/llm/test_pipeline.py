@@ -55,3 +55,21 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER) if stage is not corpus_pipeline.packed_sequences else docs
     assert docs.collect() == [] and corpus_pipeline.packed_sequences(spark, docs, FOLDER).collect() == []
+
+
+def test_nulls_repeats_and_long_texts_through_all_stages(spark):
+    say = lambda seed, n: " ".join(f"{'the of and to in'.split()[(seed + i) % 5]} w{seed}x{i % 97}y{i}" for i in range(n))
+    long = say(9, 40_000)
+    rows = [(None, None), (1, None), (2, ""), (3, say(1, 60)), (3, say(1, 60)), (3, say(2, 60)), (4, say(1, 60)), (None, say(3, 60)), (None, say(3, 60)), (5, long), (6, "short")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, FOLDER)
+        assert out.columns == docs.columns
+    kept = sorted(((r.doc_id or 0, r.text[:12]) for r in out.collect()))
+    # One row of the equal texts of ids 3 and 4; the other text of id 3; rows without an id stay.
+    assert kept == sorted([(3, say(1, 60)[:12]), (3, say(2, 60)[:12]), (0, say(3, 60)[:12]), (0, say(3, 60)[:12]), (5, long[:12])])
+    pieces = defaultdict(int)
+    for r in corpus_pipeline.packed_sequences(spark, out, FOLDER).collect():
+        pieces[r.doc_id, r.doc_tokens] += r.length
+    assert {i for i, _ in pieces} == {None, 3, 5} and all(n % tokens == 0 for (_, tokens), n in pieces.items())
