@@ -10,7 +10,7 @@ import types
 from collections.abc import Iterable, Iterator
 
 #: Pieces whose ids a worker remembers, half of them from the time before the last turn-over.
-REMEMBERED = 900_000
+REMEMBERED = 1_600_000
 _STORE = "_lumenwatch_encoders"
 _LONE_BLANK = re.compile(r"(?<=\S)(?= )")
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
