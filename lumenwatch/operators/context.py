@@ -30,16 +30,18 @@ class NumberedLogs(NamedTuple):
     def newest(self, limit: int, errors_only: bool = False) -> DataFrame:
         """The newest ``limit`` logs of each anomaly within its look-back, one row each with ``position`` 1 for the newest.
 
-        An equi-join on numbers: an anomaly meets ``limit`` logs, however many its service writes.
+        An equi-join on blocks of ``limit`` numbers: an anomaly's logs lie in two blocks at most, however many its service writes. Both
+        sides grow with the logs, so they are merged: landed tables are estimated by their packed size, too small to trust for a broadcast.
         """
         number = "e" if errors_only else "n"
         logs = self.logs.where(is_error(F.col("level"))) if errors_only else self.logs
-        steps = F.sequence(F.greatest(F.col(number) - limit + 1, F.lit(1)), F.col(number))
+        first, last = F.greatest(F.col(number) - limit + 1, F.lit(1)), F.col(number)
         wanted = self.ends.where(F.col(number) > 0).select(
-            "anomaly_id", "service_name", "since", F.col(number).alias("last"), F.explode(steps).alias("number")
+            "anomaly_id", "service_name", "since", first.alias("first"), last.alias("last"),
+            F.explode(F.sequence(F.floor(first / limit), F.floor(last / limit))).alias("block"),
         )
-        rows = logs.select("service_name", "id", "timestamp", "level", "message", F.col(number).alias("number"))
-        pairs = wanted.join(rows, ["service_name", "number"]).where(F.col("timestamp") >= F.col("since"))
+        rows = logs.select("service_name", "id", "timestamp", "level", "message", F.col(number).alias("number"), F.floor(F.col(number) / limit).alias("block"))
+        pairs = wanted.join(rows.hint("merge"), ["service_name", "block"]).where(F.col("number").between(F.col("first"), F.col("last")) & (F.col("timestamp") >= F.col("since")))
         return pairs.select(
             "anomaly_id", "service_name", (F.col("last") - F.col("number") + 1).cast("int").alias("position"), "id", "timestamp", "level", "message",
             log_line(F.col("timestamp"), F.col("level"), F.col("message")).alias("line"),

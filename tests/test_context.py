@@ -61,6 +61,18 @@ def test_a_hot_service_meets_only_the_limit(spark):
     assert around.newest(30, errors_only=True).groupBy("anomaly_id").count().where("count <> 30").isEmpty()
 
 
+def test_an_anomaly_is_not_multiplied_by_the_limit(spark, logs, anomalies):
+    """What meets the logs has two rows an anomaly at most, and no side of that join goes through the driver."""
+    plan = number_logs(anomalies, logs).newest(50)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [service_name" in plan and "BroadcastHashJoin" not in plan
+    times = [(f"a{i}", "hot", at(i)) for i in range(120)]
+    each = spark.createDataFrame([(i, "hot", t, "ERROR", "m") for i, _, t in times], LOG)
+    around = number_logs(spark.createDataFrame(times, ANOMALY), each)
+    for limit in (1, 7, 50):  # an anomaly meets the log of its own instant and those before it, over every end of a block
+        rows = {(r.anomaly_id, r.position): r.id for r in around.newest(limit).collect()}
+        assert rows == {(f"a{i}", k + 1): f"a{i - k}" for i in range(120) for k in range(min(limit, i + 1))}
+
+
 def test_log_lists_count_errors(logs, anomalies):
     rows = log_lists(nearby_logs(anomalies, logs, 600, 30, True)).collect()
     assert all(r.total == r.error_count == len(r.logs) <= 30 for r in rows)
