@@ -243,10 +243,13 @@ def stream_anomalies(
         statefulProcessor=AnomalyScorer(config), outputStructType=SCORED, outputMode="append", timeMode="None"
     )
 
+    # A batch of a stateful query has a session that does not plan adaptively, where each small step of a trigger takes a task for every
+    # shuffle partition; what follows its own rows is planned by the session that starts the job.
+    spark = versions.sparkSession
+
     def process(batch: DataFrame, batch_id: int) -> None:
         here = f"batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(f"{path}/scores/{here}")
-        spark = batch.sparkSession
         new = spark.read.schema(SCORED).parquet(f"{path}/scores/{here}")
         listed = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, r"\|"))
         new = new.withColumns({
@@ -259,7 +262,7 @@ def stream_anomalies(
         if rules is not None and analyze is not None:
             _route(spark, path, batch_id, rules, analyze)
 
-    spark, name = versions.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    name = "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(name)
     spark.conf.set(name, ROCKSDB_PROVIDER)  # the query keeps the setting it starts with
     try:

@@ -86,3 +86,18 @@ def test_restarts_of_a_history(spark, tmp_path):
     land(everything.where(F.col("window_start") >= F.lit(at(60 * 150))), landed, 1)
     run(spark, landed, out, resets)
     compare(spark, out, everything, spark.createDataFrame([("b", at(60 * 20)), *known], schema))
+
+
+def test_steps_of_a_trigger_are_planned_adaptively(spark, tmp_path):
+    """A trigger's own tables have as few files as their rows need, not one for each shuffle partition."""
+    out, landed = str(tmp_path / "out"), tmp_path / "windows"
+    services = [feature_rows(spark, wild_windows(60, i), f"s{i}") for i in range(6)]
+    everything = services[0]
+    for rows in services[1:]:
+        everything = everything.unionByName(rows)
+    land(everything, landed, 0)
+    run(spark, landed, out)
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 2
+    for table in ("decisions", "alerts"):
+        assert len(list((tmp_path / "out" / table / "batch_id=0").glob("*.parquet"))) <= 2
+    compare(spark, out, everything)
