@@ -57,16 +57,21 @@ def append_new(
     """Append new rows below ``path`` and return what this batch has there.
 
     Each batch owns ``batch_id=N`` and overwrites only that, so a replayed batch replaces itself. Only the
-    id column of earlier batches is read.
+    id column of earlier batches is read. Rows are dealt by day, so that a batch leaves few files of a good size, not one a task and day.
     """
     spark = batch.sparkSession
     target = _earlier(spark, path, schema, batch_id)
     fresh = new_rows(batch, target, order).withColumn("event_date", F.to_date(time_column))
     mine = f"{path}/batch_id={batch_id}"
-    fresh.write.mode("overwrite").partitionBy("event_date").parquet(mine)
+    by_day(fresh, "event_date").write.mode("overwrite").partitionBy("event_date").parquet(mine)
     return spark.read.schema(f"{schema}, event_date DATE").parquet(mine)
 
 
+def by_day(rows: DataFrame, day: str) -> DataFrame:
+    """Rows dealt by day for a write by day; Spark joins small days and splits large ones by their sizes."""
+    return rows.hint("rebalance", day)
+
+
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table that ``append_new`` writes; filter on ``event_date`` to prune."""
     return spark.read.schema(f"{schema}, batch_id BIGINT, event_date DATE").parquet(path)

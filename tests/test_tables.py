@@ -42,6 +42,29 @@ def alert(i, status, day=0, title="old", channels=()):
     return (i, at(day * 86_400), at(9) if status == "sent" else None, "an", "a", "s", "high", status, title, "c", 0.5, "act", [], [], "", ["slack"], list(channels), [])
 
 
+def test_a_batch_leaves_one_small_file_a_day(spark, tmp_path):
+    path, order, days = str(tmp_path / "logs"), ["timestamp", "message"], 6
+    rows = spark.range(1200).selectExpr("CAST(id AS STRING) AS id", f"TIMESTAMP '{START}' + make_interval(0, 0, 0, CAST(id % {days} AS INT), 0, 0, id) AS timestamp", "'s' AS service_name", "'INFO' AS level", "concat('m', id) AS message")
+    full = rows.selectExpr("*", "'t' AS trace_id", "'p' AS span_id", "'h' AS host", "'production' AS environment", "map('k', 'v') AS attributes")
+    twice = full.unionByName(full.withColumn("timestamp", F.expr("CASE WHEN id = '7' THEN NULL ELSE timestamp END")))
+    twice = twice.unionByName(full.where("id = '9'").withColumn("id", F.lit("undated")).withColumn("timestamp", F.lit(None).cast("timestamp")))
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "true", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    was = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)  # as many tasks as there are cores, as rows in plenty have
+        tables.append_new(twice, path, LOGS, order, "timestamp", 0)
+        tables.append_new(full.unionByName(full.withColumn("id", F.concat(F.lit("n"), "id"))), path, LOGS, order, "timestamp", 1)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    for batch in (0, 1):
+        folders = [p for p in (tmp_path / "logs" / f"batch_id={batch}").iterdir() if p.is_dir()]
+        assert len(folders) >= days and all(len(list(p.glob("*.parquet"))) == 1 for p in folders)
+    ids = sorted(r.id for r in tables.read_batches(spark, path, LOGS).collect())
+    assert ids == sorted([*map(str, range(1200)), *[f"n{i}" for i in range(1200)], "undated"])
+
+
 def test_alert_upsert(spark, tmp_path):
     path = str(tmp_path / "alerts")
     tables.upsert_alerts(spark.createDataFrame([alert("1", "pending"), alert("2", "pending", 1)], ALERTS), path)
