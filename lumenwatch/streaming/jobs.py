@@ -26,7 +26,7 @@ from lumenwatch.operators.suppression import MAX_PENDING, admit, mark_accepted
 from lumenwatch.schemas import FEATURES, LOGS
 from lumenwatch.session import ROCKSDB_PROVIDER, settle
 from lumenwatch.sources.records import decode_records, observed_counts, split_decoded
-from lumenwatch.sources.tables import append_new, path_exists, read_batches
+from lumenwatch.sources.tables import append_new, by_day, path_exists, read_batches
 
 FEATURE_TABLE = FEATURES + ", first_log TIMESTAMP, last_log TIMESTAMP"
 
@@ -109,7 +109,7 @@ def refresh_features(logs: DataFrame, path: str, batch_id: int, window_seconds:
         return
     folded = {}
     for kind, fold in zip(_FOLDS, fold_logs(logs, window_seconds), strict=True):
-        writer = fold.select("*", dated, F.lit(batch_id).alias("batch_id")).write.mode("overwrite")
+        writer = by_day(fold.select("*", dated, F.lit(batch_id).alias("batch_id")), "slot_date").write.mode("overwrite")
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("slot_date", "batch_id")
         writer.parquet(f"{path.rstrip('/')}-folds/{kind}")
         folded[kind] = window_folds(spark, path, kind, days, batch_id).join(touched.select(*keys), keys, "left_semi").drop("slot_date", "batch_id")
