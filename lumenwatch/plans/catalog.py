@@ -1649,10 +1649,11 @@ def _(t):
 
 
 def event_stream(t: Tables, repeats: bool = True) -> DataFrame:
-    """The events as a stream of logs that takes one of several unordered files per trigger.
+    """The events as a stream of logs that takes one of several unordered parts per trigger.
 
-    Events are dealt to four files by a hash of their ids, so every file has logs that are late against those before it, and
-    every tenth event comes again in a file of its own.
+    Events are dealt to four parts by a hash of their ids, so every part has logs that are late against those before it, and
+    every tenth event comes again in a part of its own. A part has as many files as tasks write it, so larger tables make larger
+    triggers, not more of them.
     """
     folder = scratch_path(t.spark, "events")
     events = t.spark.read.schema(EVENTS).parquet(f"{t.folder}/events.parquet")
@@ -1660,7 +1661,8 @@ def event_stream(t: Tables, repeats: bool = True) -> DataFrame:
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).write.parquet(f"{folder}/part={part}")
     if repeats:
         events.where("event_id % 10 = 3").write.parquet(f"{folder}/part=4")
-    stream = streams.file_log_stream(t.spark, f"{folder}/part=*", EVENTS, files_per_trigger=1).selectExpr(*LOGS)
+    files = max(len(t.spark.read.schema(EVENTS).parquet(f"{folder}/part={part}").inputFiles()) for part in range(4))
+    stream = streams.file_log_stream(t.spark, f"{folder}/part=*", EVENTS, files_per_trigger=files).selectExpr(*LOGS)
     return stream.withColumn("attributes", F.create_map(F.lit("latency_ms"), F.col("latency_ms").cast("string")))
 
 

@@ -67,6 +67,44 @@ def test_a_late_log_reads_only_its_own_day(spark, tmp_path):
     assert {f.split("slot_date=")[1][:10] for f in read.inputFiles()} == {"2024-01-18"} and read.count() < len(rows) / 6
 
 
+def test_folds_of_a_batch_are_one_small_file_a_day(spark, tmp_path):
+    out, day = tmp_path / "out", 86_400
+    rows = sum((random_logs(200, d * day, d * day + day, d + 40) for d in range(5)), [])
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1")  # as many tasks as there are cores
+        jobs.refresh_features(log_frame(spark, rows), str(out), 0, 3600)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", was)
+    for kind in ("values", "traces"):
+        folders = list((tmp_path / "out-folds" / kind).glob("slot_date=*/batch_id=0"))
+        assert len(folders) == 5 and all(len(list(p.glob("*.parquet"))) == 1 for p in folders)
+    assert by_window(jobs.read_features(spark, str(out))) == by_window(window_features(log_frame(spark, rows), 3600))
+
+
+def test_triggers_of_the_event_stream_do_not_grow_with_its_files(spark, tmp_path):
+    from lumenwatch.plans.bindings import Tables
+    from lumenwatch.plans.catalog import event_stream
+
+    events = spark.range(4000).selectExpr(
+        "id AS event_id", "TIMESTAMP '2024-01-15' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "id % 9 AS user_id", "'view' AS event_type", "1D AS value", "'{\"k\": 1}' AS props"
+    )
+    events.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    seen, was = {}, spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def keep(batch, batch_id):
+        seen[batch_id] = sorted(int(r.id) for r in batch.select("id").collect())
+
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # each file is read by a task of its own
+        stream = event_stream(Tables(spark, str(tmp_path)))
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
+    assert len(seen) == 5 and seen[4] == [i for i in range(4000) if i % 10 == 3]
+    assert sorted(sum((seen[k] for k in range(4)), [])) == list(range(4000))
+
+
 def test_closed_windows_land_once_and_in_order(spark, tmp_path):
     out, closed = str(tmp_path / "out"), str(tmp_path / "closed")
     put(log_frame(spark, random_logs(200, 0, 600, 6)), tmp_path / "in", "a")
