@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 BLOCK = 64
+HELD_BITS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,25 @@ def row_key(id_column: Column, text: Column) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(id_column.cast("string"), F.lit("none")), F.coalesce(text, F.lit(""))))
 
 
+def held_bits(rows: DataFrame, column: str, bits: int = HELD_BITS) -> DataFrame:
+    """One row, ``held``: a bitmap of the hashes of a column's values, 2**bits bits whatever the input's size."""
+    at = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    words = rows.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("held")).toArrow()
+    held = np.zeros(1 << bits - 6, np.int64)
+    held[words["word"].to_numpy()] = words["held"].to_numpy()
+    return rows.sparkSession.createDataFrame(pa.table({"held": pa.array([held], pa.list_(pa.int64()))}))
+
+
+def may_hold(held: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """What a semi or anti join takes to keep or drop rows whose value may be among those of ``held_bits``: never one too few,
+    and some too many as the bitmap fills. Rows are not shuffled."""
+    words = F.col("held")
+    at = F.pmod(F.xxhash64(column), F.size(words).cast("long") * 64)
+    word = F.get(words, F.floor(at / 64).cast("int"))
+    return F.broadcast(held), F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value worked out once, though a lambda inside ``use`` reads it for every element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
