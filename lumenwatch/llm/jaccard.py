@@ -42,9 +42,9 @@ from lumenwatch.llm.components import components
 from lumenwatch.llm.shingles import Shingler, bitmap, fingerprint, mixed, signature_bits
 from lumenwatch.session import settle
 
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 CELL = 1024
-DEAL = 16384
+DEAL = 4096
 SMALL = 24
 HUBS = 8
 _SLICE = 1 << 14
@@ -54,14 +54,14 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """Counts of shingles by their top bits, over all documents: 2**bits numbers, whatever the input's size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, seen = Shingler(width), np.zeros(1 << bits, np.int64), False
+        shingler, counts, seen = Shingler(width), np.zeros(1 << bits, np.uint32), False
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen = True
                 at, n = np.unique((shingler(text) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 counts[at] += n
         if seen:
-            blocks = counts.astype("<u4").reshape(-1, min(_SLICE, len(counts)))
+            blocks = counts.reshape(-1, min(_SLICE, len(counts)))
             packed = [zlib.compress(b.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for b in blocks]  # low bytes first, the others are mostly 0
             yield pa.RecordBatch.from_pydict({"block": list(range(len(blocks))), "counts": packed})
 
@@ -161,7 +161,7 @@ def _may_reach_pairs(sizes: np.ndarray, bits: pa.Array, a: np.ndarray, b: np.nda
     for shape in np.unique(both[fits]).tolist():
         x, y = shape >> 32, shape & (2**32 - 1)
         at, least = np.flatnonzero(fits & (both == shape)), min(x, y)
-        for k in range(0, len(at), step := max(1, (1 << 20) // max(x, y))):
+        for k in range(0, len(at), step := max(1, (1 << 18) // max(x, y))):
             some = at[k : k + step]
             left, right = (
                 np.bitwise_or.reduce(words[starts[rows[some], None] + np.arange(n)].reshape(len(some), -1, least), axis=1) for rows, n in ((a, x), (b, y))
@@ -196,7 +196,7 @@ def _tiles(percent: int):
         for m in np.unique(counts[(counts > 1) & (counts <= SMALL)]).tolist():  # all pairs of the cells of m rows
             a, b = np.triu_indices(m, 1)
             starts = new[counts == m]
-            for k in range(0, len(starts), step := max(1, (1 << 18) // len(a))):
+            for k in range(0, len(starts), step := max(1, (1 << 16) // len(a))):
                 some = starts[k : k + step, None]
                 keep((some + a).ravel(), (some + b).ravel())
         for start, m in zip(new[counts > SMALL].tolist(), counts[counts > SMALL].tolist()):
