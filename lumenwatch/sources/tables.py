@@ -33,9 +33,11 @@ def analysis_by_id(analyses: DataFrame, value: str, result_schema: str) -> DataF
 
 
 def first_per_id(rows: DataFrame, order: Iterable[str]) -> DataFrame:
-    """The first row of each id. A min-aggregate: copies of a hot id are folded before the shuffle."""
+    """The first row of each id. A min-aggregate: copies of a hot id are folded before the shuffle. The id is the one grouped by,
+    so a join on it that follows needs no shuffle of the rows and no sort."""
     row = F.struct(*rows.columns)
-    return rows.groupBy("id").agg(F.min_by(row, F.struct(*order)).alias("row")).select("row.*")
+    firsts = rows.groupBy("id").agg(F.min_by(row, F.struct(*order)).alias("row"))
+    return firsts.select(*("id" if c == "id" else F.col("row")[c].alias(c) for c in rows.columns))
 
 
 def new_rows(batch: DataFrame, target: DataFrame | None, order: Iterable[str]) -> DataFrame:

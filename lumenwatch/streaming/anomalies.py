@@ -258,9 +258,10 @@ def stream_anomalies(
         })
         names = [f.split()[0] for f in FEATURE_TABLE.split(", ")]
         as_anomalies(new, names).write.mode("overwrite").parquet(f"{path}/anomalies/{here}")
-        _decide(spark, path, batch_id, ttl_seconds)
+        since = _since(spark, path, batch_id)
+        _decide(spark, path, batch_id, since, ttl_seconds)
         if rules is not None and analyze is not None:
-            _route(spark, path, batch_id, rules, analyze)
+            _route(spark, path, batch_id, since, rules, analyze)
 
     name = "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(name)
@@ -285,9 +286,9 @@ def _versions(spark: SparkSession, path: str, batch_id: int, schema: str | None
 _DECISION = "id STRING, service_name STRING, severity STRING, detected_at TIMESTAMP, accepted BOOLEAN"
 
 
-def _decide(spark: SparkSession, path: str, batch_id: int, ttl_seconds: int) -> None:
+def _decide(spark: SparkSession, path: str, batch_id: int, since: DataFrame, ttl_seconds: int) -> None:
     """Which anomalies are kept, decided anew for the services of the batch from its earliest version on."""
-    since, keys, columns = _since(spark, path, batch_id), ["service_name", "severity"], ["id", "service_name", "severity", "detected_at"]
+    keys, columns = ["service_name", "severity"], ["id", "service_name", "severity", "detected_at"]
     every = _versions(spark, f"{path}/anomalies", batch_id).select(*columns, "is_anomaly", "batch_id").join(since, "service_name").where("detected_at >= since").drop("since")
     now = settle(latest(every, "id"), "anomalies-now")
     decide = eligible(now).select(*columns, F.lit(False).alias("known"))
@@ -301,9 +302,8 @@ def _decide(spark: SparkSession, path: str, batch_id: int, ttl_seconds: int) ->
     rows.write.mode("overwrite").parquet(f"{path}/decisions/batch_id={batch_id}")
 
 
-def _route(spark: SparkSession, path: str, batch_id: int, rules: DataFrame, analyze: Callable[[DataFrame], DataFrame]) -> None:
+def _route(spark: SparkSession, path: str, batch_id: int, since: DataFrame, rules: DataFrame, analyze: Callable[[DataFrame], DataFrame]) -> None:
     """Alerts of the kept anomalies of the same stretch, and the withdrawal of those that no longer stand."""
-    since = _since(spark, path, batch_id)
     kept = spark.read.schema(_DECISION).parquet(f"{path}/decisions/batch_id={batch_id}").where("accepted").select("id")
     rows = _versions(spark, f"{path}/anomalies", batch_id).join(kept, "id", "left_semi")
     analyses = settle(analyze(latest(rows, "id")), "analyses")

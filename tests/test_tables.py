@@ -144,3 +144,14 @@ def test_publish_counts_and_dead_letters(spark, tmp_path, monkeypatch):
     totals = records.publish(logs, str(tmp_path / "down"), dead_letters=str(tmp_path / "letters")).first()
     assert (totals.sent, totals.failed, len(tries)) == (0, 10, 3)
     assert records.replay_dead_letters(spark, str(tmp_path / "letters")).where("reason LIKE 'OSError%'").count() == 9
+
+
+def test_a_batch_meets_earlier_ids_without_another_shuffle_of_its_rows(spark):
+    schema = "id string, timestamp timestamp, message string"
+    stored = spark.createDataFrame([("a", at(0), "x"), (None, at(0), "n")], schema)
+    batch = spark.createDataFrame([("b", at(2), "late"), ("b", at(1), "first"), ("a", at(3), "again"), (None, at(4), "none")], schema)
+    found = tables.new_rows(batch, stored.hint("merge"), ["timestamp", "message"])
+    assert found.columns == batch.columns and sorted(tuple(r)[::2] for r in found.collect() if r.id) == [("b", "first")]
+    assert [r.message for r in found.collect() if r.id is None] == ["none"]
+    found.collect()
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
