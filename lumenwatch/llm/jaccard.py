@@ -59,7 +59,7 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 seen = True
                 at, n = np.unique((shingler(text) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                counts[at] += n
+                counts[at] += n.astype(np.uint32)
         if seen:
             blocks = counts.reshape(-1, min(_SLICE, len(counts)))
             packed = [zlib.compress(b.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for b in blocks]  # low bytes first, the others are mostly 0
